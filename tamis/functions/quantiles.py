@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SMALL_DISTINCT = 200_000
@@ -198,3 +198,34 @@ def _list_buckets(wide, open_buckets, wanted, found) -> None:
                         found[i][r] = value
                         wanted[i].discard(r)
                     before += n
+
+
+def grouped_quantile(df: DataFrame, keys: list[str], value: str, p: float, name: str, buckets: int = 4_096) -> DataFrame:
+    """Exact quantile per group, for groups of any number and any size: one row ``(keys, name)`` per group.
+
+    Counts per value bucket find the bucket of the wanted rank; only that bucket's distinct values are
+    ordered. Both counts combine map-side, so a group with most of the rows is no hot spot.
+    """
+    base = df.select(*keys, F.col(value).cast("double").alias("__x")).where(F.col("__x").isNotNull())
+    sizes = base.groupBy(*keys).agg(F.count("__x").alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    width = (F.col("__hi") - F.col("__lo")) / buckets
+    bucket = F.when(width > 0, F.least(F.floor((F.col("__x") - F.col("__lo")) / F.when(width > 0, width)), F.lit(buckets - 1))).otherwise(F.lit(0))
+    placed = base.join(sizes, keys).select(*keys, "__x", "__n", bucket.cast("int").alias("__b"))
+    counts = placed.groupBy(*keys, "__b").agg(F.count("__x").alias("__m"), F.first("__n").alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    low = F.floor(F.lit(p) * (F.col("__n") - 1))
+    ranked = counts.withColumn("__before", F.coalesce(F.sum("__m").over(earlier), F.lit(0))).select(
+        *keys, "__b", "__m", "__before", low.alias("__r"), F.least(low + 1, F.col("__n") - 1).alias("__s"), (F.lit(p) * (F.col("__n") - 1) - low).alias("__f")
+    )
+    hit = [(F.col("__before") <= F.col(r)) & (F.col(r) < F.col("__before") + F.col("__m")) for r in ("__r", "__s")]
+    wanted = ranked.where(hit[0] | hit[1]).drop("__m")
+    values = placed.select(*keys, "__b", "__x").join(wanted, [*keys, "__b"])
+    counted = values.groupBy(*keys, "__b", "__x").agg(
+        F.count(F.lit(1)).alias("__m"), *[F.first(c).alias(c) for c in ("__before", "__r", "__s", "__f")]
+    )
+    smaller = Window.partitionBy(*keys, "__b").orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = counted.withColumn("__before", F.col("__before") + F.coalesce(F.sum("__m").over(smaller), F.lit(0)))
+    at = ordered.groupBy(*keys).agg(
+        F.max(F.when(hit[0], F.col("__x"))).alias("__a"), F.max(F.when(hit[1], F.col("__x"))).alias("__c"), F.first("__f").alias("__f")
+    )
+    return at.select(*keys, (F.col("__a") * (1 - F.col("__f")) + F.col("__c") * F.col("__f")).alias(name))
