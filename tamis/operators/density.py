@@ -19,17 +19,18 @@ def neighbour_count(rows: int) -> int:
     return max(5, min(20, int(rows * 0.05)))
 
 
-def unit_vector(columns: list[str], scale: dict) -> Column:
-    """Robust-scaled direction. The extra coordinate keeps a zero row at cosine distance 1 of the others."""
-    scaled = [(quoted(c).cast("double") - F.lit(scale[c][0])) / F.lit(scale[c][1]) for c in columns]
-    squares = scaled[0] * scaled[0]
-    for v in scaled[1:]:
-        squares = squares + v * v
-    length = F.sqrt(squares)
-    return F.array(
-        *[F.when(length > 0, v / length).otherwise(F.lit(0.0)) for v in scaled],
-        F.when(length > 0, F.lit(0.0)).otherwise(F.lit(1.0)),
+def unit_vectors(df: DataFrame, columns: list[str], scale: dict, name: str) -> DataFrame:
+    """``row_id`` and the robust-scaled direction, one projection per step.
+
+    The extra coordinate keeps a zero row at cosine distance 1 of the others.
+    """
+    scaled = F.array(*[(quoted(c).cast("double") - F.lit(scale[c][0])) / F.lit(scale[c][1]) for c in columns])
+    sized = df.select(ROW_ID, scaled.alias("__z")).select(
+        ROW_ID, "__z", F.sqrt(F.aggregate("__z", F.lit(0.0), lambda a, v: a + v * v)).alias("__len")
     )
+    inside = F.col("__len") > 0
+    direction = F.when(inside, F.transform("__z", lambda v: v / F.when(inside, F.col("__len")))).otherwise(F.col("__z"))
+    return sized.select(ROW_ID, F.concat(direction, F.array(F.when(inside, F.lit(0.0)).otherwise(F.lit(1.0)))).alias(name))
 
 
 def _cosine(dist2: Column) -> Column:
@@ -47,7 +48,7 @@ def fit_lof(df: DataFrame, s: Settings) -> dict:
     scale = {c: [v[1], (v[2] - v[0]) or 1.0] for c, v in q.items()}
     k = neighbour_count(rows)
     dims = len(columns) + 1
-    points = clean.select(F.col(ROW_ID).alias("did"), unit_vector(columns, scale).alias("dv"))
+    points = cut_lineage(unit_vectors(clean, columns, scale, "dv").withColumnRenamed(ROW_ID, "did"))
     pairs = cut_lineage(
         nearest(
             points.select(F.col("did").alias("qid"), F.col("dv").alias("qv"), F.lit(-1).alias("want")),
@@ -81,9 +82,8 @@ def lof_scores(df: DataFrame, s: Settings, state: dict) -> DataFrame:
     """``(id, lof)`` of the complete rows of the sample, measured against the training table."""
     features = feature_columns(df, s.label)
     table = state["table"]
-    queries = df.where(in_sample(s.degree) & no_nulls(features)).select(
-        F.col(ROW_ID).alias("qid"), unit_vector(state["columns"], state["scale"]).alias("qv"), F.lit(-1).alias("want")
-    )
+    rows = df.where(in_sample(s.degree) & no_nulls(features))
+    queries = unit_vectors(rows, state["columns"], state["scale"], "qv").select(F.col(ROW_ID).alias("qid"), "qv", F.lit(-1).alias("want"))
     pairs = nearest(queries, table.select("did", "dv"), state["k"], len(state["columns"]) + 1).select(
         "qid", "did", _cosine(F.col("dist2")).alias("d")
     )

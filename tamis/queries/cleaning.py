@@ -167,8 +167,8 @@ def imp_knn(spark, sf):
 
 
 # the amount follows the quantity; it is missing where the tax is 0.08
-PAIR = ["l_quantity AS qty", "CASE WHEN l_tax = 0.08D THEN NULL ELSE l_quantity * l_extendedprice / 1000 END AS amount"]
-PAIR_SQL = "l_quantity AS qty, CASE WHEN l_tax = 0.08 THEN NULL ELSE l_quantity * l_extendedprice / 1000 END AS amount"
+PAIR = ["l_quantity AS qty", "CASE WHEN l_tax = 0.08D THEN NULL ELSE l_quantity * floor(l_extendedprice / 100) END AS amount"]
+PAIR_SQL = "l_quantity AS qty, CASE WHEN l_tax = 0.08 THEN NULL ELSE l_quantity * floor(l_extendedprice / 100) END AS amount"
 
 
 def _em_sql(rounds: int) -> str:
@@ -184,14 +184,14 @@ def _em_sql(rounds: int) -> str:
             f"FROM (SELECT q, coalesce(a, ma + cqa / vq * (q - mq)) AS f FROM s, c{i - 1}))"
         )
     return (
-        "WITH " + ", ".join(steps) + f" SELECT row_id, split, qty, round(coalesce(amount, ma + cqa / vq * (qty - mq)), 4) AS amount "
+        "WITH " + ", ".join(steps) + f" SELECT row_id, split, qty, round(coalesce(amount, ma + cqa / vq * (qty - mq)), 2) AS amount "
         f"FROM b, c{rounds} WHERE {IN_S} OR amount IS NOT NULL"
     )
 
 
 @query("imp_em", _em_sql(3))
 def imp_em(spark, sf):
-    return _imputed(spark, sf, "EM", 4, PAIR, ["row_id", "split", "qty", "amount"], em_rounds=3, em_tolerance=0.0)
+    return _imputed(spark, sf, "EM", 2, PAIR, ["row_id", "split", "qty", "amount"], em_rounds=3, em_tolerance=0.0)
 
 
 @query(
@@ -205,15 +205,15 @@ def imp_em(spark, sf):
       SELECT t + 1, v, (gam + 2e-6) / (v * v + 2e-6), (n - gam + 2e-6) / (greatest(yy - 2 * v * xy + v * v * xx, 0) + 2e-6), t > 0 AND abs(w - v) < 1e-3
       FROM (SELECT *, xy / (xx + lam / alpha) AS v, alpha * xx / (lam + alpha * xx) AS gam FROM it, g) WHERE NOT done AND t < 300),
     f AS (SELECT xy / (xx + lam / alpha) AS w FROM it, g WHERE t = (SELECT max(t) FROM it))
-    SELECT row_id, split, qty, round(coalesce(amount, my - mx * w + w * qty), 4) AS amount FROM b, g, f WHERE {IN_S} OR amount IS NOT NULL""",
+    SELECT row_id, split, qty, round(coalesce(amount, my - mx * w + w * qty), 2) AS amount FROM b, g, f WHERE {IN_S} OR amount IS NOT NULL""",
 )
 def imp_mice(spark, sf):
-    return _imputed(spark, sf, "MICE", 4, PAIR, ["row_id", "split", "qty", "amount"])
+    return _imputed(spark, sf, "MICE", 2, PAIR, ["row_id", "split", "qty", "amount"])
 
 
 @query("imp_dt")
 def imp_dt(spark, sf):
-    return _imputed(spark, sf, "DT", 4, PAIR, ["row_id", "split", "qty", "amount"])
+    return _imputed(spark, sf, "DT", 2, PAIR, ["row_id", "split", "qty", "amount"])
 
 
 # --- encoding -------------------------------------------------------------------------------------
