@@ -87,13 +87,28 @@ class Space:
     def __init__(self, d: int, objective: Objective, cost: Cost | None = None, affine: bool = False, overhead: float = 0.0):
         self.d, self.objective = d, objective
         self.cost = cost or line_cost(d, overhead)
-        self.share = affine_share if affine else segment_share
+        self.lines = cost is None
+        self.affine = affine
+
+    def share(self, anchor: list[Column], target: list[Column]) -> Column:
+        limit = self.objective.limit()
+        if self.affine:
+            return affine_share(anchor, target, self.cost, limit)
+        if not self.lines:
+            return segment_share(anchor, target, self.cost, limit)
+        # lines without a negative slope never clip, so only the other rows need the bisection
+        rising = F.lit(True)
+        for k, b in zip(cols("k", self.d), cols("b", self.d)):
+            rising = rising & (k >= 0) & (b >= 0)
+        return F.when(rising, affine_share(anchor, target, self.cost, limit)).otherwise(
+            segment_share(anchor, target, self.cost, limit)
+        )
 
     def toward(self, df: DataFrame, anchor: list[Column], target: list[Column], names: list[str]) -> DataFrame:
         """Add ``names``: the farthest feasible point from anchor to target."""
         if not self.objective.bounded:
             return df.select("*", *[t.alias(n) for t, n in zip(target, names)])
-        marked = df.withColumn("__a", self.share(anchor, target, self.cost, self.objective.limit()))
+        marked = df.withColumn("__a", self.share(anchor, target))
         moved = [a + F.col("__a") * (t - a) for a, t in zip(anchor, target)]
         return marked.select("*", *[m.alias(n) for m, n in zip(moved, names)]).drop("__a")
 
@@ -299,18 +314,25 @@ def frank_wolfe(
         state = state.unionByName(run.withColumn("start", F.lit(s)))
     at = [*keys, "start"]
     state = score(space.priced(state)).withColumn("best", _first_best(space)).withColumn("calm", F.lit(0)).withColumn("live", F.lit(True))
+    finished = []
     for turn in range(rounds):
         width = max(1e-5, radius / (turn + 1.0) ** radius_decay)
-        moving = state.where("live").drop("u", "cost")
-        rest = state.where("not live")
-        moved = smoothed_gradient(moving, space, score, at, gaussian_directions(at, d, directions, seed, turn), width)
-        moved = _advance(moved, space, score, turn, min(1.0, step_numerator / (turn + step_offset)), gap_tolerance, patience, min_rounds)
-        state = moved.unionByName(rest)
-        if (turn + 1) % checkpoint_every == 0:
+        state = smoothed_gradient(state.drop("u", "cost"), space, score, at, gaussian_directions(at, d, directions, seed, turn), width)
+        state = _advance(state, space, score, turn, min(1.0, step_numerator / (turn + step_offset)), gap_tolerance, patience, min_rounds)
+        if (turn + 1) % checkpoint_every == 0 and turn + 1 < rounds:
             state = cut_lineage(state)
-            if state.where("live").isEmpty():
+            finished.append(state.where("not live"))
+            state = state.where("live")
+            if state.isEmpty():
                 break
-    return _unpack(state.groupBy(*keys).agg(F.max("best").alias("best")), keys, d)
+    return _unpack(_together(state, finished).groupBy(*keys).agg(F.max("best").alias("best")), keys, d)
+
+
+def _together(state: DataFrame, finished: list[DataFrame]) -> DataFrame:
+    out = state.select(*[c for c in state.columns if c not in ("u", "cost")])
+    for part in finished:
+        out = out.unionByName(part.drop("u", "cost"))
+    return out
 
 
 def _advance(df, space, score, turn, step, gap_tolerance, patience, min_rounds) -> DataFrame:
@@ -319,7 +341,8 @@ def _advance(df, space, score, turn, step, gap_tolerance, patience, min_rounds)
     gap = F.greatest(F.lit(0.0), sum((F.col(f"g_{i}") * (F.col(f"__x_{i}") - F.col(f"e_{i}")) for i in range(1, d)), F.col("g_0") * (F.col("__x_0") - F.col("e_0"))))
     df = df.withColumn("calm", F.when(gap <= gap_tolerance, F.col("calm") + 1).otherwise(F.lit(0)))
     done = (F.col("calm") >= patience) if turn + 1 >= min_rounds else F.lit(False)
-    df = df.withColumn("__done", done)
+    # a plan that has stopped stays where it is until its rows are set aside at the next checkpoint
+    df = df.withColumn("__done", done | ~F.col("live"))
     target = clip([(1.0 - step) * e + step * x for e, x in zip(cols("e", d), cols("__x", d))], d)
     df = df.select("*", *[F.when(F.col("__done"), e).otherwise(t).alias(f"__t_{i}") for i, (e, t) in enumerate(zip(cols("e", d), target))])
     df = df.select(*[c for c in df.columns if not c.startswith("e_")], *[F.col(f"e_{i}").alias(f"__e_{i}") for i in range(d)])
@@ -329,7 +352,7 @@ def _advance(df, space, score, turn, step, gap_tolerance, patience, min_rounds)
         still = still & (F.abs(F.col(f"e_{i}") - F.col(f"__e_{i}")) <= TINY)
     stop = F.col("__done") | (still if turn + 1 >= min_rounds else F.lit(False))
     df = df.withColumn("live", ~stop)
-    df = score(space.priced(df)).withColumn("best", _better(space))
+    df = score(space.priced(df)).withColumn("best", F.when(F.col("__done"), F.greatest("best", "probe")).otherwise(_better(space)))
     return df.drop("probe", "__done", *[f"__{t}_{i}" for t in ("x", "t", "e") for i in range(d)], *[f"g_{i}" for i in range(d)])
 
 
@@ -340,15 +363,16 @@ def frank_wolfe_deterministic(
     """Coordinate differences and a grid search on the segment; one start."""
     state = balanced_start(plans, space)
     state = score(space.priced(state)).withColumn("best", _first_best(space)).withColumn("calm", F.lit(0)).withColumn("live", F.lit(True))
+    finished = []
     for turn in range(rounds):
-        moving, rest = state.where("live").drop("u", "cost"), state.where("not live")
-        moved = deterministic_round(moving, space, score, keys, step, points, gap_tolerance, patience, turn + 1 >= min_rounds)
-        state = moved.unionByName(rest)
-        if (turn + 1) % checkpoint_every == 0:
+        state = deterministic_round(state.drop("u", "cost"), space, score, keys, step, points, gap_tolerance, patience, turn + 1 >= min_rounds)
+        if (turn + 1) % checkpoint_every == 0 and turn + 1 < rounds:
             state = cut_lineage(state)
-            if state.where("live").isEmpty():
+            finished.append(state.where("not live"))
+            state = state.where("live")
+            if state.isEmpty():
                 break
-    return _unpack(state.select(*keys, "best"), keys, space.d)
+    return _unpack(_together(state, finished).select(*keys, "best"), keys, space.d)
 
 
 def deterministic_round(df, space, score, keys, step=0.02, points=21, gap_tolerance=1e-4, patience=2, may_stop=True) -> DataFrame:
@@ -357,7 +381,7 @@ def deterministic_round(df, space, score, keys, step=0.02, points=21, gap_tolera
     df = linear_oracle(df, space, cols("g", d), [f"__x_{i}" for i in range(d)])
     gap = F.greatest(F.lit(0.0), sum((F.col(f"g_{i}") * (F.col(f"__x_{i}") - F.col(f"e_{i}")) for i in range(1, d)), F.col("g_0") * (F.col("__x_0") - F.col("e_0"))))
     df = df.withColumn("calm", F.when(gap <= gap_tolerance, F.col("calm") + 1).otherwise(F.lit(0)))
-    df = df.withColumn("__done", (F.col("calm") >= patience) if may_stop else F.lit(False))
+    df = df.withColumn("__done", ((F.col("calm") >= patience) if may_stop else F.lit(False)) | ~F.col("live"))
     shares = F.array(*[F.lit(j / (points - 1)) for j in range(points)])
     rows = df.select("*", F.posexplode(shares).alias("__j", "__w"))
     target = clip([(1.0 - F.col("__w")) * e + F.col("__w") * x for e, x in zip(cols("e", d), cols("__x", d))], d)
