@@ -110,7 +110,8 @@ def learn_knots(sample, values, s):
         for p, v in zip(probs, q):
             if v is None:
                 continue
-            if knots and v <= knots[-1]:
+            # equal neighbours may interpolate to values an ulp apart
+            if knots and v <= knots[-1] + 1e-12 * max(1.0, abs(knots[-1])):
                 last[-1] = p
             else:
                 knots.append(float(v))

@@ -112,6 +112,11 @@ class Space:
         moved = [a + F.col("__a") * (t - a) for a, t in zip(anchor, target)]
         return marked.select("*", *[m.alias(n) for m, n in zip(moved, names)]).drop("__a")
 
+    def startable(self, df: DataFrame) -> DataFrame:
+        """Plans whose lower bounds are affordable. Tested on the bounds, before any point is computed:
+        a filter on a computed point would be pushed below it and repeat its whole expression."""
+        return df.where(self.objective.feasible(self.cost(cols("lo", self.d))))
+
     def priced(self, df: DataFrame) -> DataFrame:
         return df.withColumn("cost", self.cost(cols("e", self.d)))
 
@@ -120,8 +125,7 @@ def balanced_start(df: DataFrame, space: Space) -> DataFrame:
     """Degrees on the line from the lower to the upper bounds; plans whose lower bounds cost too much are dropped."""
     d = space.d
     names = [f"e_{i}" for i in range(d)]
-    started = space.toward(df.drop(*names), cols("lo", d), cols("hi", d), names)
-    return started.where(F.col("e_0").isNotNull()) if d else started
+    return space.toward(space.startable(df).drop(*names), cols("lo", d), cols("hi", d), names)
 
 
 def random_start(df: DataFrame, space: Space, keys: list[str], start: int, seed: int) -> DataFrame:
@@ -131,9 +135,8 @@ def random_start(df: DataFrame, space: Space, keys: list[str], start: int, seed:
         lo + seeded_unit(seed, "start", start, i, *[F.col(k) for k in keys]) * (hi - lo)
         for i, (lo, hi) in enumerate(zip(cols("lo", d), cols("hi", d)))
     ]
-    drawn = df.drop(*names).select("*", *[x.alias(f"__t_{i}") for i, x in enumerate(draws)])
-    started = space.toward(drawn, cols("lo", d), cols("__t", d), names).drop(*[f"__t_{i}" for i in range(d)])
-    return started.where(F.col("e_0").isNotNull())
+    drawn = space.startable(df).drop(*names).select("*", *[x.alias(f"__t_{i}") for i, x in enumerate(draws)])
+    return space.toward(drawn, cols("lo", d), cols("__t", d), names).drop(*[f"__t_{i}" for i in range(d)])
 
 
 def coordinate_slopes(space: Space) -> list[Column]:
