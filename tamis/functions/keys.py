@@ -35,11 +35,6 @@ def hex_slice(text: Column, start: int, digits: int) -> Column:
     return F.conv(F.substring(text, start, digits), 16, 10).cast("long")
 
 
-def draw(use: str) -> Column:
-    """The row's 32-bit integer draw for one purpose."""
-    return hex_slice(F.col(ROW_HASH), SLICE_START[use], 8)
-
-
 def long_draw(use: str) -> Column:
     """60-bit draw for exact sampling. The purpose is mixed in by rotating the digits."""
     start = SLICE_START[use]
@@ -51,13 +46,22 @@ def threshold(rate: float) -> int:
     return int(round(float(rate) * SLICE_SPAN))
 
 
+def below(rate: float, use: str) -> Column:
+    """True if the row's draw is below the rate. Hex digits of equal width order like numbers, so this
+    is one string comparison and needs no conversion."""
+    limit = threshold(rate)
+    if limit >= SLICE_SPAN:
+        return F.lit(True)
+    return F.substring(ROW_HASH, SLICE_START[use], 8) < F.lit(f"{limit:08x}")
+
+
 def in_sample(degree: float, use: str = "degree") -> Column:
     """True for the rows of the execution-degree sample. Samples are nested in the degree."""
     if not 0.0 <= degree <= 1.0:
         raise ValueError("degree must be within [0, 1]")
     if degree >= 1.0:
         return F.lit(True)
-    return draw(use) < F.lit(threshold(degree))
+    return below(degree, use)
 
 
 def seeded_unit(*parts: Column | str | int) -> Column:

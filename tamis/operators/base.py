@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,10 @@ class Stage(Estimator):
     STAGE = ""
     METHODS: dict = {}
     OPTIONS: dict = {}
+    # methods whose fit reads nothing; reads all splits, not only the training rows; or keeps a plan over its rows
+    LEARNS_NOTHING: frozenset = frozenset()
+    EVERY_SPLIT: frozenset = frozenset()
+    KEEPS_ROWS: frozenset = frozenset()
 
     def __init__(self, method: str | None = None, **options):
         super().__init__()
@@ -63,7 +68,18 @@ class Stage(Estimator):
             raise ValueError(f"{self.STAGE}: the table lacks {missing}; key and split it first")
         settings = Settings(self.get_params())
         fit, _ = self.METHODS[settings.method]
-        return StageModel(self.STAGE, dict(settings), fit(df, settings) or {})
+        if settings.method in self.LEARNS_NOTHING:
+            return StageModel(self.STAGE, dict(settings), fit(df, settings) or {})
+        # fits read their rows several times: hold them, once keyed and split, for as long as the fit runs
+        rows = df if settings.method in self.EVERY_SPLIT else df.where(F.col(SPLIT) == "train")
+        hold = settings.method not in self.KEEPS_ROWS and not df.storageLevel.useMemory
+        if hold:
+            rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return StageModel(self.STAGE, dict(settings), fit(rows, settings) or {})
+        finally:
+            if hold:
+                rows.unpersist()
 
 
 class StageModel(Model):

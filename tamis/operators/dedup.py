@@ -71,4 +71,5 @@ class DuplicateDetection(Stage):
 
     STAGE = "duplicate_detection"
     METHODS = {"ED": (nothing, apply_exact), "AD": (nothing, apply_approximate)}
+    LEARNS_NOTHING = frozenset({"ED", "AD"})
     OPTIONS = {"prefix_length": 16, "tolerance_ratio": 0.001}

@@ -357,6 +357,8 @@ class Imputation(Stage):
         "DT": (fit_tree_chain, apply_tree_chain),
         "DUMMY": (nothing, apply_dummy),
     }
+    LEARNS_NOTHING = frozenset({"DROP", "DUMMY"})
+    KEEPS_ROWS = frozenset({"KNN"})
     OPTIONS = {
         "neighbours": 4,
         "em_rounds": 10,

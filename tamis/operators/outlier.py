@@ -130,6 +130,7 @@ class OutlierDetection(Stage):
         "LOF": (fit_lof, apply_lof),
         "MAD": (fit_mad, apply_mad),
     }
+    EVERY_SPLIT = frozenset({"ZSB", "IQR"})
     OPTIONS = {
         "threshold": 0.3,
         "mad_factor": 1.4296,

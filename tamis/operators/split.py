@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.functions.keys import SPLIT, draw, in_sample, threshold
+from tamis.functions.keys import SPLIT, below, in_sample
 from tamis.functions.ranks import at_most, rank_limits
 from tamis.functions.schema import quoted
 
@@ -38,8 +38,8 @@ def divide(df: DataFrame, test_rate: float = 0.3, val_rate: float = 0.3, exact:
         test_limit, val_limit = limits.get(0, [None, None])
         is_test, is_val = at_most(test_limit, "split"), at_most(val_limit, "split")
     else:
-        is_test = draw("split") < F.lit(threshold(test_rate))
-        is_val = draw("split") < F.lit(threshold(test_rate + val_rate))
+        is_test = below(test_rate, "split")
+        is_val = below(test_rate + val_rate, "split")
     return df.withColumn(SPLIT, F.when(is_test, "test").when(is_val, "val").otherwise("train"))
 
 

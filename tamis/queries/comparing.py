@@ -16,7 +16,7 @@ PLANNERS = ["frank_wolfe", "greedy", "random", "uniform"]
 def results(spark, sf):
     """One validated plan per order line."""
     return read(spark, sf, "lineitem").selectExpr(
-        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) AS bigint)) AS run_id",
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice * 100 + 0.5)) AS run_id",
         "concat(l_returnflag, l_linestatus) AS dataset",
         "element_at(array(0.3D, 0.5D, 0.7D, 1.0D), cast(l_suppkey % 4 AS int) + 1) AS budget",
         f"element_at(array({', '.join(repr(p) for p in PLANNERS)}), cast(l_partkey % 4 AS int) + 1) AS method",

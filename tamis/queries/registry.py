@@ -34,7 +34,7 @@ def rounded(df: DataFrame, digits: dict[str, int] | int, keys: list[str] = ()) -
     for f in df.schema.fields:
         if f.dataType.simpleString() == "double" and f.name not in keys:
             d = digits if isinstance(digits, int) else digits.get(f.name, 6)
-            out.append(F.round(F.col(f"`{f.name}`"), d).alias(f.name))
+            out.append((F.rint(F.col(f"`{f.name}`") * 10.0**d) / 10.0**d).alias(f.name))
         else:
             out.append(F.col(f"`{f.name}`"))
     return df.select(*out)
@@ -63,13 +63,13 @@ def seeded_sql(*parts: str) -> str:
 
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents"]
 LINE_KEY_SQL = (
-    "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || cast(round(l_extendedprice * 100) AS BIGINT)"
+    "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || cast(floor(l_extendedprice * 100 + 0.5) AS BIGINT)"
 )
 
 
 def lines(spark: SparkSession, sf_dir: str, *columns) -> DataFrame:
     """Keyed and split lineitem with the wanted feature columns."""
-    raw = read(spark, sf_dir, "lineitem").withColumn("cents", F.round(F.col("l_extendedprice") * 100).cast("long"))
+    raw = read(spark, sf_dir, "lineitem").withColumn("cents", F.floor(F.col("l_extendedprice") * 100 + 0.5))
     return keyed(raw, LINE_KEY).selectExpr("row_id", "row_hash", "split", *columns)
 
 
