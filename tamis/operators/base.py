@@ -98,6 +98,8 @@ class StageModel(Model):
 
     def save(self, path: str, spark: SparkSession | None = None) -> None:
         spark = spark or SparkSession.getActiveSession()
+        if any(isinstance(v, DataFrame) for v in self.state.values()) or "models" in self.state:
+            raise ValueError(f"{self.stage} {self.settings['method']} keeps tables or learners; store the prepared table instead")
         text = json.dumps({"stage": self.stage, "settings": self.settings, "state": self.state})
         spark.createDataFrame([(text,)], "value string").write.mode("overwrite").text(path)
 
