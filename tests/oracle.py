@@ -80,7 +80,7 @@ def main(sf_dir: str, only: list[str]) -> int:
             if name in sqls:
                 ok, note = compare(spark, name, fn, sqls[name], sf_dir, con)
             else:
-                ok, note = True, f"{fn(spark, sf_dir).count()} rows only"
+                ok, note = True, f"no SQL, {fn(spark, sf_dir).count()} rows, values not checked"
         except Exception as error:
             ok, note = False, f"{type(error).__name__}: {str(error)[:900]}"
         bad += not ok
