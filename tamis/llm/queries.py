@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tamis.llm.registry import QUERIES, SQL
 
-for _module in ("op01_quality_rules", "op10_tree_shards"):
+for _module in ("op01_quality_rules", "op09_secret_scans", "op10_tree_shards"):
     import_module(f"tamis.llm.{_module}")
 
 __all__ = ["QUERIES", "SQL"]
