@@ -20,18 +20,21 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 REMEMBERED = 1_000_000
-BLOCK = 1024  # documents encoded together
-YIELD = 128  # documents in a batch that is passed on
+BLOCK = 32 << 20  # bytes of text encoded together
+PASSED = 128  # documents in a batch that is passed on
 
 
 def read_ranks(path: str) -> bytes:
@@ -104,7 +107,7 @@ class Vocabulary:
 class _Replay:
     """The state of one replay: symbols of all words in a row, each linked to its neighbours within its word."""
 
-    FEW = 12  # positions that are merged one by one
+    FEW = 24  # positions that are merged one by one
 
     def __init__(self, vocabulary: Vocabulary, symbols: np.ndarray, follow: np.ndarray, before: np.ndarray):
         self.vocabulary, self.symbols, self.follow, self.before = vocabulary, symbols, follow, before
@@ -202,29 +205,35 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.numbers: dict[str, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__
         self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.matches(t) for t in texts]
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         if len(self.numbers) > self.remembered:
             self._forget()
-        new = list(set().union(*cut).difference(self.numbers))
-        if new:
-            ids = self.vocabulary.replay([w.encode() for w in new])
-            known = len(self.numbers)
-            self.numbers.update(zip(new, range(known, known + len(new))))
+        known, number_of = len(self.numbers), self.numbers.__getitem__
+        numbered = [np.fromiter(map(number_of, self.matches(t)), np.int32) for t in texts]
+        if len(self.numbers) > known:
+            ids = self.vocabulary.replay([w.encode() for w in islice(self.numbers, known, None)])
             self.flat = np.concatenate([self.flat, np.fromiter((i for word in ids for i in word), np.int32)])
             self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
             self.starts = np.cumsum(self.sizes) - self.sizes
-        out = []
-        for words in cut:
-            number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        for number in numbered:
             size = self.sizes[number]
             ends = np.cumsum(size)
-            place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[number] - (ends - size), size) if len(words) else number
-            out.append(self.flat[place])
-        return out
+            place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[number] - (ends - size), size) if len(number) else number
+            yield self.flat[place]
+
+
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``BLOCK`` bytes of text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + BLOCK)))
+        yield first, last
+        first = last
 
 
 def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "ids") -> DataFrame:
@@ -234,12 +243,15 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", keep:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(ranks), pattern)
         for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK):
-                batch = whole.slice(at, BLOCK)
-                ids = encoder.encode(batch.column(batch.num_columns - 1).to_pylist())
-                offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*keep, name])
+            texts = whole.column(whole.num_columns - 1)
+            for first, last in _blocks(texts):
+                encoded = encoder.encode(texts.slice(first, last - first).to_pylist())
+                for at in range(first, last, PASSED):
+                    batch = whole.slice(at, min(PASSED, last - at))
+                    ids = list(islice(encoded, batch.num_rows))
+                    offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*keep, name])
 
     return df.select(*[F.col(c) for c in keep], F.coalesce(F.col(text), F.lit("")).alias("_whole")).mapInArrow(run, schema)
 
@@ -252,8 +264,8 @@ def decode(df: DataFrame, ranks: bytes, ids: str = "ids", name: str = "decoded")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(ranks)
         for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK):
-                batch = whole.slice(at, BLOCK)
+            for at in range(0, whole.num_rows, PASSED):
+                batch = whole.slice(at, PASSED)
                 lists = batch.column(batch.schema.get_field_index(ids))
                 texts = []
                 for i in range(len(lists)):
