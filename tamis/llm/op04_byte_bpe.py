@@ -10,14 +10,15 @@ from tamis.llm.bpe import decode, encode, read_ranks
 from tamis.llm.registry import query, read
 
 
-def encoded_and_decoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(kept columns, n_tokens, ids_sha256, decoded_sha256)."""
+def encoded_and_decoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """(kept columns, n_tokens, ids if wanted, ids_sha256, decoded_sha256)."""
     ranks = read_ranks(path)
     both = decode(encode(docs, ranks, public_tokenizers.PATTERN, keep=keep), ranks)
     listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return both.select(
         *keep,
         F.size("ids").cast("long").alias("n_tokens"),
+        *["ids"] * with_ids,
         F.sha2(listed, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -236,3 +236,15 @@ def score_documents(df: DataFrame, model: Model, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(rows))], names=[*columns, "score"])
 
     return df.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("_whole")).mapInArrow(run, schema)
+
+
+def keep_good(df: DataFrame, model: Model, threshold: float, text: str = "text") -> DataFrame:
+    """The rows of ``df`` that score at least ``threshold``, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
+            rows = np.array([features(t or b"") for t in texts], np.float64).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(model.score(rows) >= threshold))
+
+    return df.mapInArrow(run, df.schema)

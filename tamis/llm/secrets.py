@@ -176,9 +176,8 @@ def rule_spans(text: Column, rule: Rule, place: int) -> Column:
     return F.when(F.rlike(text, pattern), bare).otherwise(F.lit(None).cast(SPAN))
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(id, text, spans): every row of ``df`` with its secrets, ordered by start and then by rule."""
-    keyed = _keyed(df, key, text)
+def _with_spans(keyed: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """A keyed table with the secrets of each text, ordered by start and then by rule."""
     found = candidates(keyed, rules)
     if found is not None:
         keyed = keyed.join(found, "row_key", "left")
@@ -188,7 +187,20 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Ru
         if trigram_query(rule.pattern) is not None:
             spans = F.when(F.array_contains("kinds", rule.kind), spans)
         parts.append(F.coalesce(spans, F.array().cast(SPAN)))
-    return keyed.select("id", "text", F.array_sort(F.concat(*parts)).alias("spans"))
+    return keyed.withColumn("spans", F.array_sort(F.concat(*parts)))
+
+
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(id, text, spans) of every row of ``df``."""
+    return _with_spans(_keyed(df, key, text), rules).select("id", "text", "spans")
+
+
+def redact(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``df`` with the values of its secrets masked. A null text stays null."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    packed = df.select(F.xxhash64(F.col(key), whole).alias("row_key"), whole.alias("text"), F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text]).alias("rest"), F.col(text).isNull().alias("none"))
+    clean = F.when(~F.col("none"), redacted(F.col("text"), F.col("spans")))
+    return _with_spans(packed, rules).select(*[clean.alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in df.columns])
 
 
 def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:

@@ -29,7 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.components import components
@@ -181,14 +181,38 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     return met.select("node", "other").unionByName(split)
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fingerprint, component_id) of every row; component_id: the smallest id connected to it."""
-    printed = cut_lineage(with_fingerprint(df.select(F.col(key), F.col(text))).select(key, "fingerprint"))
-    classes = cut_lineage(printed.groupBy("fingerprint").agg(F.min(key).alias("least")))
+def _labels(printed: DataFrame, least: Column) -> DataFrame:
+    """(fingerprint, component) for a table of fingerprints; component: the smallest ``least`` connected to it."""
+    classes = cut_lineage(printed.groupBy("fingerprint").agg(F.min(least).alias("least")))
     roots = components(links(classes))
     named = classes.join(roots, classes["fingerprint"] == roots["node"], "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
     )
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.join(smallest, "root").select("fingerprint", "component_id")
+    smallest = named.groupBy("root").agg(F.min("least").alias("component"))
+    return named.join(smallest, "root").select("fingerprint", "component")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, fingerprint, component_id) of every row; component_id: the smallest id connected to it."""
+    printed = cut_lineage(with_fingerprint(df.select(F.col(key), F.col(text))).select(key, "fingerprint"))
+    labels = _labels(printed, F.col(key)).withColumnRenamed("component", "component_id")
     return printed.join(labels, "fingerprint").select(key, "fingerprint", "component_id")
+
+
+def first_of_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each component the row with the smallest id (a null id last;
+    of equal ids the smallest hash of all columns), and of equal rows one."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    narrow = df.select(F.col(key).alias("_id"), row.alias("_row"), F.col(text).alias("_text"))
+    printed = cut_lineage(with_fingerprint(narrow, "_text").select("_id", "_row", "fingerprint"))
+    first = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
+    labels = _labels(printed, first)
+    chosen = labels.select("component").distinct().select(F.col("component.id").alias("_id"), F.col("component.row").alias("_row"))
+    times = printed.groupBy("_id", "_row").agg(F.count("*").alias("_times"))
+    same = chosen["_id"].eqNullSafe(times["_id"]) & (chosen["_row"] == times["_row"])
+    kept = cut_lineage(chosen.join(times, same).select(chosen["_id"], chosen["_row"], "_times"))
+    rows = df.withColumn("_of", row)
+    on = F.col(key).eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_row"))
+    single = rows.join(kept.where("_times = 1"), on, "left_semi")
+    repeated = rows.join(kept.where("_times > 1"), on, "left_semi").dropDuplicates([key, "_of"])
+    return single.unionByName(repeated).drop("_of")
