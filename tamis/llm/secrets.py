@@ -198,9 +198,11 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Ru
 def redact(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``df`` with the values of its secrets masked. A null text stays null."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    packed = df.select(F.xxhash64(F.col(key), whole).alias("row_key"), whole.alias("text"), F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text]).alias("rest"), F.col(text).isNull().alias("none"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text])
+    packed = df.select(F.xxhash64(F.col(key), whole).alias("row_key"), whole.alias("text"), rest.alias("rest"), F.col(text).isNull().alias("none"))
     clean = F.when(~F.col("none"), redacted(F.col("text"), F.col("spans")))
-    return _with_spans(packed, rules).select(*[clean.alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in df.columns])
+    masked = _with_spans(packed, rules).select("rest", clean.alias("clean"))
+    return masked.select(*[F.col("clean").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in df.columns])
 
 
 def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
