@@ -1,10 +1,9 @@
-"""Exact quantiles without gathering a column in one task.
+"""Exact quantiles without gathering a column in one task, by one path for every size and number of quantiles.
 
-``percentile`` keeps one entry per distinct value in its buffer, so it is used only for columns whose
-distinct count is checked to be small. Other columns go through rank selection: every pass counts the
-rows per bucket (a few thousand buckets per column, combined map-side), and the buckets that hold a
-wanted rank are split further until they hold one value or few enough rows to list. No pass shuffles
-rows, and a value shared by any share of the rows ends up alone in its bucket.
+Every pass counts the rows per bucket (a few thousand buckets per column, combined map-side), and the buckets
+that hold a wanted rank are split further until they hold one value or few enough rows to list. No pass
+shuffles rows, a value shared by any share of the rows ends up alone in its bucket, and any number of ranks
+is followed at once.
 """
 
 from __future__ import annotations
@@ -16,50 +15,16 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_DISTINCT = 200_000
 BUCKETS = 2_048
+SPLIT_INTO = 16  # parts of an open bucket, at least
 LIST_ROWS = 100_000
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns: dict[str, Column],
-    probs: list[float],
-    small_distinct: int = SMALL_DISTINCT,
-    buckets: int = BUCKETS,
-    list_rows: int = LIST_ROWS,
+    df: DataFrame, columns: dict[str, Column], probs: list[float], buckets: int = BUCKETS, list_rows: int = LIST_ROWS
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of each named expression; NULLs are skipped."""
-    if not columns:
-        return {}
-    names = list(columns)
-    # blocks of columns keep the distinct-value buffers of one task bounded as well
-    sizes = df.agg(
-        *[
-            F.approx_count_distinct(columns[n].cast("double"), 0.05).alias(f"d{i}")
-            for i, n in enumerate(names)
-        ]
-    ).first()
-    small, big, budget = [], [], max(small_distinct * 4, small_distinct)
-    for i, n in enumerate(names):
-        if sizes[f"d{i}"] <= small_distinct and budget - sizes[f"d{i}"] >= 0:
-            small.append(n)
-            budget -= sizes[f"d{i}"]
-        else:
-            big.append(n)
-    out: dict[str, list[float | None]] = {}
-    if small:
-        row = df.agg(
-            *[
-                F.percentile(columns[n].cast("double"), constant_array(probs)).alias(f"q{i}")
-                for i, n in enumerate(small)
-            ]
-        ).first()
-        for i, n in enumerate(small):
-            out[n] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
-    if big:
-        out.update(_select_ranks(df, {n: columns[n] for n in big}, probs, buckets, list_rows))
-    return out
+    """Linearly interpolated quantiles of each named expression; NULL and NaN are skipped."""
+    return _select_ranks(df, columns, probs, buckets, list_rows) if columns else {}
 
 
 def constant_array(values: list[float]) -> Column:
@@ -78,76 +43,88 @@ def _rank_pairs(n: int, probs: list[float]) -> list[tuple[int, int, float]]:
 
 def _select_ranks(df, columns, probs, buckets, list_rows) -> dict[str, list[float | None]]:
     names = list(columns)
-    wide = df.select(*[columns[n].cast("double").alias(f"x{i}") for i, n in enumerate(names)])
+    wide = df.select(*[F.nanvl(columns[n].cast("double"), F.lit(None).cast("double")).alias(f"x{i}") for i, n in enumerate(names)])
     bounds = wide.agg(
         *[f(f"x{i}").alias(f"{tag}{i}") for i in range(len(names)) for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
     ).first()
     found: dict[int, dict[int, float]] = {}
     wanted: dict[int, set[int]] = {}
-    splits: dict[int, list[float]] = {}
+    # per column: (low, high, rows before, rows) of the buckets that hold wanted ranks
+    opened: dict[int, list[tuple[float, float, int, int]]] = {}
     for i in range(len(names)):
         n = bounds[f"n{i}"]
         if n:
             wanted[i] = {r for low, high, _ in _rank_pairs(n, probs) for r in (low, high)}
             found[i] = {}
-            splits[i] = _cut(bounds[f"lo{i}"], bounds[f"hi{i}"], buckets)
+            opened[i] = [(bounds[f"lo{i}"], bounds[f"hi{i}"], 0, n)]
     previous_rows = None
-    while any(wanted.values()):
-        todo = [i for i in wanted if wanted[i]]
-        counts = _bucket_counts(wide, todo, splits)
-        open_buckets: dict[int, list[tuple[float, float, int, int]]] = {}
-        for i in todo:
-            before = 0
-            for _, size, low, high in counts[i]:
-                hit = {r for r in wanted[i] if before <= r < before + size}
-                if hit and low == high:
-                    found[i].update({r: low for r in hit})
-                    wanted[i] -= hit
-                elif hit:
-                    open_buckets.setdefault(i, []).append((low, high, before, size))
-                before += size
-        if not open_buckets:
-            continue
-        rows = sum(b[3] for bs in open_buckets.values() for b in bs)
+    while opened:
+        rows = sum(b[3] for bs in opened.values() for b in bs)
         if rows <= list_rows:
-            _list_buckets(wide, open_buckets, wanted, found)
+            _list_buckets(wide, opened, wanted, found)
             break
+        # very uneven values: let a quantile sketch place the cuts, each value isolated
         stuck = previous_rows is not None and rows * 2 > previous_rows
         previous_rows = rows
-        for i, opened in open_buckets.items():
-            share = max(2, buckets // len(opened))
-            edges: set[float] = set()
-            for low, high, _, _ in opened:
-                if stuck:
-                    # very uneven values: let a quantile sketch place the cuts, each value isolated
-                    sketch = wide.where(F.col(f"x{i}").between(low, high)).agg(
-                        F.percentile_approx(f"x{i}", [j / 64 for j in range(65)], F.lit(1000))
-                    ).first()[0]
-                    edges.update(sketch)
-                    edges.update(float(np.nextafter(v, np.inf)) for v in sketch)
-                else:
-                    edges.update(np.linspace(low, high, share + 1).tolist())
-                edges.update((low, float(np.nextafter(high, np.inf))))
-            splits[i] = [-math.inf, *sorted(edges), math.inf]
+        splits = {i: _edges(wide, i, bs, max(SPLIT_INTO, buckets // len(bs)), stuck) for i, bs in opened.items()}
+        counts = _bucket_counts(wide, list(opened), splits)
+        following: dict[int, list[tuple[float, float, int, int]]] = {}
+        for i in opened:
+            ranks, at, before = sorted(wanted[i]), 0, 0
+            for _, size, low, high in counts[i]:
+                hit = []
+                while at < len(ranks) and ranks[at] < before + size:
+                    hit.append(ranks[at])
+                    at += 1
+                if hit and low == high:
+                    found[i].update(dict.fromkeys(hit, low))
+                    wanted[i] -= set(hit)
+                elif hit:
+                    following.setdefault(i, []).append((low, high, before, size))
+                before += size
+        opened = following
     out: dict[str, list[float | None]] = {}
     for i, name in enumerate(names):
         if i not in found:
             out[name] = [None] * len(probs)
         else:
             out[name] = [
-                found[i][low] * (1.0 - frac) + found[i][high] * frac
+                found[i][low] * (1.0 - frac) + found[i][high] * frac if frac else found[i][low]
                 for low, high, frac in _rank_pairs(bounds[f"n{i}"], probs)
             ]
     return out
 
 
-def _cut(low: float, high: float, buckets: int) -> list[float]:
-    inner = sorted(set(np.linspace(low, high, buckets + 1).tolist()))
-    return [-math.inf, *inner, math.inf]
+def _edges(wide: DataFrame, i: int, opened: list[tuple[float, float, int, int]], share: int, stuck: bool) -> list[float]:
+    """Cuts of the open buckets of a column, each bucket's ends included."""
+    edges: set[float] = set()
+    for low, high, _, _ in opened:
+        if stuck or not (math.isfinite(low) and math.isfinite(high) and math.isfinite(high - low)):
+            inside = wide.where(F.col(f"x{i}").between(low, high))
+            sketch = inside.agg(F.percentile_approx(f"x{i}", [j / 64 for j in range(65)], F.lit(1000))).first()[0]
+            edges.update(sketch)
+            edges.update(float(np.nextafter(v, np.inf)) for v in sketch)
+        else:
+            edges.update(np.linspace(low, high, share + 1).tolist())
+        edges.update((low, float(np.nextafter(high, np.inf))))
+    return [-math.inf, *(sorted(e for e in edges if math.isfinite(e)) or [0.0]), math.inf]
 
 
 def _bucket_counts(wide: DataFrame, todo: list[int], splits: dict[int, list[float]]):
     """Per column: (bucket, rows, smallest, largest) in bucket order."""
+    rows = (
+        _marked(wide, todo, splits).groupBy("c", "b").agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+    )
+    out: dict[int, list] = {i: [] for i in todo}
+    for r in rows:
+        out[r["c"]].append((r["b"], r["n"], r["lo"], r["hi"]))
+    for i in todo:
+        out[i].sort()
+    return out
+
+
+def _marked(wide: DataFrame, todo: list[int], splits: dict[int, list[float]]) -> DataFrame:
+    """(column, bucket, value) of all values."""
     marked = Bucketizer(
         splitsArray=[splits[i] for i in todo],
         inputCols=[f"x{i}" for i in todo],
@@ -157,47 +134,41 @@ def _bucket_counts(wide: DataFrame, todo: list[int], splits: dict[int, list[floa
     items = F.explode(
         F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"b{i}").alias("b"), F.col(f"x{i}").alias("x")) for i in todo])
     ).alias("item")
-    rows = (
-        marked.select(items)
-        .select("item.*")
-        .where(F.col("x").isNotNull())
-        .groupBy("c", "b")
-        .agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-        .collect()
-    )
-    out: dict[int, list] = {i: [] for i in todo}
-    for r in rows:
-        out[r["c"]].append((r["b"], r["n"], r["lo"], r["hi"]))
-    for i in todo:
-        out[i].sort()
-    return out
+    return marked.select(items).select("item.*").where(F.col("x").isNotNull())
 
 
-def _list_buckets(wide, open_buckets, wanted, found) -> None:
-    """The open buckets hold few rows (checked): list their values and read the ranks off."""
-    parts = []
-    for i, opened in open_buckets.items():
-        inside = F.lit(False)
-        for low, high, _, _ in opened:
-            inside = inside | F.col(f"x{i}").between(low, high)
-        parts.append(F.when(inside, F.struct(F.lit(i).alias("c"), F.col(f"x{i}").alias("x"))))
-    rows = (
-        wide.select(F.explode(F.array(*parts)).alias("item"))
-        .where(F.col("item").isNotNull())
-        .select("item.*")
-        .groupBy("c", "x")
-        .count()
-        .collect()
-    )
-    for i, opened in open_buckets.items():
+def _list_buckets(wide, opened, wanted, found) -> None:
+    """The open buckets hold few rows (checked): list their distinct values and read the ranks off.
+
+    A row is matched to its bucket by number; there is no chain of conditions, however many are open.
+    """
+    todo = list(opened)
+    splits = {i: sorted({e for low, high, _, _ in bs for e in (low, float(np.nextafter(high, np.inf)))}) for i, bs in opened.items()}
+    splits = {i: [-math.inf, *([e for e in es if math.isfinite(e)] or [0.0]), math.inf] for i, es in splits.items()}
+    held = [
+        (i, float(min(np.searchsorted(splits[i], at, side="right") - 1, len(splits[i]) - 2)))
+        for i, bs in opened.items()
+        for low, high, _, _ in bs
+        for at in {low, high}
+    ]
+    # as many rows as there are open buckets: at most two for each wanted quantile
+    table = wide.sparkSession.createDataFrame(held, "c int, b double")
+    rows = _marked(wide, todo, splits).join(F.broadcast(table), ["c", "b"], "left_semi").groupBy("c", "x").count().collect()
+    for i, bs in opened.items():
         mine = sorted((r["x"], r["count"]) for r in rows if r["c"] == i)
-        for low, high, before, _ in opened:
-            for value, n in mine:
-                if low <= value <= high:
-                    for r in [r for r in wanted[i] if before <= r < before + n]:
-                        found[i][r] = value
-                        wanted[i].discard(r)
-                    before += n
+        ranks, at = sorted(wanted[i]), 0
+        values = iter(mine)
+        value, n = next(values, (None, 0))
+        for low, high, before, _ in bs:
+            while value is not None and value < low:
+                value, n = next(values, (None, 0))
+            while value is not None and value <= high:
+                while at < len(ranks) and ranks[at] < before + n:
+                    found[i][ranks[at]] = value
+                    at += 1
+                before += n
+                value, n = next(values, (None, 0))
+        wanted[i].clear()
 
 
 def grouped_quantile(df: DataFrame, keys: list[str], value: str, p: float, name: str, buckets: int = 4_096) -> DataFrame:

@@ -1,101 +1,68 @@
-"""Exact-size hash samples per group without a global sort.
+"""Exact-size hash samples per group without a global sort and without lists on the driver.
 
-The k rows of a group with the smallest draws are found by radix selection on the 60-bit draw: each
-pass counts rows per (group, 12-bit prefix), combined map-side, and only the prefixes that hold a
-wanted rank are looked at again. The sample is then a plain filter on the draw.
+The rows of a group at wanted ranks of the 60-bit draw are found in two steps: counts per (group, 16-bit
+prefix), combined map-side, tell the prefix of each rank, and only the rows of those prefixes are ordered,
+each prefix by itself. The limits are a table with one row per group; a sample is a join with it and a
+comparison, whatever the number and size of the groups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.functions.keys import ROW_ID, long_draw
 
 DRAW_BITS = 60
-DIGIT_BITS = 12
-LIST_ROWS = 50_000
-MAX_GROUPS = 10_000
+PREFIX_BITS = 16
 
 
-def rank_limits(
-    df: DataFrame,
-    ranks: Callable[[int], list[int]],
-    use: str = "degree",
-    group: Column | None = None,
-    list_rows: int = LIST_ROWS,
-) -> dict:
-    """For each group, the (draw, row_id) of the rows at the 1-based ranks ``ranks(group size)``.
-
-    A rank of 0 or less, or past the end, gives None (nothing) or a limit above all rows.
+def rank_limits(df: DataFrame, ranks: Callable[[Column], list[Column]], use: str = "degree", group: Column | None = None) -> DataFrame:
+    """(g, n, wanted, limits): per group its size, the 1-based ranks ``ranks(n)`` and the (draw, row_id) of the
+    rows there. A rank below 1 or beyond the end has a NULL limit.
     """
+    shift = DRAW_BITS - PREFIX_BITS
     base = df.select((group if group is not None else F.lit(0)).alias("g"), long_draw(use).alias("h"), F.col(ROW_ID))
-    sizes = {r["g"]: r["count"] for r in base.groupBy("g").count().limit(MAX_GROUPS + 1).collect()}
-    if len(sizes) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups")
-    wanted: dict = {g: [k for k in ranks(n)] for g, n in sizes.items()}
-    limits: dict = {g: [None] * len(ks) for g, ks in wanted.items()}
-    # open: (group, prefix) -> rows before the prefix; starts with the empty prefix
-    open_ranks: dict = {}
-    for g, ks in wanted.items():
-        for pos, k in enumerate(ks):
-            if k >= sizes[g]:
-                limits[g][pos] = (2**DRAW_BITS, None)
-            elif k >= 1:
-                open_ranks.setdefault((g, 0), []).append((pos, k))
-    shift = DRAW_BITS
-    while open_ranks:
-        narrowed = _keep_prefixes(base, list(open_ranks), shift)
-        shift -= DIGIT_BITS
-        rows = narrowed.groupBy("g", F.shiftright("h", shift).alias("p")).count().collect()
-        counts: dict = {}
-        for r in rows:
-            counts.setdefault((r["g"], r["p"] >> DIGIT_BITS), []).append((r["p"], r["count"]))
-        following: dict = {}
-        leaf_rows = 0
-        for key, targets in open_ranks.items():
-            before = 0
-            for prefix, n in sorted(counts[key]):
-                inside = [(pos, k - before) for pos, k in targets if before < k <= before + n]
-                if inside:
-                    following[(key[0], prefix)] = inside
-                    leaf_rows += n
-                before += n
-        open_ranks = following
-        if leaf_rows <= list_rows:
-            leaves: dict = {}
-            for r in _keep_prefixes(base, list(open_ranks), shift).select("g", "h", ROW_ID).collect():
-                leaves.setdefault((r["g"], r["h"] >> shift), []).append((r["h"], r[ROW_ID]))
-            for key, targets in open_ranks.items():
-                listed = sorted(leaves[key])
-                for pos, k in targets:
-                    limits[key[0]][pos] = listed[k - 1]
-            break
-        if shift == 0:
-            raise ValueError("row keys repeat too often for an exact sample; key the table by a unique key")
-    return limits
+    base = base.withColumn("p", F.shiftright("h", shift))
+    counts = base.groupBy("g", "p").agg(F.count("*").alias("m"))
+    whole = Window.partitionBy("g")
+    placed = counts.withColumn("n", F.sum("m").over(whole)).withColumn("before", F.sum("m").over(whole.orderBy("p")) - F.col("m"))
+    asked = placed.select("g", "p", "m", "before", F.posexplode(F.array(*[k.cast("long") for k in ranks(F.col("n"))])).alias("j", "k"))
+    hit = asked.where((F.col("before") < F.col("k")) & (F.col("k") <= F.col("before") + F.col("m"))).select(
+        F.col("g").alias("hg"), F.col("p").alias("hp"), "j", (F.col("k") - F.col("before")).alias("at")
+    )
+    same = base["g"].eqNullSafe(F.col("hg")) & (base["p"] == F.col("hp"))
+    near = base.join(hit.select("hg", "hp").distinct(), same, "left_semi")
+    ordered = near.withColumn("r", F.row_number().over(Window.partitionBy("g", "p").orderBy("h", ROW_ID)))
+    ranked = ordered.select("g", "p", "r", F.struct("h", F.col(ROW_ID).alias("row")).alias("limit"))
+    found = ranked.join(hit, ranked["g"].eqNullSafe(F.col("hg")) & (ranked["p"] == F.col("hp")) & (F.col("r") == F.col("at")))
+    number = len(ranks(F.lit(1)))
+    limits = found.groupBy("g").agg(F.array(*[F.max(F.when(F.col("j") == j, F.col("limit"))) for j in range(number)]).alias("limits"))
+    sizes = counts.groupBy("g").agg(F.sum("m").alias("n")).withColumnRenamed("g", "sg")
+    return sizes.join(limits, sizes["sg"].eqNullSafe(limits["g"]), "left").select(
+        F.col("sg").alias("g"), "n", F.array(*[k.cast("long") for k in ranks(F.col("n"))]).alias("wanted"), "limits"
+    )
 
 
-def _keep_prefixes(base: DataFrame, keys: list, shift: int) -> DataFrame:
-    if shift == DRAW_BITS:
-        return base
-    spark = base.sparkSession
-    schema = base.select("g").schema.fields[0].dataType
-    small = spark.createDataFrame([(k[0], k[1]) for k in keys], f"kg {schema.simpleString()}, kp long")
-    # at most groups x ranks rows, both bounded above
-    return base.join(
-        F.broadcast(small), base["g"].eqNullSafe(small["kg"]) & (F.shiftright("h", shift) == small["kp"]), "left_semi"
+def with_ranks_below(
+    df: DataFrame, ranks: Callable[[Column], list[Column]], names: list[str], use: str = "degree", group: Column | None = None
+) -> DataFrame:
+    """``df`` with one boolean per rank: whether the row's own rank is at most that rank of its group."""
+    table = rank_limits(df, ranks, use, group).select(
+        F.col("g").alias("__g"), F.col("n").alias("__n"), F.col("wanted").alias("__wanted"), F.col("limits").alias("__limits")
     )
+    if group is None:
+        joined = df.join(F.broadcast(table), F.lit(True), "left")  # one row
+    else:
+        keyed = df.withColumn("__key", group)
+        joined = keyed.join(table, F.col("__key").eqNullSafe(F.col("__g")), "left").drop("__key")
+    h = long_draw(use)
 
+    def below(j: int) -> Column:
+        limit, k = F.get("__limits", F.lit(j)), F.get("__wanted", F.lit(j))
+        return (k >= F.col("__n")) | ((k >= 1) & ((h < limit["h"]) | ((h == limit["h"]) & (F.col(ROW_ID) <= limit["row"]))))
 
-def at_most(limit, use: str = "degree") -> Column:
-    """True for rows up to and including a limit of ``rank_limits``."""
-    if limit is None:
-        return F.lit(False)
-    draw_at, row_at = limit
-    h = long_draw(use)
-    if row_at is None:
-        return F.lit(True)
-    return (h < F.lit(draw_at)) | ((h == F.lit(draw_at)) & (F.col(ROW_ID) <= F.lit(row_at)))
+    marked = [F.coalesce(below(j), F.lit(False)).alias(name) for j, name in enumerate(names)]
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *marked)

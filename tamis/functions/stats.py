@@ -89,14 +89,15 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
     if not columns:
         return {}
     types = {f.name: f.dataType for f in df.schema.fields}
-    numeric = {c: isinstance(types[c], (T.NumericType, T.BooleanType)) for c in columns}
+    # one field per kind of type, so a value is counted and returned as it is
+    kinds = {"whole": "bigint", "exact": "decimal(38,18)", "real": "double", "txt": "string"}
+    kind = {c: _mode_kind(types[c]) for c in columns}
     items = F.explode(
         F.array(
             *[
                 F.struct(
                     F.lit(i).alias("c"),
-                    (quoted(c).cast("double") if numeric[c] else F.lit(None).cast("double")).alias("num"),
-                    (F.lit(None).cast("string") if numeric[c] else quoted(c).cast("string")).alias("txt"),
+                    *[(quoted(c) if k == kind[c] else F.lit(None)).cast(t).alias(k) for k, t in kinds.items()],
                 )
                 for i, c in enumerate(columns)
             ]
@@ -105,25 +106,29 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
     rows = (
         df.select(items)
         .select("item.*")
-        .where(F.col("num").isNotNull() | F.col("txt").isNotNull())
-        .groupBy("c", "num", "txt")
+        .where(F.coalesce(*[F.col(k).cast("string") for k in kinds]).isNotNull())
+        .groupBy("c", *kinds)
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("c")
-        .agg(F.min(F.struct((-F.col("n")).alias("o"), "num", "txt")).alias("best"))
+        .agg(F.min(F.struct((-F.col("n")).alias("o"), *kinds)).alias("best"))
         .collect()
     )
     out: dict[str, object] = {}
     for r in rows:
         name = columns[r["c"]]
-        value = r["best"]["num"] if numeric[name] else r["best"]["txt"]
-        if isinstance(types[name], T.IntegralType):
-            value = int(value)
-        elif isinstance(types[name], T.BooleanType):
-            value = bool(value)
-        out[name] = value
+        value = r["best"][kind[name]]
+        out[name] = bool(value) if isinstance(types[name], T.BooleanType) else value
     return out
 
 
+def _mode_kind(data_type: T.DataType) -> str:
+    if isinstance(data_type, (T.IntegralType, T.BooleanType)):
+        return "whole"
+    if isinstance(data_type, T.DecimalType):
+        return "exact"
+    return "real" if isinstance(data_type, T.NumericType) else "txt"
+
+
 def cardinality_over(df: DataFrame, columns: list[str], most: int, share: float) -> set[str]:
     """Columns with more than ``most`` distinct values, or more than ``share`` of the rows.
 

@@ -32,13 +32,23 @@ def apply_exact(df: DataFrame, s: Settings, state: dict) -> DataFrame:
     return keep_first(df, [quoted(c) for c in feature_columns(df, s.label)], s.degree)
 
 
-def canonical_text(c: Column, prefix: int) -> Column:
-    text = F.regexp_replace(F.lower(F.coalesce(c.cast("string"), F.lit(""))), "[^0-9a-z]+", "")
-    return F.concat(F.substring(text, 1, prefix), F.lit(":"), (F.length(text) / 4).cast("long").cast("string"))
+def canonical_text(c: Column, prefix: int | None = None) -> Column:
+    """Digest of the letters and digits of a text, in lower case and any script.
+
+    A text without any is compared as it is, so unlike texts never meet in an empty key. ``prefix``: compare only
+    so many characters, and the length in steps of four.
+    """
+    raw = F.coalesce(c.cast("string"), F.lit(""))
+    text = F.regexp_replace(F.lower(raw), r"[^\p{L}\p{N}]+", "")
+    bare = F.concat(F.lit("="), raw)
+    if prefix is None:
+        return F.md5(F.when(text == "", bare).otherwise(text))
+    head = F.concat(F.substring(text, 1, prefix), F.lit(":"), (F.length(text) / 4).cast("long").cast("string"))
+    return F.when(text == "", bare).otherwise(head)
 
 
 def apply_approximate(df: DataFrame, s: Settings, state: dict) -> DataFrame:
-    """Numbers are rounded to a step of the split's own span, texts to a head and a length class."""
+    """Numbers are rounded to a step of the split's own span, texts to their letters and digits."""
     if s.degree <= 0:
         return df
     fields = feature_fields(df, s.label)
@@ -60,7 +70,7 @@ def apply_approximate(df: DataFrame, s: Settings, state: dict) -> DataFrame:
             step = F.greatest(span * F.lit(s.tolerance_ratio), F.lit(1e-12))
             keys.append(F.coalesce(F.rint((quoted(f.name).cast("double") - low) / step), F.lit(-1.0)))
         else:
-            keys.append(canonical_text(quoted(f.name), int(s.prefix_length)))
+            keys.append(canonical_text(quoted(f.name), s.prefix_length))
     helpers = [c for c in df.columns if c.startswith("__")]
     return keep_first(df, keys, s.degree).drop(*helpers)
 
@@ -72,4 +82,4 @@ class DuplicateDetection(Stage):
     STAGE = "duplicate_detection"
     METHODS = {"ED": (nothing, apply_exact), "AD": (nothing, apply_approximate)}
     LEARNS_NOTHING = frozenset({"ED", "AD"})
-    OPTIONS = {"prefix_length": 16, "tolerance_ratio": 0.001}
+    OPTIONS = {"prefix_length": None, "tolerance_ratio": 0.001}

@@ -15,10 +15,6 @@ from tamis.session import cut_lineage
 DENSITY_FLOOR = 1e-10
 
 
-def neighbour_count(rows: int) -> int:
-    return max(5, min(20, int(rows * 0.05)))
-
-
 def unit_vectors(df: DataFrame, columns: list[str], scale: dict, name: str) -> DataFrame:
     """``row_id`` and the robust-scaled direction, one projection per step.
 
@@ -46,7 +42,7 @@ def fit_lof(df: DataFrame, s: Settings) -> dict:
         return {"columns": []}
     q = exact_quantiles(clean, {c: quoted(c).cast("double") for c in columns}, [0.25, 0.5, 0.75])
     scale = {c: [v[1], (v[2] - v[0]) or 1.0] for c, v in q.items()}
-    k = neighbour_count(rows)
+    k = int(s.neighbours)
     dims = len(columns) + 1
     points = cut_lineage(unit_vectors(clean, columns, scale, "dv").withColumnRenamed(ROW_ID, "did"))
     pairs = cut_lineage(

@@ -12,16 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.functions.keys import ROW_HASH, ROW_ID
 from tamis.functions.linear import principal_axes
 from tamis.functions.schema import carried_columns, numeric_columns, quoted
 from tamis.functions.stats import moments, summaries
 from tamis.operators.base import Settings, Stage, register, training_sample
 
 EXPRESSION_TERMS = 600
-MAX_COMPONENTS = 50
 MI_BINS = 32
-MAX_CLASSES = 10_000
 
 
 def _inputs(df: DataFrame, s: Settings) -> tuple[list[str], DataFrame]:
@@ -107,14 +104,10 @@ def fit_pca(df: DataFrame, s: Settings) -> dict:
     return state
 
 
-def component_count(n_components, features: int, rows: int, strict: bool) -> int:
-    k = n_components
-    if isinstance(k, float) and 0 < k < 1:
-        k = math.ceil(features * k)
-    upper = min(features, max(1, rows - (1 if strict else 0)), MAX_COMPONENTS)
-    if strict:
-        upper = min(upper, max(1, min(features, rows) - 1))
-    return min(max(1, int(k)), upper)
+def wanted_components(n_components, columns: int, most: int) -> int:
+    """A number of components, or a share of the columns; from 1 to ``most``."""
+    asked = math.ceil(columns * n_components) if 0 < n_components < 1 else int(n_components)
+    return min(max(asked, 1), max(most, 1))
 
 
 def fit_fixed_pca(df: DataFrame, s: Settings) -> dict:
@@ -123,7 +116,8 @@ def fit_fixed_pca(df: DataFrame, s: Settings) -> dict:
     n, mean, std, corr = _scaled(sample, columns)
     if min(len(columns), n) < 2:
         return _linear_state(columns, mean, std, np.eye(len(columns))[:1], [f"{s.method}_1"])
-    k = component_count(s.n_components, len(columns), n, s.method == "pca_arpack")
+    rank = min(len(columns), n)
+    k = wanted_components(s.n_components, len(columns), rank - 1 if s.method == "pca_arpack" else rank)
     values, axes = principal_axes(corr)
     state = _linear_state(columns, mean, std, axes[:k], [f"{s.method}_{i + 1}" for i in range(k)])
     state["variance"] = values.tolist()
@@ -198,17 +192,20 @@ def _mutual_information(sample: DataFrame, columns: list[str], label: str) -> di
         .groupBy("c", "b", "y")
         .count()
     )
-    # bins x classes per column; both are small, checked by the limit
-    rows = counts.limit(len(columns) * MI_BINS * MAX_CLASSES + 1).collect()
+
+    def terms(*keys: str) -> DataFrame:
+        """Sum of n log n over the cells of each column, one row per column."""
+        cells = counts.groupBy("c", *keys).agg(F.sum("count").cast("double").alias("m"))
+        return cells.groupBy("c").agg(F.sum(F.col("m") * F.log("m")).alias("t"), F.sum("m").alias("n"))
+
+    parts = [{r["c"]: (r["t"], r["n"]) for r in terms(*keys).collect()} for keys in (("b", "y"), ("b",), ("y",))]
     out = {}
     for i, c in enumerate(columns):
-        mine = [(r["b"], r["y"], r["count"]) for r in rows if r["c"] == i]
-        n = sum(k for _, _, k in mine)
-        by_bin, by_class = {}, {}
-        for b, y, k in mine:
-            by_bin[b] = by_bin.get(b, 0) + k
-            by_class[y] = by_class.get(y, 0) + k
-        out[c] = sum(k / n * math.log(k * n / (by_bin[b] * by_class[y])) for b, y, k in mine) if n else 0.0
+        if i not in parts[0]:
+            out[c] = 0.0
+            continue
+        (joint, n), (bins, _), (classes, _) = (part[i] for part in parts)
+        out[c] = (joint - bins - classes) / n + math.log(n)
     return out
 
 
@@ -222,16 +219,16 @@ def apply_kept(df: DataFrame, s: Settings, state: dict) -> DataFrame:
 # --- generated products ---------------------------------------------------------------------------
 
 
-def input_limit(max_generated: int) -> int:
-    """Most inputs whose degree-2 terms stay within the wanted number of columns."""
-    return max(1, int((math.sqrt(9 + 8 * max_generated) - 3) // 2))
-
-
 def fit_products(df: DataFrame, s: Settings) -> dict:
+    """Inputs by falling variance. ``max_generated_features``: raise where the columns would be more."""
     columns, sample = _inputs(df, s)
+    squares = len(columns) if s.method == "polynomial" else 0
+    made = len(columns) + squares + len(columns) * (len(columns) - 1) // 2
+    if s.max_generated_features is not None and made > int(s.max_generated_features):
+        raise ValueError(f"{made} columns would be generated, more than max_generated_features")
     spread = summaries(sample, {c: quoted(c).cast("double") for c in columns}, {"v": F.var_samp})
     ranked = sorted(columns, key=lambda c: (-(spread[c]["v"] if spread[c]["v"] is not None else -1.0), columns.index(c)))
-    return {"columns": ranked[: input_limit(int(s.max_generated_features))]}
+    return {"columns": ranked}
 
 
 def apply_products(df: DataFrame, s: Settings, state: dict) -> DataFrame:
@@ -255,44 +252,48 @@ def apply_products(df: DataFrame, s: Settings, state: dict) -> DataFrame:
 
 
 def fit_kernel(df: DataFrame, s: Settings) -> dict:
-    """Kernel components of a bounded landmark sample, as the option ``max_kernel_fit_rows`` says."""
+    """Kernel components: random Fourier features of the RBF kernel, and the principal axes of all sampled rows' features."""
     columns, sample = _inputs(df, s)
     n, mean, std, _ = _scaled(sample, columns)
     if min(len(columns), n) < 2:
         return _linear_state(columns, mean, std, np.eye(len(columns))[:1], [f"{s.method}_1"])
-    rows = sample.orderBy(ROW_HASH, ROW_ID).select(*[quoted(c) for c in columns]).limit(int(s.max_kernel_fit_rows)).collect()
-    marks = (np.array([[float(v) for v in r] for r in rows]) - mean) / std
-    gamma = 1.0 / len(columns)
-    kernel = np.exp(-gamma * _square_distances(marks, marks))
-    column_means, total = kernel.mean(axis=0), kernel.mean()
-    centred = kernel - column_means[None, :] - column_means[:, None] + total
-    k = component_count(s.n_components, len(columns), n, False)
-    values, axes = principal_axes(centred)
-    values, axes = values[:k], axes[:k]
-    weights = axes / np.sqrt(np.where(values > 1e-12, values, np.inf))[:, None]
-    return {
-        "columns": columns,
-        "centre": mean.tolist(),
-        "scale": std.tolist(),
-        "marks": marks.tolist(),
-        "gamma": gamma,
-        "means": column_means.tolist(),
-        "total": float(total),
-        "weights": weights.tolist(),
-        "names": [f"{s.method}_{i + 1}" for i in range(len(weights))],
+    rng = np.random.default_rng(int(s.seed))
+    wanted = int(s.kernel_features)
+    frequencies = rng.normal(scale=math.sqrt(2.0 / len(columns)), size=(wanted, len(columns)))
+    phases = rng.uniform(0, 2 * math.pi, wanted)
+    state = {"columns": columns, "centre": mean.tolist(), "scale": std.tolist(), "frequencies": frequencies.tolist(), "phases": phases.tolist()}
+    lifted = sample.select(_waves(state)(F.array(*[quoted(c).cast("double") for c in columns])).alias("w"))
+    _, centre, cov = moments(lifted, [F.get("w", F.lit(i)) for i in range(wanted)])
+    _, axes = principal_axes(cov)
+    k = wanted_components(s.n_components, len(columns), min(wanted, n))
+    return state | {
+        "offset": centre.tolist(),
+        "weights": axes[:k].tolist(),
+        "names": [f"{s.method}_{i + 1}" for i in range(k)],
     }
 
 
-def _square_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T), 0.0)
+def _waves(state: dict):
+    """Random Fourier features of a vector of columns, in Arrow batches."""
+    centre, scale = np.array(state["centre"]), np.array(state["scale"])
+    frequencies, phases = np.array(state["frequencies"]), np.array(state["phases"])
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def waves(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for vectors in batches:
+            if not len(vectors):
+                yield pd.Series([], dtype=object)
+                continue
+            x = (np.stack(vectors.to_numpy()) - centre) / scale
+            yield pd.Series(list(math.sqrt(2.0 / len(phases)) * np.cos(x @ frequencies.T + phases)))
+
+    return waves
 
 
 def apply_kernel(df: DataFrame, s: Settings, state: dict) -> DataFrame:
-    if "marks" not in state:
+    if "frequencies" not in state:
         return apply_linear(df, s, state)
-    marks, weights = np.array(state["marks"]), np.array(state["weights"])
-    centre, scale = np.array(state["centre"]), np.array(state["scale"])
-    means, total, gamma = np.array(state["means"]), state["total"], state["gamma"]
+    weights, offset, waves = np.array(state["weights"]), np.array(state["offset"]), _waves(state)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def components(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -300,13 +301,10 @@ def apply_kernel(df: DataFrame, s: Settings, state: dict) -> DataFrame:
             if not len(vectors):
                 yield pd.Series([], dtype=object)
                 continue
-            x = (np.stack(vectors.to_numpy()) - centre) / scale
-            kernel = np.exp(-gamma * _square_distances(x, marks))
-            centred = kernel - kernel.mean(axis=1)[:, None] - means[None, :] + total
-            yield pd.Series(list(centred @ weights.T))
+            yield pd.Series(list((np.stack(vectors.to_numpy()) - offset) @ weights.T))
 
     def make(full: DataFrame) -> list[Column]:
-        found = components(F.array(*[quoted(c).cast("double") for c in state["columns"]]))
+        found = components(waves(F.array(*[quoted(c).cast("double") for c in state["columns"]])))
         return [found[i].alias(name) for i, name in enumerate(state["names"])]
 
     return _output(df, s, state["columns"], make)
@@ -429,8 +427,8 @@ class FeatureExtraction(Stage):
     OPTIONS = {
         "n_components": 0.95,
         "cfs_threshold": 0.3,
-        "max_generated_features": 256,
-        "max_kernel_fit_rows": 500,
+        "max_generated_features": None,
+        "kernel_features": 128,
         "random_tree_estimators": 20,
         "random_tree_depth": 3,
         "seed": 0,

@@ -29,34 +29,39 @@ def _per_split(df: DataFrame, degree: float, values: dict[str, Column], probs: l
     return out
 
 
-def _by_split(table: dict, pick) -> Column:
-    out = F.lit(None).cast("double")
-    for split in SPLITS:
-        value = pick(table[split])
-        if value is not None:
-            out = F.when(F.col(SPLIT) == split, F.lit(float(value))).otherwise(out)
-    return out
+def _limits(df: DataFrame, names: list[str], table: dict) -> DataFrame:
+    """``df`` with one column per name, its value for the row's split.
+
+    The values come by a join, so no condition on them sinks below the projection that computes the row keys.
+    """
+    rows = [(split, *[None if v is None else float(v) for v in table[split]]) for split in SPLITS]
+    limits = df.sparkSession.createDataFrame(rows, ", ".join([f"{SPLIT} string", *[f"`{n}` double" for n in names]]))
+    return df.join(F.broadcast(limits), SPLIT, "left")  # three rows
 
 
 def fit_zsb(df: DataFrame, s: Settings) -> dict:
     columns = numeric_columns(df, s.label)
     values = {c: quoted(c).cast("double") for c in columns}
     medians = _per_split(df, s.degree, values, [0.5])
-    spread = {c: F.abs(values[c] - _by_split(medians, lambda t, c=c: t[c][0])) for c in columns}
-    mads = _per_split(df, s.degree, spread, [0.5])
+    names = [f"__m{i}" for i in range(len(columns))]
+    centred = _limits(df, names, {split: [medians[split][c][0] for c in columns] for split in SPLITS}) if columns else df
+    spread = {c: F.abs(values[c] - F.col(name)) for c, name in zip(columns, names)}
+    mads = _per_split(centred, s.degree, spread, [0.5])
     return {"columns": columns, "median": medians, "mad": mads}
 
 
 def apply_zsb(df: DataFrame, s: Settings, state: dict) -> DataFrame:
-    flags = []
-    for c in state["columns"]:
+    columns, flags = state["columns"], []
+    names = [f"__{tag}{i}" for i in range(len(columns)) for tag in "ms"]
+    table = {sp: [v for c in columns for v in (state["median"][sp][c][0], state["mad"][sp][c][0])] for sp in SPLITS}
+    wide = _limits(df, names, table) if columns else df
+    for i, c in enumerate(columns):
         x = quoted(c).cast("double")
-        centre = _by_split(state["median"], lambda t, c=c: t[c][0])
-        mad = _by_split(state["mad"], lambda t, c=c: t[c][0]) * F.lit(s.mad_factor)
+        centre, mad = F.col(f"__m{i}"), F.col(f"__s{i}") * F.lit(s.mad_factor)
         score = F.abs(x - centre) / F.when(mad > 0, mad)
         # zero spread: every value off the median is infinitely far, the median itself is not flagged
         flags.append(F.when(mad > 0, score > F.lit(s.z_cut)).otherwise(x != centre))
-    return _drop_flagged(df, s, [F.coalesce(f, F.lit(False)) for f in flags], None)
+    return _drop_flagged(wide, s, [F.coalesce(f, F.lit(False)) for f in flags], None).select(*[quoted(c) for c in df.columns])
 
 
 def fit_iqr(df: DataFrame, s: Settings) -> dict:
@@ -66,19 +71,18 @@ def fit_iqr(df: DataFrame, s: Settings) -> dict:
 
 
 def apply_iqr(df: DataFrame, s: Settings, state: dict) -> DataFrame:
-    flags, values = [], []
-    for c in state["columns"]:
-        x = quoted(c).cast("double")
-        q1 = _by_split(state["quartiles"], lambda t, c=c: t[c][0])
-        q3 = _by_split(state["quartiles"], lambda t, c=c: t[c][1])
+    columns, flags, values = state["columns"], [], []
+    names = [f"__{tag}{i}" for i in range(len(columns)) for tag in "lh"]
+    wide = _limits(df, names, {sp: [v for c in columns for v in state["quartiles"][sp][c]] for sp in SPLITS}) if columns else df
+    for i, c in enumerate(columns):
+        x, q1, q3 = quoted(c).cast("double"), F.col(f"__l{i}"), F.col(f"__h{i}")
         reach = F.lit(s.iqr_factor) * (q3 - q1)
         flags.append(F.coalesce((x < q1 - reach) | (x > q3 + reach), F.lit(False)))
         values.append(x)
-    if s.iqr_mode == "value_sum":
-        return _drop_flagged(df, s, flags, values)
-    if s.iqr_mode == "fraction":
-        return _drop_flagged(df, s, flags, None)
-    raise ValueError("iqr_mode must be 'value_sum' or 'fraction'")
+    if s.iqr_mode not in ("value_sum", "fraction"):
+        raise ValueError("iqr_mode must be 'value_sum' or 'fraction'")
+    kept = _drop_flagged(wide, s, flags, values if s.iqr_mode == "value_sum" else None)
+    return kept.select(*[quoted(c) for c in df.columns])
 
 
 def _drop_flagged(df: DataFrame, s: Settings, flags: list[Column], values: list[Column] | None) -> DataFrame:
@@ -138,4 +142,5 @@ class OutlierDetection(Stage):
         "iqr_factor": 1.5,
         "iqr_mode": "value_sum",
         "n_mad": 2.5,
+        "neighbours": 20,
     }

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions.keys import SPLIT, below, in_sample
-from tamis.functions.ranks import at_most, rank_limits
+from tamis.functions.ranks import with_ranks_below
 from tamis.functions.schema import quoted
 
 
@@ -32,14 +32,14 @@ def divide(df: DataFrame, test_rate: float = 0.3, val_rate: float = 0.3, exact:
     """Add ``split``. By default a hash threshold: no job and no shuffle; ``exact`` fixes the sizes."""
     check_rates(test_rate, val_rate)
     if exact:
-        limits = rank_limits(
-            df, lambda n: [split_sizes(n, test_rate, val_rate)[2], sum(split_sizes(n, test_rate, val_rate)[1:])], "split"
-        )
-        test_limit, val_limit = limits.get(0, [None, None])
-        is_test, is_val = at_most(test_limit, "split"), at_most(val_limit, "split")
-    else:
-        is_test = below(test_rate, "split")
-        is_val = below(test_rate + val_rate, "split")
+
+        def ranks(n: Column) -> list[Column]:
+            test = F.ceil(n * F.lit(test_rate))
+            return [test, test + (F.ceil((n - test) * F.lit(val_rate / (1 - test_rate))) if val_rate else F.lit(0))]
+
+        marked = with_ranks_below(df, ranks, ["__test", "__val"], "split")
+        return marked.withColumn(SPLIT, F.when(F.col("__test"), "test").when(F.col("__val"), "val").otherwise("train")).drop("__test", "__val")
+    is_test, is_val = below(test_rate, "split"), below(test_rate + val_rate, "split")
     return df.withColumn(SPLIT, F.when(is_test, "test").when(is_val, "val").otherwise("train"))
 
 
@@ -47,35 +47,25 @@ def degree_sample(df: DataFrame, degree: float, exact: bool = False) -> DataFram
     """The execution-degree sample; ``exact`` takes round(degree * rows) rows."""
     if not exact:
         return df.where(in_sample(degree))
-    limits = rank_limits(df, lambda n: [round(degree * n)], "degree")
-    return df.where(at_most(limits[0][0])) if limits else df.limit(0)
+    return with_ranks_below(df, lambda n: [F.rint(n * F.lit(float(degree)))], ["__in"], "degree").where("__in").drop("__in")
 
 
 def stratified_holdout(df: DataFrame, label: str, rate: float = 0.25, column: str = "holdout") -> DataFrame:
-    """Mark ``rate`` of each class; unstratified if a class has one row or there is one class."""
-    sizes = [r["count"] for r in df.groupBy(quoted(label)).count().limit(10_001).collect()]
-    stratify = 1 < len(sizes) <= 10_000 and min(sizes) >= 2
-    group = quoted(label) if stratify else None
-    limits = rank_limits(df, lambda n: [math.ceil(n * rate)], "holdout", group)
-    inside = F.lit(False)
-    for g, (limit,) in limits.items():
-        here = at_most(limit, "holdout")
-        inside = inside | (here & quoted(label).eqNullSafe(F.lit(g)) if stratify else here)
-    return df.withColumn(column, inside)
+    """Mark ``rate`` of each class, rounded up; a class of one row stays outside the holdout."""
+
+    def ranks(n: Column) -> list[Column]:
+        return [F.when(n >= 2, F.ceil(n * F.lit(rate))).otherwise(F.lit(0))]
+
+    return with_ranks_below(df, ranks, [column], "holdout", quoted(label))
 
 
 def cv_folds(df: DataFrame, label: str, most: int = 10, column: str = "fold") -> DataFrame:
     """Stratified folds 0..k-1, k = min(most, classes): each class is cut into k equal rank ranges."""
-    classes = df.groupBy(quoted(label)).count().limit(10_001).count()
-    k = min(most, classes)
+    counted = df.agg(F.count_distinct(quoted(label)) + F.max(F.when(quoted(label).isNull(), 1).otherwise(0))).first()[0]
+    k = min(most, counted or 0)
     if k < 2:
         raise ValueError("cross-validation needs at least two classes")
-    limits = rank_limits(df, lambda n: [n * j // k for j in range(1, k)], "fold", quoted(label))
-    fold = F.lit(None).cast("int")
-    for g, cuts in limits.items():
-        index = F.lit(0)
-        for cut in cuts:
-            index = index + F.when(at_most(cut, "fold"), 0).otherwise(1)
-        fold = F.when(quoted(label).eqNullSafe(F.lit(g)), index).otherwise(fold)
-    return df.withColumn(column, fold.cast("int"))
-
+    names = [f"__f{j}" for j in range(1, k)]
+    marked = with_ranks_below(df, lambda n: [F.floor(n * F.lit(j) / F.lit(k)) for j in range(1, k)], names, "fold", quoted(label))
+    fold = sum((F.when(F.col(n), 0).otherwise(1) for n in names), F.lit(0))
+    return marked.withColumn(column, fold.cast("int")).drop(*names)

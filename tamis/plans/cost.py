@@ -202,10 +202,15 @@ def effective(k: Column, b: Column, multiplier: Column, mode: str = "scaled") ->
 
 
 def plan_seconds(long_plans: DataFrame, coefficients: DataFrame, keys: list[str], on: list[str], overhead: float = 0.0) -> DataFrame:
-    """Total predicted seconds per plan. ``long_plans`` has stage, method, e; ``coefficients`` has k, b."""
-    priced = long_plans.join(coefficients, on)
+    """Total predicted seconds per plan. ``long_plans`` has stage, method, e; ``coefficients`` has k, b.
+
+    A plan with a stage that has no cost line keeps its count of stages and has a NULL cost: it is not priced.
+    """
+    priced = long_plans.join(coefficients, on, "left")
+    seconds = stage_seconds(F.col("k"), F.col("b"), F.col("e"))
+    whole = F.count(F.when(F.col("k").isNotNull() & F.col("b").isNotNull(), 1)) == F.count(F.lit(1))
     return priced.groupBy(*keys).agg(
-        (F.sum(stage_seconds(F.col("k"), F.col("b"), F.col("e"))) + F.lit(overhead)).alias("cost"),
+        F.when(whole, F.sum(seconds) + F.lit(overhead)).alias("cost"),
         F.count(F.lit(1)).alias("stages"),
     )
 

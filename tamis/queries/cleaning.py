@@ -50,8 +50,8 @@ def dedup_exact(spark, sf):
     f"""WITH b AS ({events_sql('event_type, user_id, value')}),
     m AS (SELECT split, min(user_id) AS ul, max(user_id) AS uh, min(value) AS vl, max(value) AS vh FROM b WHERE d2 < {threshold(0.6)} GROUP BY split),
     k AS (SELECT b.*, round_even((user_id - ul) / greatest(cast(uh - ul AS DOUBLE) * 0.001::DOUBLE, 1e-12), 0) AS ku,
-      round_even((value - vl) / greatest((vh - vl) * 0.001::DOUBLE, 1e-12), 0) AS kv, regexp_replace(lower(event_type), '[^0-9a-z]+', '', 'g') AS t FROM b JOIN m USING (split)),
-    s AS (SELECT min(row_id) AS row_id FROM k WHERE d2 < {threshold(0.6)} GROUP BY split, ku, kv, substr(t, 1, 16) || ':' || (length(t) // 4))
+      round_even((value - vl) / greatest((vh - vl) * 0.001::DOUBLE, 1e-12), 0) AS kv, regexp_replace(lower(event_type), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS t FROM b JOIN m USING (split)),
+    s AS (SELECT min(row_id) AS row_id FROM k WHERE d2 < {threshold(0.6)} GROUP BY split, ku, kv, CASE WHEN t = '' THEN '=' || event_type ELSE t END)
     SELECT row_id, split, event_type, user_id, value FROM b WHERE d2 >= {threshold(0.6)} OR row_id IN (SELECT row_id FROM s)""",
 )
 def dedup_approx(spark, sf):
@@ -62,9 +62,9 @@ def dedup_approx(spark, sf):
 @query(
     "dedup_approx_docs",
     f"""WITH b AS ({keyed_sql('documents', 'doc_id', 'text, lang')}),
-    k AS (SELECT *, regexp_replace(lower(text), '[^0-9a-z]+', '', 'g') AS t, regexp_replace(lower(lang), '[^0-9a-z]+', '', 'g') AS l FROM b)
+    k AS (SELECT *, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS t, regexp_replace(lower(lang), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS l FROM b)
     SELECT min(row_id) AS row_id, split FROM k
-    GROUP BY split, substr(t, 1, 16) || ':' || (length(t) // 4), substr(l, 1, 16) || ':' || (length(l) // 4)""",
+    GROUP BY split, CASE WHEN t = '' THEN '=' || text ELSE t END, CASE WHEN l = '' THEN '=' || lang ELSE l END""",
 )
 def dedup_approx_docs(spark, sf):
     df = keyed(read(spark, sf, "documents"), ["doc_id"]).select("row_id", "row_hash", "split", "text", "lang")
@@ -364,7 +364,7 @@ EMB_SQL = keyed_sql("embeddings", "vec_id", "embedding, label")
     st AS (SELECT i, median(x) AS m, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS s FROM x WHERE split = 'train' GROUP BY i),
     z AS (SELECT row_id, split, i, (x - m) / CASE WHEN s = 0 THEN 1 ELSE s END AS z FROM x JOIN st USING (i)),
     u AS (SELECT row_id, split, list(z ORDER BY i) AS z, sqrt(sum(z * z)) AS len FROM z GROUP BY row_id, split),
-    t AS (SELECT * FROM u WHERE split = 'train'), n AS (SELECT greatest(5, least(20, cast(floor(count(*) * 0.05) AS INT))) AS k FROM t),
+    t AS (SELECT * FROM u WHERE split = 'train'), n AS (SELECT 20 AS k),
     pr AS (SELECT a.row_id AS q, c.row_id AS d, 1 - list_inner_product(a.z, c.z) / (a.len * c.len) AS dist FROM u a, t c),
     tr AS (SELECT q, d, dist FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, d) AS r FROM pr WHERE q <> d AND q IN (SELECT row_id FROM t)), n WHERE r <= k),
     kd AS (SELECT q AS id, max(dist) AS kdist FROM tr GROUP BY q),

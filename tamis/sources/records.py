@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,39 +58,32 @@ def profile_lookup(
     """Most specific profile per wanted (dataset, process, method, cost_param).
 
     Order: dataset and cost mode, dataset, cost mode, generic. ``dataset``/``cost_param`` are NULL in the
-    less specific profiles. ``strict`` admits the first kind only.
+    less specific profiles. ``strict`` admits the first kind only. A wanted row without a profile stays, with
+    NULLs. Of equal keys the smallest profile counts.
     """
-    p = profiles.select(*[F.col(c).alias(f"p_{c}") for c in profiles.columns])
-    joined = wanted.join(p, (F.col("process") == F.col("p_process")) & (F.col("method") == F.col("p_method")))
-    same_data, same_cost = F.col("p_dataset") == F.col("dataset"), F.col("p_cost_param") == F.col("cost_param")
-    rank = (
-        F.when(same_data & same_cost, 1)
-        .when(same_data & F.col("p_cost_param").isNull(), 2)
-        .when(F.col("p_dataset").isNull() & same_cost, 3)
-        .when(F.col("p_dataset").isNull() & F.col("p_cost_param").isNull(), 4)
-    )
     keys = ["dataset", "process", "method", "cost_param"]
-    ranked = joined.withColumn("specificity", rank).where(F.col("specificity") == 1 if strict else F.col("specificity").isNotNull())
-    # at most four profiles per wanted row survive the filter
-    best = Window.partitionBy(*keys).orderBy("specificity")
-    return (
-        ranked.withColumn("__rn", F.row_number().over(best))
-        .where("__rn = 1")
-        .select(*keys, "specificity", *[F.col(f"p_{c}").alias(c) for c in profiles.columns if c not in keys])
-    )
+    rest = [c for c in profiles.columns if c not in keys]
+    found = wanted.select(*keys)
+    kinds = [("dataset", "cost_param"), ("dataset",), ("cost_param",), ()]
+    for number, by in enumerate(kinds[:1] if strict else kinds, 1):
+        # an equi-join for each kind: a wanted row meets only the profiles of its own keys
+        absent = [F.col(c).isNull() for c in ("dataset", "cost_param") if c not in by]
+        kind = profiles
+        for condition in absent:
+            kind = kind.where(condition)
+        on = ["process", "method", *by]
+        table = kind.groupBy(*on).agg(F.min(F.struct(*rest)).alias(f"__p{number}"))
+        found = found.join(table, on, "left")
+    filled = [F.col(f"__p{n}") for n in range(1, (1 if strict else len(kinds)) + 1)]
+    best = F.coalesce(*filled)
+    level = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in enumerate(filled, 1)])
+    return found.select(*keys, level.alias("specificity"), *[best[c].alias(c) for c in rest])
 
 
 def write_results(results: DataFrame, path: str) -> None:
     results.write.mode("append").option("header", True).csv(path)
 
 
-def combine_results(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
-
-
 def pending_cases(cases: DataFrame, finished: DataFrame, keys: list[str]) -> DataFrame:
     """Cases without a stored result."""
     return cases.join(finished.select(*keys).distinct(), keys, "left_anti")

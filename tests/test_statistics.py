@@ -1,6 +1,7 @@
 """Distributed statistics against NumPy, with small limits so the large-data paths run."""
 
 import math
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tamis.functions.keys import in_sample, with_row_keys
 from tamis.functions.neighbours import nearest
 from tamis.functions.quantiles import exact_quantiles, grouped_quantile
-from tamis.functions.ranks import at_most, rank_limits
+from tamis.functions.ranks import with_ranks_below
 from tamis.functions.stats import cardinality_over, correlations, modes, moments
 from tamis.operators.split import cv_folds, degree_sample, divide, split_sizes, stratified_holdout
 
@@ -46,7 +47,7 @@ def test_quantiles_by_selection(spark, shape):
     }[shape]
     probs = [0.0, 0.1, 0.25, 0.5, 0.731, 0.9, 1.0]
     df = numbers(spark, list(values) + [None] * 5).repartition(4)
-    got = exact_quantiles(df, {"x": F.col("x")}, probs, small_distinct=0, buckets=16, list_rows=20)["x"]
+    got = exact_quantiles(df, {"x": F.col("x")}, probs, buckets=16, list_rows=20)["x"]
     np.testing.assert_allclose(got, np.quantile(np.asarray(values, dtype=float), probs), rtol=1e-12)
     small = exact_quantiles(df, {"x": F.col("x")}, probs)["x"]
     np.testing.assert_allclose(small, got, rtol=1e-12)
@@ -54,7 +55,7 @@ def test_quantiles_by_selection(spark, shape):
 
 def test_quantiles_of_nothing(spark):
     df = numbers(spark, [None, None])
-    assert exact_quantiles(df, {"x": F.col("x")}, [0.5], small_distinct=0) == {"x": [None]}
+    assert exact_quantiles(df, {"x": F.col("x")}, [0.5], list_rows=0) == {"x": [None]}
     assert exact_quantiles(df, {"x": F.col("x")}, [0.5]) == {"x": [None]}
 
 
@@ -69,14 +70,33 @@ def test_grouped_quantile_with_hot_group(spark):
             assert got[g] == pytest.approx(np.quantile(vs, p), rel=1e-12)
 
 
-def test_rank_limits_take_exact_counts(spark):
-    df = with_row_keys(spark.range(3000).withColumn("c", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 7).cast("string"))), ["id"])
-    limits = rank_limits(df, lambda n: [n // 4], "degree", F.col("c"), list_rows=10)
-    taken = F.lit(False)
-    for g, (limit,) in limits.items():
-        taken = taken | ((F.col("c") == g) & at_most(limit))
-    sizes = {r["c"]: (r["n"], r["k"]) for r in df.groupBy("c").agg(F.count("*").alias("n"), F.sum(taken.cast("int")).alias("k")).collect()}
-    assert all(k == n // 4 for n, k in sizes.values())
+def test_ranks_take_exact_counts(spark):
+    df = with_row_keys(spark.range(3000).withColumn("c", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 11 > 0, (F.col("id") % 7).cast("string"))), ["id"])
+    marked = with_ranks_below(df, lambda n: [F.floor(n / 4), F.lit(0), n + 5], ["quarter", "never", "always"], "degree", F.col("c"))
+    rows = marked.groupBy("c").agg(F.count("*").alias("n"), *[F.sum(F.col(x).cast("int")).alias(x) for x in ("quarter", "never", "always")]).collect()
+    assert len(rows) == 9 and all((r["quarter"], r["never"], r["always"]) == (r["n"] // 4, 0, r["n"]) for r in rows)
+
+
+def test_holdout_and_folds_of_many_classes(spark):
+    base = spark.range(60_000).selectExpr("id", "CASE WHEN id < 20000 THEN concat('s', id) ELSE concat('c', id % 5000) END AS y")
+    df = with_row_keys(base, ["id"])
+    rows = stratified_holdout(df, "y", 0.25).groupBy("y").agg(F.count("*").alias("n"), F.sum(F.col("holdout").cast("int")).alias("k")).collect()
+    assert len(rows) == 25_000 and all(r["k"] == (2 if r["n"] == 8 else 0) for r in rows)
+    folds = cv_folds(df, "y").where("y LIKE 'c%'").groupBy("y").agg(F.countDistinct("fold").alias("f")).collect()
+    assert {r["f"] for r in folds} == {8}
+
+
+def test_many_knots_of_many_distinct_values(spark):
+    df = spark.range(600_000).selectExpr("(id * 7919 % 600000) / 3.0D AS x")
+    probs = [i / 999 for i in range(1000)]
+    got = exact_quantiles(df, {"x": F.col("x")}, probs)["x"]
+    assert np.allclose(got, np.quantile(np.arange(600_000) / 3.0, probs), rtol=1e-12)
+
+
+def test_modes_keep_their_type(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "1.10", True)] * 3 + [(2**53, "2.20", False)] * 2, "a long, t string, b boolean").selectExpr("a", "cast(t AS decimal(10,2)) AS d", "b", "t")
+    assert modes(df, ["a", "d", "b", "t"]) == {"a": big, "d": Decimal("1.1"), "b": True, "t": "1.10"}
 
 
 def test_samples_are_nested_and_independent_of_layout(spark):
@@ -98,9 +118,9 @@ def test_exact_division_is_disjoint_and_complete(spark):
         divide(df, 0.7, 0.3)
 
 
-def test_holdout_falls_back_without_strata(spark):
+def test_holdout_leaves_single_rows_out(spark):
     df = with_row_keys(spark.range(41).withColumn("y", F.when(F.col("id") == 0, "rare").otherwise("a")), ["id"])
-    assert stratified_holdout(df, "y", 0.25).where("holdout").count() == math.ceil(41 * 0.25)
+    assert stratified_holdout(df, "y", 0.25).where("holdout").count() == 10
     two = with_row_keys(spark.range(40).withColumn("y", (F.col("id") % 2).cast("string")), ["id"])
     parts = stratified_holdout(two, "y", 0.25).where("holdout").groupBy("y").count().collect()
     assert sorted(r["count"] for r in parts) == [5, 5]
