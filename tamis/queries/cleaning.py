@@ -189,9 +189,9 @@ def _em_sql(rounds: int) -> str:
     )
 
 
-@query("imp_em", _em_sql(3))
+@query("imp_em", _em_sql(10))
 def imp_em(spark, sf):
-    return _imputed(spark, sf, "EM", 2, PAIR, ["row_id", "split", "qty", "amount"], em_rounds=3, em_tolerance=0.0)
+    return _imputed(spark, sf, "EM", 2, PAIR, ["row_id", "split", "qty", "amount"])
 
 
 @query(

@@ -338,7 +338,7 @@ def benefit_mse(spark, sf):
 def benefit_predict(spark, sf):
     """Boosted trees trained on the records score every plan."""
     scored = records(spark, sf)
-    model = train_benefit(scored, ["o_orderkey"], trees=20)
+    model = train_benefit(scored, ["o_orderkey"])
     return rounded(model.score(scored).select("o_orderkey", "accuracy", "u"), 6)
 
 

@@ -354,7 +354,7 @@ def plan_synthetic(spark, sf):
     """Zeroth-order Frank-Wolfe for the budget of every customer."""
     plans = two_stage(spark, sf, "customer", "c_custkey")
     space = Space(2, Objective(budget=F.col("budget")), cost=example_cost, affine=True)
-    return rounded(frank_wolfe(plans, space, column_score(example_utility, 2), ["c_custkey"], rounds=6, checkpoint_every=3), 6)
+    return rounded(frank_wolfe(plans, space, column_score(example_utility, 2), ["c_custkey"]), 6)
 
 
 @query("fw_deterministic")

@@ -186,9 +186,9 @@ def _power_sql(columns: list[str], steps: list[float]) -> str:
     return f"WITH {', '.join(parts)} SELECT row_id, split, {cells} FROM x, {', '.join(f's_{c}' for c in columns)}"
 
 
-@query("norm_power", _power_sql(["qty", "price"], [0.5, 0.1, 0.1 / 5, 0.1 / 25]))
+@query("norm_power", _power_sql(["qty", "price"], [0.5 / 5**i for i in range(7)]))
 def norm_power(spark, sf):
-    return _normed(spark, sf, "power", 4, _TWO, lambda_step=0.004)
+    return _normed(spark, sf, "power", 4, _TWO)
 
 
 # --- extraction -----------------------------------------------------------------------------------
