@@ -32,8 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REMEMBERED = 1_000_000
-BLOCK = 32 << 20  # bytes of text encoded together
+REMEMBERED = 400_000
+BLOCK = 8 << 20  # bytes of text encoded together
 PASSED = 128  # documents in a batch that is passed on
 
 
@@ -75,8 +75,11 @@ class Vocabulary:
             at = ranks.index(min(known))
             ids[at : at + 2] = [ranks[at]]
 
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of all words: every merge in rank order over an inverted index from pair to positions."""
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each word has.
+
+        Every merge in rank order over an inverted index from pair to positions.
+        """
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.cumsum(sizes) - sizes
         raw = np.frombuffer(b"".join(words), np.uint8)
@@ -89,13 +92,16 @@ class Vocabulary:
         joined = np.flatnonzero(follow >= 0)
         work.note(symbols[joined] << 32 | symbols[joined + 1], joined, -1)
         work.run()
-        ids = symbols[symbols >= 0].tolist()
-        ends = np.cumsum(np.bincount(np.repeat(np.arange(len(words)), sizes)[symbols >= 0], minlength=len(words))).tolist()
-        out = [ids[a:b] for a, b in zip([0, *ends], ends)]
-        for number in np.unique(np.searchsorted(starts, sorted(work.alone), side="right") - 1):
-            number = int(number)
-            out[number] = self.encode_word(words[number])
-        return out
+        left = symbols >= 0
+        ids, counts = symbols[left], np.bincount(np.repeat(np.arange(len(words)), sizes)[left], minlength=len(words))
+        alone = np.unique(np.searchsorted(starts, sorted(work.alone), side="right") - 1)
+        if len(alone):
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for number in alone.tolist():
+                parts[number] = np.array(self.encode_word(words[number]), np.int64)
+                counts[number] = len(parts[number])
+            ids = np.concatenate(parts)
+        return ids.astype(np.int32), counts
 
     def decode(self, ids: np.ndarray) -> bytes:
         lengths = self.lengths[ids]
@@ -215,9 +221,8 @@ class Encoder:
         known, number_of = len(self.numbers), self.numbers.__getitem__
         numbered = [np.fromiter(map(number_of, self.matches(t)), np.int32) for t in texts]
         if len(self.numbers) > known:
-            ids = self.vocabulary.replay([w.encode() for w in islice(self.numbers, known, None)])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for word in ids for i in word), np.int32)])
-            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+            ids, sizes = self.vocabulary.replay([w.encode() for w in islice(self.numbers, known, None)])
+            self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
             self.starts = np.cumsum(self.sizes) - self.sizes
         for number in numbered:
             size = self.sizes[number]
