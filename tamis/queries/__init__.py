@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tamis.queries.registry import QUERIES, SQL
 
-for _module in ("tables", "cleaning", "shaping", "scoring", "costs", "planning", "comparing"):
+for _module in ("tables", "cleaning", "shaping", "scoring", "costs", "planning", "comparing", "searching"):
     import_module(f"tamis.queries.{_module}")
 
 __all__ = ["QUERIES", "SQL"]
