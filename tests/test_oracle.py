@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import compare, connect
+from tamis.queries import QUERIES, SQL
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 # at the smallest scale these tables are too small for the columns their SQL names
@@ -15,10 +16,10 @@ def connections():
     return {d: connect(d) for d in (SMALL, MIDDLE)}
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, connections, name):
     folder = MIDDLE if name in NEED_MIDDLE else SMALL
-    ok, note = compare(spark, name, entry.queries()[name], entry.oracle_sql()[name], folder, connections[folder])
+    ok, note = compare(spark, name, QUERIES[name], SQL[name], folder, connections[folder])
     assert ok, note
 
 
