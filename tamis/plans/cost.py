@@ -166,6 +166,7 @@ def calibration_features(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, feature, value) rows of dataset sizes and names for the calibration product."""
     rows, cols = F.col("dataset_rows").cast("double"), F.col("dataset_cols").cast("double")
     safe = F.greatest(cols, F.lit(1.0))
+    # Names of the calibration features.
     pairs = [
         ("intercept", F.lit(1.0)),
         ("log_rows", F.log1p(rows)),

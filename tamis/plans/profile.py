@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tamis.functions.keys import ROW_ID, SPLIT
 from tamis.functions.schema import coerce_number, feature_columns, numeric_columns, quoted, text_columns
 
+# Names of the dataset meta-features.
 META_NAMES = [
     "log_rows", "log_cols", "log_numeric_cols", "log_categorical_cols", "numeric_ratio", "categorical_ratio",
     "log_cat_cardinality_sum", "log_cat_cardinality_max", "missing_rate", "log_rows_per_col",
