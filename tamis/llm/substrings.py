@@ -24,11 +24,13 @@ gives an empty result; only id and text are read.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -41,32 +43,54 @@ MER = 5
 RUN = 64  # windows of a super-k-mer, at most: the bits of its mask
 SLOTS = 1 << 16
 CROWDED = 1.5  # times the mean of a slot
-CHUNK = 2 << 20  # bytes of text whose words are in memory at a time
-BUCKETS_PER_PARTITION = 4
+CHUNK = 1 << 20  # bytes of text whose words are in memory at a time
+PACKED = 16 << 20  # bytes of super-k-mers that a task packs together
+BUCKETS_PER_PARTITION = 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    """Word to its 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
 
 
-def _mers(words: list[bytes], hashes: _Hashes) -> np.ndarray:
-    """A 64-bit hash of each run of ``MER`` words."""
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = len(h) - MER + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for i in range(MER if n > 0 else 0):
-        out = out * BASE + h[i : n + i]
-    return _mixed(out)
+class _Spans:
+    """64-bit hashes of any spans of a byte string, from prefix sums: an odd base can be divided by modulo 2**64."""
+
+    values = _mixed(np.arange(1, 257, dtype=np.uint64) * BASE)
+    powers = inverse = np.ones(1, np.uint64)
+
+    def __init__(self, raw: np.ndarray):
+        if len(raw) >= len(_Spans.powers):
+            size = len(raw) + (1 << 20)
+            _Spans.powers, _Spans.inverse = (
+                np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size, x, np.uint64)))) for x in (BASE, pow(int(BASE), -1, 1 << 64))
+            )
+        self.sums = np.zeros(len(raw) + 1, np.uint64)
+        terms = self.sums[1:]
+        np.take(self.values, raw, out=terms)
+        terms *= _Spans.powers[: len(raw)]
+        np.cumsum(terms, out=terms)
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[ends] - self.sums[starts]) * _Spans.inverse[starts])
+
+
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a byte string start and end; single spaces or line ends between them."""
+    gaps = np.flatnonzero((raw == 0x20) | (raw == 0x0A))
+    return np.concatenate((np.zeros(1, np.int64), gaps + 1)), np.append(gaps, len(raw))
+
+
+def _joined(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """The words of all texts with a single space between any two, and how many each text has."""
+    plain = [b" ".join(t.split()) for t in texts]
+    counts = np.array([t.count(b" ") + 1 if t else 0 for t in plain], np.int64)
+    return b" ".join([t for t in plain if t]), counts
+
+
+def _mers(spans: _Spans, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return spans.of(starts[: len(starts) - MER + 1], ends[MER - 1 :]) if len(starts) >= MER else np.zeros(0, np.uint64)
 
 
 def _slot(mers: np.ndarray) -> np.ndarray:
@@ -77,12 +101,13 @@ def _frequent(texts: DataFrame) -> bytes:
     """One byte per slot: whether the runs of words in it are many. The table has a fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, hashes = np.zeros(SLOTS, np.int64), _Hashes()
-        for batch in batches:
-            for text in batch.column("text").cast(pa.binary()):
-                counts += np.bincount(_slot(_mers(text.as_py().split(), hashes)), minlength=SLOTS)
-            if len(hashes) > 1_000_000:
-                hashes.clear()
+        counts = np.zeros(SLOTS, np.int64)
+        for _, part in _chunks(batches):
+            # runs that reach from one text into the next are counted too; they are as rare as texts
+            joined, words = _joined(part)
+            if words.any():
+                raw = np.frombuffer(joined, np.uint8)
+                counts += np.bincount(_slot(_mers(_Spans(raw), *_words(raw))), minlength=SLOTS)
         slots = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "n"])
 
@@ -101,35 +126,60 @@ def _sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def runs(words: list[bytes], size: int, crowded: np.ndarray, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, minimiser) of the super-k-mers of a document."""
-    if len(words) < size:
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64)
-    mers = _mers(words, hashes)
+@dataclass
+class Runs:
+    """Super-k-mers of some texts: the text, the first window, how many windows, the minimiser and the packed words."""
+
+    text: np.ndarray
+    first: np.ndarray
+    length: np.ndarray
+    least: np.ndarray
+    strings: list[bytes]
+
+
+def runs(texts: list[bytes], size: int, crowded: np.ndarray) -> Runs:
+    joined, counts = _joined(texts)
+    ends = np.cumsum(counts)
+    none = np.zeros(0, np.int64)
+    if counts.max(initial=0) < size:
+        return Runs(none, none, none, none.astype(np.uint64), [])
+    raw = np.frombuffer(joined, np.uint8)
+    begin, close = _words(raw)
+    mers = _mers(_Spans(raw), begin, close)
     order = (mers >> np.uint64(1)) | (crowded[_slot(mers)].astype(np.uint64) << np.uint64(63))
     least = _sliding_minimum(order, size - MER + 1)
-    change = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    owner = np.repeat(np.arange(len(texts)), counts)[: len(least)]
+    inside = np.flatnonzero(np.arange(len(least)) + size <= ends[owner])  # windows within one text
+    least, owner = least[inside], owner[inside]
+    change = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]))))
     length = np.diff(np.append(change, len(least)))
     if length.max() > RUN:
         pieces = -(-length // RUN)
         within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         change = np.repeat(change, pieces) + within * RUN
         length = np.diff(np.append(change, len(least)))
-    return change, length, least[change]
+    start = inside[change]
+    strings = [joined[a:b] for a, b in zip(begin[start].tolist(), close[start + length + size - 2].tolist())]
+    return Runs(owner[change], start - (ends - counts)[owner[change]], length, least[change], strings)
 
 
-def _strings(text: bytes, size: int, crowded: np.ndarray, hashes: _Hashes):
-    words = text.split()
-    first, length, least = runs(words, size, crowded, hashes)
-    return first, least, [b" ".join(words[a : a + n + size - 1]) for a, n in zip(first.tolist(), length.tolist())]
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches cut into pieces of about ``CHUNK`` bytes of text."""
+    for whole in batches:
+        ends = np.cumsum(pc.binary_length(whole.column("text")).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < len(ends):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + CHUNK)))
+            batch = whole.slice(first, last - first)
+            yield batch, batch.column("text").cast(pa.binary()).to_pylist()
+            first = last
 
 
 def _super_kmers(texts: DataFrame, size: int, buckets: int, crowded_bytes: bytes) -> DataFrame:
     """(bucket, packed): each task's super-k-mers by bucket, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crowded, hashes, sent = np.frombuffer(crowded_bytes, np.uint8), _Hashes(), {}
+        crowded, sent = np.frombuffer(crowded_bytes, np.uint8), {}
         pack = zstandard.ZstdCompressor(level=3)
         held: dict[int, list[bytes]] = defaultdict(list)
 
@@ -140,71 +190,54 @@ def _super_kmers(texts: DataFrame, size: int, buckets: int, crowded_bytes: bytes
             return out
 
         volume = 0
-        for batch in batches:
-            for text in batch.column("text").cast(pa.binary()):
-                text = text.as_py()
-                _, least, strings = _strings(text, size, crowded, hashes)
-                for bucket, string in zip((_mixed(least) % np.uint64(buckets)).tolist(), strings):
-                    digest = xxhash.xxh3_128_digest(string)
-                    times = sent.get(digest, 0)
-                    if times < 2:
-                        sent[digest] = times + 1
-                        held[bucket].append(string)
-                volume += len(text)
-                if volume > CHUNK:
-                    yield flush()
-                    volume = 0
-            if len(hashes) > 1_000_000:
-                hashes.clear()
+        for _, part in _chunks(batches):
+            found = runs(part, size, crowded)
+            for bucket, string in zip((_mixed(found.least) % np.uint64(buckets)).tolist(), found.strings):
+                digest = xxhash.xxh3_128_digest(string)
+                times = sent.get(digest, 0)
+                if times < 2:
+                    sent[digest] = times + 1
+                    held[bucket].append(string)
+                    volume += len(string)
+            if volume > PACKED:
+                yield flush()
+                volume = 0
         yield flush()
 
     return texts.select("text").mapInArrow(run, "bucket int, packed binary")
 
 
-def repeated_windows(strings: list[bytes], size: int = SIZE) -> np.ndarray:
-    """Per string a 64-bit mask of its windows that start twice or more in ``strings``."""
-    numbers: dict[bytes, int] = defaultdict()
-    numbers.default_factory = numbers.__len__
-    words = b" ".join(strings).split(b" ")
-    ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-    del words
-    lengths = np.fromiter((s.count(b" ") + 1 for s in strings), np.int64, len(strings))
+def repeated_windows(strings: list[bytes], size: int = SIZE) -> tuple[list[bytes], np.ndarray]:
+    """The distinct strings, and per string a 64-bit mask of its windows that start twice or more in ``strings``."""
+    copies = Counter(strings)
+    distinct = list(copies)
+    blob = b"\n".join(distinct)
+    raw = np.frombuffer(blob, np.uint8)
+    begin, close = _words(raw)
+    lengths = np.fromiter((s.count(b" ") + 1 for s in distinct), np.int64, len(distinct))
     windows = lengths - size + 1
-    owner = np.repeat(np.arange(len(strings)), windows)
+    owner = np.repeat(np.arange(len(distinct)), windows)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     place = np.repeat(np.cumsum(lengths) - lengths, windows) + offset
-    # polynomial hash of every window from prefix sums; an odd base can be divided by modulo 2**64
-    powers = np.full(len(ids) + 1, BASE, np.uint64)
-    powers[0] = 1
-    inverse = np.full(len(ids) + 1, np.uint64(pow(int(BASE), -1, 1 << 64)), np.uint64)
-    inverse[0] = 1
-    powers, inverse = np.cumprod(powers), np.cumprod(inverse)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(ids.astype(np.uint64) + np.uint64(1)) * powers[:-1])))
-    hashes = (sums[place + size] - sums[place]) * inverse[place]
-    order = np.argsort(hashes, kind="stable")
+    first, last = begin[place], close[place + size - 1]
+    hashes = _Spans(raw).of(first, last)
+    order = np.argsort(hashes)
     ranked = hashes[order]
-    first = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, bool)
-    head = np.flatnonzero(first)
+    head = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
     count = np.diff(np.append(head, len(ranked)))
-    many = np.repeat(count > 1, count)
-    mine, lead = place[order[many]], place[order[np.repeat(head, count)[many]]]
-    equal = np.ones(len(mine), bool)
-    for i in range(size):
-        equal &= ids[mine + i] == ids[lead + i]
-    again = np.zeros(len(ranked), bool)
-    again[many] = True
-    if not equal.all():  # different windows with one hash: count these by their words
-        for h in np.unique(ranked[many][~equal]):
-            at = np.flatnonzero(ranked == h)
-            seen: dict[bytes, list[int]] = defaultdict(list)
-            for i in at:
-                seen[ids[place[order[i]] : place[order[i]] + size].tobytes()].append(i)
-            for same in seen.values():
-                again[same] = len(same) > 1
-    masks = np.zeros(len(strings), np.uint64)
-    found = order[again]
-    np.bitwise_or.at(masks, owner[found], np.uint64(1) << offset[found].astype(np.uint64))
-    return masks
+    again = []
+    for at, n in zip(head[count > 1].tolist(), count[count > 1].tolist()):
+        same = order[at : at + n].tolist()
+        texts = [blob[first[i] : last[i]] for i in same]
+        if texts.count(texts[0]) == n:
+            again += same
+        else:  # different windows with one hash
+            times = Counter(texts)
+            again += [i for i, text in zip(same, texts) if times[text] > 1]
+    masks = np.zeros(len(distinct), np.uint64)
+    np.bitwise_or.at(masks, owner[again], np.uint64(1) << offset[again].astype(np.uint64))
+    whole = ~np.uint64(0) >> (np.uint64(64) - np.minimum(windows, RUN).astype(np.uint64))
+    return distinct, np.where(np.fromiter(copies.values(), np.int64, len(distinct)) > 1, whole, masks)
 
 
 def _digests(strings: list[bytes]) -> tuple[pa.Array, pa.Array]:
@@ -218,10 +251,10 @@ def _repeated(packed: DataFrame, size: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
         strings = [s for blob in table.column("packed").to_pylist() for s in unpack.decompress(blob).split(b"\n")]
-        masks = repeated_windows(strings, size)
-        found = {strings[i]: masks[i] for i in np.flatnonzero(masks)}
-        high, low = _digests(list(found))
-        return pa.table({"high": high, "low": low, "mask": pa.array(np.array(list(found.values()), np.uint64).view(np.int64), pa.int64())})
+        distinct, masks = repeated_windows(strings, size)
+        found = np.flatnonzero(masks)
+        high, low = _digests([distinct[i] for i in found.tolist()])
+        return pa.table({"high": high, "low": low, "mask": pa.array(masks[found].view(np.int64), pa.int64())})
 
     return packed.groupBy("bucket").applyInArrow(run, "high long, low long, mask long")
 
@@ -230,30 +263,13 @@ def _occurrences(texts: DataFrame, size: int, crowded_bytes: bytes, key_type: st
     """(id, print, first, high, low): where each super-k-mer stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crowded, hashes = np.frombuffer(crowded_bytes, np.uint8), _Hashes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                row, firsts, raw = [], [], []
-                for i, text in enumerate(batch.column("text").cast(pa.binary())):
-                    first, _, strings = _strings(text.as_py(), size, crowded, hashes)
-                    row.append(np.full(len(first), i))
-                    firsts.append(first)
-                    raw += map(xxhash.xxh3_128_digest, strings)
-                rows = pa.array(np.concatenate(row).astype(np.int64))
-                sums = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id").take(rows),
-                        batch.column("print").take(rows),
-                        pa.array(np.concatenate(firsts).astype(np.int32)),
-                        pa.array(np.ascontiguousarray(sums[:, 0])),
-                        pa.array(np.ascontiguousarray(sums[:, 1])),
-                    ],
-                    names=["id", "print", "first", "high", "low"],
-                )
-            if len(hashes) > 1_000_000:
-                hashes.clear()
+        crowded = np.frombuffer(crowded_bytes, np.uint8)
+        for batch, part in _chunks(batches):
+            found = runs(part, size, crowded)
+            rows = pa.array(found.text)
+            places = pa.array(found.first.astype(np.int32))
+            columns = [batch.column("id").take(rows), batch.column("print").take(rows), places, *_digests(found.strings)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "print", "first", "high", "low"])
 
     return texts.mapInArrow(run, f"id {key_type}, print long, first int, high long, low long")
 
@@ -271,6 +287,18 @@ def covered(n_words: int, spots: list[dict] | None, size: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _compressed(texts: DataFrame, key_type: str) -> DataFrame:
+    """(id, print, packed): the texts as the last join carries them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch, part in _chunks(batches):
+            packed = pa.array([pack.compress(t) for t in part], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("print"), packed], names=["id", "print", "packed"])
+
+    return texts.mapInArrow(run, f"id {key_type}, print long, packed binary")
+
+
 OUTPUT = "n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
@@ -290,13 +318,14 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size:
         .agg(F.collect_set(F.struct("first", "mask")).alias("spots"))
         .select(F.col("id").alias("of"), F.col("print").alias("of_print"), "spots")
     )
-    joined = texts.join(spots, F.col("id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("of_print")), "left").select("id", "text", "spots")
+    joined = _compressed(texts, kind).join(spots, F.col("id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("of_print")), "left").select("id", "packed", "spots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for i, value in enumerate(batch.column("text").cast(pa.binary())):
-                words = value.as_py().split()
+            for i, value in enumerate(batch.column("packed")):
+                words = unpack.decompress(value.as_py()).split()
                 spots = batch.column("spots")[i].as_py()
                 if spots:
                     gone = covered(len(words), spots, size)
