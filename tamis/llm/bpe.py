@@ -32,9 +32,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REMEMBERED = 400_000
-BLOCK = 8 << 20  # bytes of text encoded together
-PASSED = 128  # documents in a batch that is passed on
+REMEMBERED = 300_000
+PAIRS = 200_000  # pairs whose merge is remembered
+BLOCK = 6 << 20  # bytes of text encoded together
+PASSED = 64  # documents in a batch that is passed on
 
 
 def read_ranks(path: str) -> bytes:
@@ -61,6 +62,8 @@ class Vocabulary:
     def pair_rank(self, pair: int) -> int:
         rank = self.pair_ranks.get(pair)
         if rank is None:
+            if len(self.pair_ranks) >= PAIRS:
+                self.pair_ranks.clear()
             rank = self.pair_ranks[pair] = self.ranks.get(self.tokens[pair >> 32] + self.tokens[pair & 0xFFFFFFFF], -1)
         return rank
 
@@ -198,7 +201,7 @@ class _Replay:
         )
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def vocabulary(raw: bytes) -> Vocabulary:
     return Vocabulary(raw)
 
@@ -241,12 +244,16 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "ids") -> DataFrame:
-    """The kept columns and ``ids`` (array of int) of every row."""
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"`{name}` array<int>"])
+def encode(
+    df: DataFrame, ranks: bytes, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "ids", decoded: str | None = None
+) -> DataFrame:
+    """The kept columns and ``ids`` (array of int) of every row; with ``decoded``, also what the ids decode to, in one pass."""
+    columns = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"`{name}` array<int>"]
+    schema = ", ".join(columns + ([f"`{decoded}` binary"] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary(ranks), pattern)
+        words = vocabulary(ranks)
+        encoder = Encoder(words, pattern)
         for whole in batches:
             texts = whole.column(whole.num_columns - 1)
             for first, last in _blocks(texts):
@@ -255,8 +262,10 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", keep:
                     batch = whole.slice(at, min(PASSED, last - at))
                     ids = list(islice(encoded, batch.num_rows))
                     offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*keep, name])
+                    out = [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))]
+                    if decoded:
+                        out.append(pa.array([words.decode(i.astype(np.int64)) for i in ids], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(out, names=[*keep, name, *[decoded] * bool(decoded)])
 
     return df.select(*[F.col(c) for c in keep], F.coalesce(F.col(text), F.lit("")).alias("_whole")).mapInArrow(run, schema)
 

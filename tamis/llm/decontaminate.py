@@ -33,6 +33,7 @@ Q = 10
 RATE = 0.08  # edits per character of an item
 BLOCK = 8 << 20  # bytes of items sent to the tasks together
 CHUNK = 1 << 20  # characters searched together
+ROWS = 512  # texts handled together
 BITS = 20
 SLOT_BITS = 18
 MULTIPLIER = np.uint32(0x9E3779B1)
@@ -243,10 +244,12 @@ def without_leaks(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value, q, rate)
-            for batch in batches:
-                texts = [normalised(t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-                leaking = {row for row, *_ in search(index, texts)}
-                yield batch.filter(pa.array([i not in leaking for i in range(len(texts))], pa.bool_()))
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(at, ROWS)
+                    texts = [normalised(t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+                    leaking = {row for row, *_ in search(index, texts)}
+                    yield batch.filter(pa.array([i not in leaking for i in range(len(texts))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

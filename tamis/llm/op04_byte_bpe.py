@@ -6,14 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.bpe import decode, encode, read_ranks
+from tamis.llm.bpe import encode, read_ranks
 from tamis.llm.registry import query, read
 
 
 def encoded_and_decoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """(kept columns, n_tokens, ids if wanted, ids_sha256, decoded_sha256)."""
     ranks = read_ranks(path)
-    both = decode(encode(docs, ranks, public_tokenizers.PATTERN, keep=keep), ranks)
+    both = encode(docs, ranks, public_tokenizers.PATTERN, keep=keep, decoded="decoded")
     listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return both.select(
         *keep,

@@ -32,6 +32,7 @@ FEATURES = (
     "log_words", "word_length", "distinct_words", "distinct_pairs", "top_word", "same_in_a_row", "capitals", "symbols", "separators",
     "exclamations", "digits", "non_ascii", "closed_lines", "repeated_lines", "words_per_line", "marks",
 )
+ROWS = 512  # texts handled together
 _NOISE = [bytes([b]) for b in b"#*$%&<>"]
 _DIGITS = b"0123456789"
 _HIGH = bytes(range(128, 256))
@@ -242,9 +243,11 @@ def keep_good(df: DataFrame, model: Model, threshold: float, text: str = "text")
     """The rows of ``df`` that score at least ``threshold``, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
-            rows = np.array([features(t or b"") for t in texts], np.float64).reshape(-1, len(FEATURES))
-            yield batch.filter(pa.array(model.score(rows) >= threshold))
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
+                rows = np.array([features(t or b"") for t in texts], np.float64).reshape(-1, len(FEATURES))
+                yield batch.filter(pa.array(model.score(rows) >= threshold))
 
     return df.mapInArrow(run, df.schema)

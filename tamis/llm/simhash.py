@@ -40,6 +40,7 @@ FLIPS = 3
 BLOCK = 1024  # fingerprints compared with as many in one task
 GENERATOR = 0b101011100011  # of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 CHUNK = 1 << 16
+ROWS = 256  # texts or fingerprints handled together
 
 
 def fingerprint(text: bytes, size: int = 3) -> int:
@@ -59,10 +60,12 @@ def fingerprint(text: bytes, size: int = 3) -> int:
 def with_fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """``df`` with the fingerprint (long) of its texts. Row-local."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
-            prints = pa.array([fingerprint(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], prints], names=[*batch.schema.names[:-1], name])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
+                prints = pa.array([fingerprint(t) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], prints], names=[*batch.schema.names[:-1], name])
 
     kept = [f for f in df.schema.fields if f.name != name]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{name}` bigint"])
@@ -131,8 +134,8 @@ def _keys_of(prints: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(values), 4096):
-                key, value, side = fuzzy_keys(np.ascontiguousarray(values[at : at + 4096], np.int64))
+            for at in range(0, len(values), 4 * ROWS):
+                key, value, side = fuzzy_keys(np.ascontiguousarray(values[at : at + 4 * ROWS], np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(value), pa.array(side)], names=["key", "fingerprint", "side"])
 
     return prints.select("fingerprint").mapInArrow(run, "key long, fingerprint long, side byte")
@@ -160,7 +163,9 @@ def _forests(table: pa.Table) -> pa.Table:
 
 def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     """(node, other): links that connect the distinct fingerprints of ``prints`` as all pairs within 3 flips do."""
-    keys = _keys_of(prints)
+    # every fingerprint becomes some 75 rows: deal them to all tasks before, not after
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = _keys_of(prints.repartition(tasks, "fingerprint"))
     crowded = cut_lineage(keys.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > block))
     plain = keys.join(crowded, "key", "left_anti")
     mine = plain.where("side < 2").select("key", F.col("fingerprint").alias("node"), "side")

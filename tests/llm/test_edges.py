@@ -100,6 +100,8 @@ def test_bpe(odd, none):
     assert sorted((str(r["doc_id"]), r["ids"], bytes(r["decoded"])) for r in rows) == sorted(
         (str(k), encoding.encode_ordinary(t), t.encode()) for k, t in texts_of(odd)
     )
+    once = bpe.encode(odd, RANKS, public_tokenizers.PATTERN, keep=("doc_id", "lang"), decoded="decoded").collect()
+    assert sorted(map(str, once)) == sorted(map(str, rows))
     assert bpe.decode(bpe.encode(none, RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
     assert bytes(bpe.decode(odd.selectExpr("cast(null as array<int>) as ids").limit(1), RANKS).first()["decoded"]) == b""
 
