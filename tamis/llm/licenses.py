@@ -1,16 +1,19 @@
 """License scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-A document is compared as a whole, by paragraphs (cut at empty lines) and by lines, equal pieces once.
-Normalising lower-cases and turns everything but letters and digits into single spaces. With bigram sets
-A of a piece and B of a template, Dice is ``2 |A & B| / (|A| + |B|)``. A Dice of t or more needs
-``|B| t / (2 - t) <= |A| <= |B| (2 - t) / t``, so a piece is compared only with the templates that its size
-admits: a lookup by size, not a join over all templates.
+All windows of consecutive words of a document are compared, whatever lines or paragraphs they reach over, so the
+whole, its paragraphs and its lines are among them. Normalising lower-cases and turns everything but letters and
+digits into single spaces. With bigram sets A of a window and B of a template, Dice is ``2 |A & B| / (|A| + |B|)``.
+
+A Dice of t or more needs ``|A & B| >= |B| t / (2 - t)``, so a document is searched only for the templates of which it
+holds that many bigrams anywhere. The search leaves out windows that a shorter one equals or beats: those whose first
+or last bigram is not the template's, or stands in the window once more. A start so reaches as far as its bigram's next
+place, and the work for a template is at most the words of the document times the bigrams of the template.
 
 Everything is row-local in DataFrame functions: no shuffle, and no copy, source or line can become hot.
 The templates are a parameter whose size does not depend on the documents.
 
-Defined cases: a null text is an empty one and matches nothing; pieces of less than two words have no
-bigram and match nothing; a licence counts once per document, with its best Dice; repeated rows and equal
+Defined cases: a null text is an empty one and matches nothing; a text of less than two words has no
+bigram and matches nothing; a licence counts once per document, with its best Dice; repeated rows and equal
 ids each give a row; an empty table gives an empty result; only id and text are read.
 """
 
@@ -95,52 +98,82 @@ def admitted(size: int, threshold: float) -> range:
     return range(math.ceil(size * threshold / (2 - threshold) - 1e-9), math.floor(size * (2 - threshold) / threshold + 1e-9) + 1)
 
 
-def pieces(text: Column) -> Column:
-    """Normalised pieces of a text: the whole, its paragraphs and its lines, each once."""
-    lines = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def bigrams_of(text: Column) -> Column:
+    """The bigrams of a text in order, repeated ones too."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
+    return _let(
+        words, lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    )
+
+
+def _places(grams: Column) -> Column:
+    """Bigrams by place, each with the places where it stands last before and next after."""
 
-    def flat(part: Column) -> Column:
-        return F.trim(F.regexp_replace(part, r"[ \n]+", " "))
+    def linked(ranked: Column) -> Column:
+        def near(x: Column, at: Column, none: Column) -> Column:
+            other = F.get(ranked, at)
+            return F.when(other["gram"] == x["gram"], other["at"]).otherwise(none)
 
-    return F.array_distinct(
-        F.concat(
-            F.transform(F.split(lines, "\n", -1), lambda line: F.trim(line)),
-            F.transform(F.split(lines, r"\n *\n", -1), flat),
-            F.array(flat(lines)),
+        return F.transform(
+            ranked,
+            lambda x, k: F.struct(
+                x["at"].alias("at"),
+                x["gram"].alias("gram"),
+                near(x, k - 1, F.lit(-1)).alias("before"),
+                near(x, k + 1, F.size(ranked)).alias("after"),
+            ),
         )
+
+    ranked = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("gram"), i.alias("at"))))
+    return F.sort_array(_let(ranked, linked))
+
+
+def _best(places: Column, template: Column) -> Column:
+    """The best Dice of all windows of consecutive words; null if no bigram is the template's."""
+    marked = F.transform(
+        places,
+        lambda p: F.struct(
+            p["at"].alias("at"), p["before"].alias("before"), p["after"].alias("after"), F.array_contains(template["grams"], p["gram"]).alias("held")
+        ),
     )
 
+    def opened(all_: Column, start: Column) -> Column:
+        """The best Dice of the windows that open at a start: new bigrams are counted as the window grows."""
+        fresh = F.filter(F.slice(all_, start["at"] + 1, start["after"] - start["at"]), lambda p: p["before"] < start["at"])
+        ends = F.filter(F.transform(fresh, lambda p, i: F.struct((i + 1).alias("size"), p["held"].alias("held"))), lambda e: e["held"])
+        dice = F.transform(ends, lambda e, i: F.lit(2.0) * (i + 1) / (e["size"] + F.size(template["grams"])))
+        return F.array_max(dice)
+
+    return _let(marked, lambda m: F.array_max(F.transform(F.filter(m, lambda p: p["held"]), lambda start: opened(m, start))))
+
 
 def matches(text: Column, templates: tuple[Template, ...] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """Array of (license, dice) of all pieces and templates that reach the threshold."""
-    by_size: dict[int, list[Column]] = {}
+    """Array of (license, dice) of the templates that reach the threshold in some window of the text."""
+    rows, known = [], set()
     for template in templates:
         grams = bigrams(template.text)
-        row = F.struct(F.lit(template.license).alias("license"), F.array(*map(F.lit, grams)).alias("grams"))
-        for size in admitted(len(grams), threshold):
-            by_size.setdefault(size, []).append(row)
-    none = F.array().cast("array<struct<license:string,grams:array<string>>>")
-    table = F.array(*[F.array(*by_size[n]) if n in by_size else none for n in range(max(by_size) + 1)])
-    least = min(by_size) + 1
-    words = F.filter(F.transform(pieces(text), lambda p: F.split(p, " ")), lambda w: F.size(w) >= least)
-    sets = F.transform(
-        words,
-        lambda w: F.array_distinct(
-            F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
-        ),
-    )
+        known |= set(grams)
+        least = admitted(len(grams), threshold).start
+        rows.append(F.struct(F.lit(template.license).alias("license"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(least).alias("least")))
+    table, known = F.array(*rows), F.array(*map(F.lit, sorted(known)))
 
-    def against(grams: Column) -> Column:
-        rated = F.transform(
-            F.coalesce(F.get(table, F.size(grams)), none),
-            lambda t: F.struct(
-                t["license"].alias("license"),
-                (F.lit(2.0) * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + F.size(t["grams"]))).alias("dice"),
-            ),
-        )
-        return F.filter(rated, lambda m: m["dice"] >= threshold)
+    def compared(grams: Column) -> Column:
+        def likely(common: Column) -> Column:
+            return F.filter(table, lambda t: (F.size(common) >= t["least"]) & (F.size(F.array_intersect(common, t["grams"])) >= t["least"]))
+
+        def rated(found: Column) -> Column:
+            best = _let(_places(grams), lambda p: F.transform(found, lambda t: F.struct(t["license"].alias("license"), _best(p, t).alias("dice"))))
+            return F.when(F.size(found) > 0, F.filter(best, lambda m: m["dice"] >= threshold))
+
+        return _let(_let(F.array_intersect(grams, known), likely), rated)
 
-    return F.flatten(F.transform(sets, against))
+    none = F.array().cast("array<struct<license:string,dice:double>>")
+    return F.coalesce(_let(bigrams_of(text), compared), none)
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[Template, ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

@@ -205,6 +205,47 @@ def test_license_sizes_lose_nothing():
                 assert other in licenses.admitted(size, 0.8)
 
 
+def test_licenses_inside_longer_texts(spark):
+    mit = next(t.text for t in licenses.TEMPLATES if "hereby granted" in t.text)
+    first, rest = mit.split(" The above copyright")
+    second, third = rest.split(" THE SOFTWARE IS PROVIDED")
+    notice = [first, "The above copyright" + second, "THE SOFTWARE IS PROVIDED" + third]
+    words = (" ".join(notice)).split()
+    prose = " ".join(f"w{i * i % 97}" for i in range(300))
+    comment = "\n".join(["/*"] + [" * " + " ".join(words[i : i + 9]) for i in range(0, len(words), 9)] + [" *", " */", prose])
+    texts = {
+        1: "\n\n".join([prose, *notice, prose]),
+        2: comment,
+        3: "All code here is by the authors. This work is licensed under the GNU General Public License, version 3.",
+        4: f"{prose} Released under the MIT License. {prose}",
+        5: f"{prose}\n\n{notice[0]}\n\n{prose}",
+    }
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r["doc_id"]: {m["license"]: m["dice"] for m in r["licenses"]} for r in licenses.scan(frame).collect()}
+    assert found == {1: {"MIT": 1.0}, 2: {"MIT": 1.0}, 3: {"GPL-3.0": 1.0}, 4: {"MIT": 1.0}, 5: {}}
+
+
+def test_license_windows_equal_all_windows(spark):
+    templates = (licenses.Template("A", "a b c d e a b"), licenses.Template("B", "b a b c"), licenses.Template("C", "e d c b a x y z"))
+    rng = np.random.default_rng(3)
+    texts = [(i, " ".join(rng.choice(list("abcdexyzq"), size=int(rng.integers(0, 26)), p=[0.2, 0.2, 0.15, 0.1, 0.1, 0.05, 0.05, 0.05, 0.1]))) for i in range(300)]
+    expected = {}
+    for key, text in texts:
+        words, best = text.split(), {}
+        for i in range(len(words)):
+            for j in range(i + 2, len(words) + 1):
+                grams = set(zip(words[i:j], words[i + 1 : j]))
+                for t in templates:
+                    other = set(zip(t.text.split(), t.text.split()[1:]))
+                    dice = 2.0 * len(grams & other) / (len(grams) + len(other))
+                    if dice >= 0.8:
+                        best[t.license] = max(best.get(t.license, 0), dice)
+        expected[key] = best
+    rows = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string"), templates=templates).collect()
+    assert {r["doc_id"]: {m["license"]: m["dice"] for m in r["licenses"]} for r in rows} == expected
+    assert sum(map(len, expected.values())) > 30
+
+
 def test_secrets(odd, none):
     rows = {r["id"]: r for r in secrets.scan(odd).collect()}
     assert secrets.scan(odd).count() == 15 and secrets.scan(none).count() == 0
