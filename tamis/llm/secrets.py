@@ -11,7 +11,8 @@ Texts are keyed by a 64-bit hash of id and text. Two rows with one key share the
 can only add a verification, never lose a match; so repeated ids and rows need no care.
 
 A match is judged after it is found: leftmost, non-overlapping, then dropped if its ``group`` is shorter
-than ``least`` code points. Spans count code points, end exclusive.
+than ``least`` code points. Spans count code points, end exclusive. A private key's match is all of it: from its BEGIN
+line through its END line, or to the end of the text if that line is missing.
 
 Defined cases: a null text is an empty one; a null id is a key like others; a text without matches has
 empty lists; an empty table gives an empty result. Regexes use the syntax that Java, RE2 and Python share;
@@ -34,6 +35,7 @@ class Rule:
     pattern: str
     least: int = 0  # code points that the group must have
     group: int = 0  # must end where the match ends
+    tail: str = ""  # carries a match on; matches any rest of a text, so that no match is lost
 
 
 RULES = (
@@ -45,7 +47,7 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]+", 35),
     Rule("stripe", r"sk_live_[A-Za-z0-9]+", 24),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", tail=r"(?s:.*?)(?:-----END [A-Z ]*PRIVATE KEY-----|\z)"),
 )
 
 MOST_STRINGS = 48  # exact strings followed side by side while a regex is read
@@ -154,9 +156,10 @@ def rule_spans(text: Column, rule: Rule, place: int) -> Column:
 
     Matches and the gaps between them alternate, so their lengths add up to positions.
     """
-    pattern = F.lit(rule.pattern)
+    whole = rule.pattern + rule.tail
+    pattern = F.lit(whole)
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
+    gaps = F.transform(F.split(text, whole, -1), F.length)
     sizes = F.transform(hits, F.length)
     groups = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else sizes
 

@@ -257,6 +257,17 @@ def test_secrets(odd, none):
     assert texts[7].endswith("with a password: [SECRET]") and texts[5] == dict(texts_of(odd))[5]
 
 
+def test_private_keys_are_masked_whole(spark):
+    lines = [hashlib.sha512(bytes([i])).hexdigest().upper() for i in range(3)]
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n" + "\r\n".join(lines) + "\n-----END RSA PRIVATE KEY-----"
+    texts = {1: f"é before\n{key}\nbetween\n{key}", 2: key, 3: "cut: " + key[: key.index("\n-----END")], 4: key.replace("\n", "\\n") + " after", 5: "no key"}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(frame).collect()}
+    assert masked == {1: "é before\n[SECRET]\nbetween\n[SECRET]", 2: "[SECRET]", 3: "cut: [SECRET]", 4: "[SECRET] after", 5: "no key"}
+    rows = {r["id"]: r for r in secrets.scan(frame).collect()}
+    assert [rows[1]["text"][s["start"] : s["end"]] for s in rows[1]["spans"]] == [key, key]
+
+
 def test_overlapping_secrets_become_one_mask(spark):
     text = 'x token = "' + "ab12" * 10 + '" y AKIA' + "Z9" * 8 + " secret: short AKIA12"
     frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
