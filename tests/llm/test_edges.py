@@ -296,6 +296,19 @@ def test_lm(odd, none):
     assert untaught["train_tokens"] == 0 and untaught["n_known"] == 0 and np.isfinite(untaught["score"])
 
 
+def test_lm_word_numbers_do_not_wrap():
+    for ids in ([], [0, 1, 65536, (1 << 24) - 1], [3, 1 << 24, (1 << 24) + 70000, (1 << 31) - 1]):
+        assert context_mixing._unpacked(context_mixing._packed(np.array(ids, np.int64))).tolist() == ids
+
+
+def test_lm_blocks_close_after_the_document_that_fills_them(spark, monkeypatch):
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(20)), True) for i in range(10)]
+    frame = spark.createDataFrame(rows, "id long, text string, training boolean").coalesce(1)
+    monkeypatch.setattr(context_mixing, "BLOCK_WORDS", 30)
+    blocks = context_mixing._blocks(frame, "bigint").where("word IS NULL").groupBy("block").count().collect()
+    assert sorted(r["count"] for r in blocks) == [2] * 5
+
+
 def test_mixer_is_a_distribution():
     counts = np.ones(256, np.int64)
     counts[:200] = 0
