@@ -18,6 +18,7 @@ for _module in (
     "op09_secret_scans",
     "op10_tree_shards",
     "op11_language_id",
+    "op12_lexical_search",
 ):
     import_module(f"tamis.llm.{_module}")
 
