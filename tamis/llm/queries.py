@@ -19,6 +19,7 @@ for _module in (
     "op10_tree_shards",
     "op11_language_id",
     "op12_lexical_search",
+    "op13_source_divergence",
 ):
     import_module(f"tamis.llm.{_module}")
 
