@@ -1,29 +1,63 @@
-"""Exact k nearest neighbours as a blocked, pruned join.
-
-Donors are cut into cells around sampled pivots (one set of cells per pattern of missing values). For
-a query, the pivot distances, cell radii and cell sizes bound the k-th distance from above, and every
-cell whose nearest possible point lies beyond that bound is skipped; nothing else is. Cells larger
-than a block are split, queries of a busy cell are split as well, so a task holds one block of each
-side. Equal donors beyond the k that can matter are removed first, map-side.
-
-Missing coordinates follow the usual rule: the squared distance over shared coordinates is scaled by
-(all coordinates / shared coordinates).
+"""Exact k nearest neighbours through a ball tree of two levels, kept as tables.
+
+Donors fall into balls around sampled centers: some (the square root of the number of leaves) at the top, and inside
+each of them leaves around centers of their own, so a row is compared with about twice that root and not with all
+centers. Both counts grow with the donors: a leaf holds about half a block, however many rows there are. Queries fall
+into the same balls. Then, before any row moves, balls are matched with balls: the distance of two centers and both
+radii bound the distance of all their rows, the sizes of the donors' balls bound the k-th distance from above, and a
+pair of balls that cannot hold one of the k is dropped; first at the top, then among the leaves of what is left. At
+last every query looks at the leaves its own leaf was matched with, drops those too far for it alone, and meets the
+others in blocks. So the rows shuffled are the queries times the leaves they need, and each donor once per block of
+queries of its leaf.
+
+Missing coordinates follow the usual rule: the squared distance over shared coordinates is scaled by (all coordinates /
+shared coordinates). Rows with other coordinates missing lie in balls of their own; the bounds hold on what both sides
+share. Patterns rarer among donors than the ``PATTERNS`` most frequent ones share balls that are never dropped.
+Equal donors beyond the k that can matter are removed first, map-side.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamis.session import cut_lineage
+
 DONOR_BLOCK = 4_096
 QUERY_BLOCK = 4_096
-MAX_PIVOTS = 512
-MAX_CELLS = 20_000
+TOP_BALLS = 1 << 16  # rows of the table of top balls at most: fewer centers where there are many patterns
+PATTERNS = 256
 CHUNK = 512
+FEW_ROWS = 100_000  # rows of a table of balls that is broadcast; larger ones are joined by shuffle
+RARE = "*"
+NO_WANT = -1
+
+# slack on the bounds, far above the rounding of the distances of centers
+SLACK = 1e-6
+# relative rounding of an estimated distance, far above that of a product of matrices
+ROUNDING = 1e-12
+
+
+@dataclass
+class Tree:
+    """Centers of both levels and the donors in their leaves.
+
+    ``tops``: centers, one row each; ``subs``: (top, sub, center), the centers of the leaves; ``donors``: (did, dv,
+    kind, top, sub, top_far, far) with the distances from both centers; ``kinds``: patterns with balls of their own.
+    """
+
+    dims: int
+    tops: np.ndarray
+    kinds: frozenset[str]
+    subs: DataFrame
+    donors: DataFrame
+    block: int
 
 
 def nearest(
@@ -34,7 +68,6 @@ def nearest(
     skip_self: bool = False,
     donor_block: int = DONOR_BLOCK,
     query_block: int = QUERY_BLOCK,
-    max_pivots: int = MAX_PIVOTS,
 ) -> DataFrame:
     """Rows ``(qid, want, rank, dist2, did, value)`` for the k nearest donors of each query.
 
@@ -42,203 +75,344 @@ def nearest(
     ``donors``: did, dv array<double>. Ties go to the smaller did. ``value`` is the donor's wanted
     coordinate. ``dist2`` is the squared (scaled) distance.
     """
-    same = Window.partitionBy("dv").orderBy("did")
-    donors = (
-        donors.select("did", "dv", F.row_number().over(same).alias("__copy"))
-        .where(F.col("__copy") <= k + (1 if skip_self else 0))
-        .drop("__copy")
-    )
-    total = donors.count()
+    need = k + (1 if skip_self else 0)
     id_type = donors.schema["did"].dataType.simpleString()
     out_schema = f"qid {id_type}, want int, dist2 double, did {id_type}, value double"
-    if total == 0:
+    tree = build_tree(donors, dims, need, donor_block)
+    if tree is None:
         return donors.sparkSession.createDataFrame([], out_schema + ", rank int")
-    n_pivots = int(max(1, min(max_pivots, -(-total * 2 // donor_block))))
-    pivots = _pivots(donors, dims, n_pivots)
-
-    placed = donors.mapInPandas(_placer(pivots, dims), f"did {id_type}, dv array<double>, cell long, far double")
-    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r")).limit(MAX_CELLS + 1).collect()
-    if len(stats) > MAX_CELLS:
-        raise ValueError("too many patterns of missing values for neighbour search")
-    cells = np.array([r["cell"] for r in stats], dtype=np.int64)
-    sizes = np.array([r["n"] for r in stats], dtype=np.int64)
-    radii = np.array([r["r"] for r in stats], dtype=float)
-    need = k + (1 if skip_self else 0)
-
-    candidates = queries.select("qid", "qv", F.col("want").cast("int").alias("want")).mapInPandas(
-        _candidates(pivots, dims, cells, sizes, radii, need),
-        f"qid {id_type}, qv array<double>, want int, cell long",
-    )
-    load = {r["cell"]: r["count"] for r in candidates.groupBy("cell").count().collect()}
-    plan = [
-        (int(c), max(1, int(-(-n // donor_block))), max(1, int(-(-load.get(int(c), 0) // query_block))))
-        for c, n in zip(cells, sizes)
-    ]
-    # one row per cell, at most MAX_CELLS
-    layout = F.broadcast(donors.sparkSession.createDataFrame(plan, "cell long, d_parts int, q_parts int"))
-    left = (
-        candidates.join(layout, "cell")
-        .withColumn("qpart", F.pmod(F.xxhash64("qid", "want"), F.col("q_parts")))
-        .select("qid", "qv", "want", "cell", "qpart", F.explode(F.sequence(F.lit(0), F.col("d_parts") - 1)).alias("dpart"))
-    )
+    placed, matched = match(tree, queries, need, query_block)
+    left = candidates(tree, placed, matched, need, query_block)
+    layout = matched.groupBy("leaf").agg(F.first("d_parts").alias("d_parts"), F.first("q_parts").alias("q_parts"))
     right = (
-        placed.join(layout, "cell")
+        small(tree.donors.withColumn("leaf", leaf_name("kind", "top", "sub")), layout, "leaf")
         .withColumn("dpart", F.pmod(F.xxhash64("did"), F.col("d_parts")).cast("int"))
-        .select("did", "dv", "cell", "dpart", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("qpart"))
-        .withColumn("qpart", F.col("qpart").cast("long"))
+        .select("did", "dv", "leaf", "dpart", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("qpart"))
     )
-    keys = ["cell", "qpart", "dpart"]
-    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_block_search(k, dims, skip_self), out_schema)
+    keys = ["leaf", "qpart", "dpart"]
+    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block_search(k, dims, skip_self), out_schema)
     best = Window.partitionBy("qid", "want").orderBy("dist2", "did")
     return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _pivots(donors: DataFrame, dims: int, count: int) -> np.ndarray:
-    rows = donors.orderBy(F.xxhash64("did")).select("dv").limit(count).collect()
-    points = np.array([[np.nan if v is None else v for v in r["dv"]] for r in rows], dtype=float).reshape(-1, dims)
+def small(rows: DataFrame, table: DataFrame, *on: str) -> DataFrame:
+    """Join with a table of balls: broadcast where it has few rows, else by shuffle."""
+    few = table.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+    return rows.join(F.broadcast(table) if few else table, list(on))
+
+
+def leaf_name(*parts: str) -> Column:
+    return F.concat_ws(":", *[F.col(p).cast("string") for p in parts])
+
+
+# --- building ---------------------------------------------------------------------------------------
+
+
+def build_tree(donors: DataFrame, dims: int, need: int, block: int = DONOR_BLOCK) -> Tree | None:
+    """None without donors."""
+    same = Window.partitionBy("dv").orderBy("did")
+    distinct = cut_lineage(
+        donors.select("did", "dv", F.row_number().over(same).alias("copy")).where(F.col("copy") <= need).drop("copy")
+    )
+    total = distinct.count()
+    if not total:
+        return None
+    leaves = max(1, -(-2 * total // block))
+    frequent = distinct.mapInArrow(_with_pattern, "kind string").groupBy("kind").count().orderBy(F.desc("count"), "kind").limit(PATTERNS).collect()
+    kinds = frozenset(r["kind"] for r in frequent)
+    # grows with the root of the rows; the table of top balls stays bounded
+    count = max(1, min(math.isqrt(leaves), TOP_BALLS // (len(kinds) + 1)))
+    tops = _filled(_points_of([r["dv"] for r in distinct.orderBy(F.xxhash64("did"), "did").select("dv").limit(count).collect()], dims))
+    # as many centers of leaves as leaves, drawn by hash: dense balls get more of them. The top's own center is one more
+    drawn = distinct.where(F.pmod(F.xxhash64("did", F.lit("leaf")), F.lit(1 << 30)) < int(min(1.0, leaves / total) * (1 << 30)))
+
+    def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A center's missing coordinates are those of its top's center."""
+        for batch in batches:
+            points, top = _points(batch.column(1), dims), batch.column(2).to_numpy()
+            center = np.where(np.isnan(points), tops[top], points)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(center.tolist(), pa.list_(pa.float64())), batch.column(2)], names=["did", "center", "top"])
+
+    id_type = distinct.schema["did"].dataType.simpleString()
+    inside = _in_tops(drawn, "did", "dv", None, tops, dims).select("did", "dv", "top").mapInArrow(complete, f"did {id_type}, center array<double>, top int")
+    own = distinct.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(tops)], "top int, center array<double>")
+    numbered = inside.withColumn("sub", F.row_number().over(Window.partitionBy("top").orderBy("did"))).select("top", "sub", "center")
+    subs = cut_lineage(own.withColumn("sub", F.lit(0)).select("top", "sub", "center").unionByName(numbered))
+    placed = _in_leaves(_in_tops(distinct, "did", "dv", None, tops, dims), subs, "did", "dv", None, tops, dims, block)
+    kind = F.when(F.col("pattern").isin(sorted(kinds)), F.col("pattern")).otherwise(F.lit(RARE))
+    return Tree(dims, tops, kinds, subs, cut_lineage(placed.withColumn("kind", kind).drop("pattern")), block)
+
+
+def _points_of(vectors: list, dims: int) -> np.ndarray:
+    return np.array([[np.nan if v is None else v for v in row] for row in vectors], dtype=float).reshape(-1, dims)
+
+
+def _points(column: pa.Array, dims: int) -> np.ndarray:
+    """The vectors of a list column; missing coordinates are NaN."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), dims)
+
+
+def _filled(points: np.ndarray) -> np.ndarray:
     known = ~np.isnan(points)
     means = np.where(known.any(axis=0), np.where(known, points, 0.0).sum(axis=0) / np.maximum(known.sum(axis=0), 1), 0.0)
     return np.where(known, points, means)
 
 
-def _matrix(series: pd.Series, dims: int) -> np.ndarray:
-    if not len(series):
-        return np.zeros((0, dims))
-    return np.array([np.asarray(v, dtype=float) for v in series], dtype=float).reshape(len(series), dims)
+def _patterns(points: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Names, masks, and the number of each row's pattern of present coordinates."""
+    masks, at = np.unique(~np.isnan(points), axis=0, return_inverse=True)
+    return [np.packbits(m).tobytes().hex() for m in masks], masks, at.ravel()
 
 
-def _pattern(present: np.ndarray) -> np.ndarray:
-    """Bit mask of the present coordinates; wide complete rows use -1."""
-    dims = present.shape[1]
-    if dims > 31:
-        if not present.all():
-            raise ValueError("missing values are supported for up to 31 coordinates")
-        return np.full(len(present), -1, dtype=np.int64)
-    return present.astype(np.int64) @ (np.int64(1) << np.arange(dims, dtype=np.int64))
+def _mask(name: str, dims: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bytes.fromhex(name), np.uint8), count=dims).astype(bool)
 
 
-def _mask(pattern: int, dims: int) -> np.ndarray:
-    if pattern == -1:
-        return np.ones(dims, dtype=bool)
-    return np.array([(pattern >> i) & 1 for i in range(dims)], dtype=bool)
+def _with_pattern(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            column = batch.column(batch.schema.get_field_index("dv"))
+            names, _, at = _patterns(_points(column, len(column[0])))
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at])], names=["kind"])
 
 
-def _pivot_distances(points: np.ndarray, pivots: np.ndarray, on: np.ndarray) -> np.ndarray:
-    a, b = points[:, on], pivots[:, on]
+def _distances(points: np.ndarray, centers: np.ndarray, on: np.ndarray) -> np.ndarray:
+    a, b = points[:, on], centers[:, on]
     square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
     return np.sqrt(np.maximum(square, 0.0))
 
 
-# slack on the pruning bounds, far above the rounding of the pivot distances
-SLACK = 1e-6
+def _closest(points: np.ndarray, centers: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Pattern, nearest center and its distance on the present coordinates, for each row."""
+    names, masks, kind = _patterns(points)
+    where, far = np.zeros(len(points), np.int32), np.zeros(len(points))
+    for p, on in enumerate(masks):
+        mine = np.flatnonzero(kind == p)
+        for start in range(0, len(mine), CHUNK):
+            rows = mine[start : start + CHUNK]
+            d = _distances(points[rows], centers, on)
+            where[rows] = d.argmin(axis=1)
+            far[rows] = d[np.arange(len(rows)), where[rows]]
+    return [names[i] for i in kind], where, far
 
 
-def _placer(pivots: np.ndarray, dims: int):
-    count = len(pivots)
+def _in_tops(rows: DataFrame, key: str, vector: str, want: str | None, tops: np.ndarray, dims: int) -> DataFrame:
+    """Adds (pattern, top, top_far)."""
+    kept = [key, vector] + ([want] if want else [])
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = _matrix(batch["dv"], dims)
-            present = ~np.isnan(points)
-            patterns = _pattern(present)
-            cell = np.zeros(len(points), dtype=np.int64)
-            far = np.zeros(len(points))
-            for p in np.unique(patterns):
-                rows = np.where(patterns == p)[0]
-                d = _pivot_distances(points[rows], pivots, _mask(int(p), dims))
-                near = d.argmin(axis=1)
-                cell[rows] = (int(p) + 1) * count + near
-                far[rows] = d[np.arange(len(rows)), near]
-            yield batch.assign(cell=cell, far=far)
-
-    return place
-
-
-def _candidates(pivots, dims, cells, sizes, radii, need):
-    count = len(pivots)
-    patterns, homes = cells // count - 1, cells % count
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            pattern, top, far = _closest(_points(batch.column(1), dims), tops)
+            added = [pa.array(pattern, pa.string()), pa.array(top, pa.int32()), pa.array(far)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*kept, "pattern", "top", "top_far"])
+
+    narrow = rows.select(*kept)
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields)
+    return narrow.mapInArrow(place, types + ", pattern string, top int, top_far double")
+
+
+def _in_leaves(rows: DataFrame, subs: DataFrame, key: str, vector: str, want: str | None, tops: np.ndarray, dims: int, block: int) -> DataFrame:
+    """Adds (sub, far): the rows of a top ball meet the centers of its leaves in parts of about a block."""
+    rows = cut_lineage(rows)
+    # a row per top ball
+    parts = rows.groupBy("top").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    left = small(rows, parts, "top").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int")).drop("parts")
+    right = small(subs, parts, "top").select("top", "sub", "center", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    kept = [key, vector] + ([want] if want else []) + ["pattern", "top", "top_far"]
+    types = ", ".join(f"{c} {left.schema[c].dataType.simpleString()}" for c in kept)
+
+    def place(mine: pa.Table, centers: pa.Table) -> pa.Table:
+        mine = mine.select(kept)
+        if not mine.num_rows:
+            return mine.append_column("sub", pa.array([], pa.int32())).append_column("far", pa.array([], pa.float64()))
+        _, at, far = _closest(_points(mine.column(vector), dims), _points(centers.column("center"), dims))
+        sub = centers.column("sub").to_numpy()[at]
+        return mine.append_column("sub", pa.array(sub, pa.int32())).append_column("far", pa.array(far))
+
+    return left.groupBy("top", "part").cogroup(right.groupBy("top", "part")).applyInArrow(place, types + ", sub int, far double")
+
+
+# --- matching ---------------------------------------------------------------------------------------
+
+
+def _bounds(q_centers, q_radii, q_pattern, want, centers, radii, kinds, dims) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest distance of any row of each query ball (or query) from any donor of each donor ball."""
+    low = np.full((len(q_centers), len(centers)), np.inf)
+    high = np.full((len(q_centers), len(centers)), np.inf)
+    mine = _mask(q_pattern, dims)
+    for kind in np.unique(kinds):
+        at = np.flatnonzero(kinds == kind)
+        if kind == RARE:
+            low[:, at] = 0.0
+            continue
+        theirs = _mask(kind, dims)
+        shared = mine & theirs
+        if not shared.any() or (want >= 0 and not theirs[want]):
+            continue
+        scale = np.sqrt(dims / shared.sum())
+        d = _distances(q_centers, centers[at], shared)
+        reach = q_radii[:, None] + radii[at][None, :]
+        gap = SLACK * (1.0 + d + reach)
+        low[:, at] = np.maximum(d - reach - gap, 0.0) * scale
+        high[:, at] = (d + reach + gap) * scale
+    return low, high
+
+
+def _needed(low: np.ndarray, high: np.ndarray, sizes: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the pairs that can hold one of the nearest ``need``."""
+    order = np.argsort(high, axis=1)
+    sorted_high = np.take_along_axis(high, order, 1)
+    reached = np.cumsum(np.where(np.isfinite(sorted_high), sizes[order], 0), axis=1)
+    enough = (reached >= need).argmax(axis=1)
+    bound = np.where(reached[:, -1] >= need, sorted_high[np.arange(len(low)), enough], np.inf)
+    return np.nonzero((low <= bound[:, None]) & np.isfinite(low))
+
+
+def match(tree: Tree, queries: DataFrame, need: int, query_block: int = QUERY_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The queries in their leaves, and the pairs of leaves that can hold a neighbour.
+
+    Pairs: (pattern, want, q_top, q_sub, q_rows, leaf, kind, center, radius, rows, d_parts, q_parts), a row for each.
+    """
+    dims = tree.dims
+    wanted = queries.select("qid", "qv", F.col("want").cast("int").alias("want"))
+    placed = cut_lineage(_in_leaves(_in_tops(wanted, "qid", "qv", "want", tree.tops, dims), tree.subs, "qid", "qv", "want", tree.tops, dims, tree.block))
+
+    # top balls with top balls: at most TOP_BALLS rows of donors' balls
+    balls = tree.donors.groupBy("kind", "top").agg(F.count("*").alias("n"), F.max("top_far").alias("r")).collect()
+    kinds, sizes = np.array([b["kind"] for b in balls]), np.array([b["n"] for b in balls], np.int64)
+    radii, homes = np.array([b["r"] for b in balls]), np.array([b["top"] for b in balls])
+    tops = tree.tops
+
+    def match_tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = _matrix(batch["qv"], dims)
-            mine = _pattern(~np.isnan(points))
-            want = batch["want"].to_numpy()
-            parts = []
-            for p in np.unique(mine):
-                for w in np.unique(want[mine == p]):
-                    rows = np.where((mine == p) & (want == w))[0]
-                    low = np.full((len(rows), len(cells)), np.inf)
-                    high = np.full((len(rows), len(cells)), np.inf)
-                    for dp in np.unique(patterns):
-                        theirs = _mask(int(dp), dims)
-                        shared = theirs & _mask(int(p), dims)
-                        if not shared.any() or (w >= 0 and not theirs[w]):
-                            continue
-                        at = np.where(patterns == dp)[0]
-                        scale = np.sqrt(dims / shared.sum())
-                        d = _pivot_distances(points[rows], pivots, shared)[:, homes[at]]
-                        gap = SLACK * (1.0 + d + radii[at])
-                        low[:, at] = np.maximum(d - radii[at] - gap, 0.0) * scale
-                        high[:, at] = (d + radii[at] + gap) * scale
-                    order = np.argsort(high, axis=1)
-                    reached = np.cumsum(np.where(np.isfinite(np.take_along_axis(high, order, 1)), sizes[order], 0), axis=1)
-                    enough = (reached >= need).argmax(axis=1)
-                    bound = np.where(
-                        reached[:, -1] >= need, np.take_along_axis(high, order, 1)[np.arange(len(rows)), enough], np.inf
-                    )
-                    take = (low <= bound[:, None]) & np.isfinite(low)
-                    r, c = np.where(take)
-                    if len(r):
-                        parts.append(batch.iloc[rows[r]].assign(cell=cells[c]))
-            yield (pd.concat(parts) if parts else batch.iloc[:0].assign(cell=np.zeros(0, dtype=np.int64)))
-
-    return choose
+            out = []
+            for pattern, want, top, radius in zip(*(c.to_pylist() for c in batch.columns)):
+                bounds = _bounds(tops[[top]], np.array([radius]), pattern, want, tops[homes], radii, kinds, dims)
+                _, at = _needed(*bounds, sizes, need)
+                out += [(pattern, want, top, str(kinds[i]), int(homes[i])) for i in at]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], schema=pa.schema([("pattern", pa.string()), ("want", pa.int32()), ("q_top", pa.int32()), ("kind", pa.string()), ("top", pa.int32())]))
+
+    top_queries = placed.groupBy("pattern", "want", "top").agg(F.max("top_far").alias("radius"))
+    met = top_queries.mapInArrow(match_tops, "pattern string, want int, q_top int, kind string, top int")
+
+    # leaves with leaves, inside the top balls that met
+    leaves = tree.donors.groupBy("kind", "top", "sub").agg(F.count("*").alias("rows"), F.max("far").alias("radius"))
+    theirs = leaves.join(tree.subs, ["top", "sub"]).join(met, ["kind", "top"]).withColumn("leaf", leaf_name("kind", "top", "sub"))
+    mine = placed.groupBy("pattern", "want", F.col("top").alias("q_top"), F.col("sub").alias("q_sub")).agg(F.count("*").alias("q_rows"), F.max("far").alias("q_radius"))
+    centers = tree.subs.select(F.col("top").alias("q_top"), F.col("sub").alias("q_sub"), F.col("center").alias("q_center"))
+    keys = ["pattern", "want", "q_top"]
+    fields = "pattern string, want int, q_top int, q_sub int, q_rows long, leaf string, kind string, center array<double>, radius double, rows long"
+
+    def match_leaves(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        pattern, want = key[0].as_py(), key[1].as_py()
+        column = right.column("kind").to_numpy()
+        found = [np.zeros((2, 0), int)]
+        if left.num_rows and right.num_rows:
+            a, b = _points(left.column("q_center"), dims), _points(right.column("center"), dims)
+            r, s, n = left.column("q_radius").to_numpy(), right.column("radius").to_numpy(), right.column("rows").to_numpy()
+            for start in range(0, len(a), CHUNK):
+                rows, at = _needed(*_bounds(a[start : start + CHUNK], r[start : start + CHUNK], pattern, want, b, s, column, dims), n, need)
+                found.append(np.stack([rows + start, at]))
+        row, at = np.concatenate(found, axis=1)
+        one, other = left.select(["pattern", "want", "q_top", "q_sub", "q_rows"]).take(row), right.select(["leaf", "kind", "center", "radius", "rows"]).take(at)
+        return pa.table([*one.columns, *other.columns], names=[*one.column_names, *other.column_names])
+
+    pairs = cut_lineage(mine.join(centers, ["q_top", "q_sub"]).groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInArrow(match_leaves, fields))
+    # how many blocks of donors and of queries a leaf makes is known before any row moves
+    layout = pairs.groupBy("leaf").agg(
+        F.greatest(F.ceil(F.first("rows") / tree.block), F.lit(1)).cast("int").alias("d_parts"),
+        F.greatest(F.ceil(F.sum("q_rows") / query_block), F.lit(1)).cast("int").alias("q_parts"),
+    )
+    return placed, cut_lineage(pairs.join(layout, "leaf"))
+
+
+def candidates(tree: Tree, placed: DataFrame, matched: DataFrame, need: int, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(qid, qv, want, leaf, qpart, dpart): every query next to the blocks of the leaves that it needs itself."""
+    dims = tree.dims
+    keys = ["pattern", "want", "q_top", "q_sub"]
+    parts = matched.groupBy(*keys).agg(F.ceil(F.first("q_rows") / query_block).cast("int").alias("parts"))
+    rows = placed.select("qid", "qv", "pattern", "want", F.col("top").alias("q_top"), F.col("sub").alias("q_sub"), F.xxhash64("qid", "want").alias("h"))
+    left = small(rows, parts, *keys).withColumn("part", F.pmod("h", F.col("parts")).cast("int")).drop("parts")
+    right = matched.join(parts, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    id_type = placed.schema["qid"].dataType.simpleString()
+
+    def choose(key: tuple, mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        points, h = _points(mine.column("qv"), dims), mine.column("h").to_numpy()
+        centers, radii = _points(theirs.column("center"), dims), theirs.column("radius").to_numpy()
+        kinds, sizes = theirs.column("kind").to_numpy(), theirs.column("rows").to_numpy()
+        d_parts, q_parts = theirs.column("d_parts").to_numpy(), theirs.column("q_parts").to_numpy()
+        found = [np.zeros((2, 0), int)]
+        for start in range(0, len(points), CHUNK):
+            some = points[start : start + CHUNK]
+            row, at = _needed(*_bounds(some, np.zeros(len(some)), key[0].as_py(), key[1].as_py(), centers, radii, kinds, dims), sizes, need)
+            found.append(np.stack([row + start, at]))
+        row, at = np.concatenate(found, axis=1)
+        times = d_parts[at]
+        row, at = np.repeat(row, times), np.repeat(at, times)
+        dpart = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        out = mine.select(["qid", "qv", "want"]).take(row)
+        out = out.append_column("leaf", theirs.column("leaf").take(at))
+        return out.append_column("qpart", pa.array(np.mod(h[row], q_parts[at]), pa.int32())).append_column("dpart", pa.array(dpart, pa.int32()))
+
+    grouped = left.groupBy(*keys, "part").cogroup(right.groupBy(*keys, "part"))
+    return grouped.applyInArrow(choose, f"qid {id_type}, qv array<double>, want int, leaf string, qpart int, dpart int")
+
+
+# --- searching --------------------------------------------------------------------------------------
 
 
 def _block_search(k: int, dims: int, skip_self: bool):
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["qid", "want", "dist2", "did", "value"]
-        if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in columns})
-        right = right.sort_values("did", kind="stable")
-        points, donors = _matrix(left["qv"], dims), _matrix(right["dv"], dims)
-        ids, qids = right["did"].to_numpy(), left["qid"].to_numpy()
-        want = left["want"].to_numpy()
+    """The k nearest of a block of donors, for a block of queries.
+
+    Products of matrices estimate all distances of both blocks; those that may be among the k are computed anew,
+    coordinate by coordinate, so results do not depend on the blocks.
+    """
+    fields = ["qid", "want", "dist2", "did", "value"]
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([left.column("qid").slice(0, 0), pa.array([], pa.int32()), pa.array([], pa.float64()), right.column("did").slice(0, 0), pa.array([], pa.float64())], names=fields)
+        right = right.sort_by("did")
+        points, donors = _points(left.column("qv"), dims), _points(right.column("dv"), dims)
+        want = left.column("want").to_numpy()
         there = ~np.isnan(donors)
         zeroed = np.where(there, donors, 0.0)
-        out = []
+        # the estimate loses least where the values lie around zero
+        shift = zeroed.sum(axis=0) / np.maximum(there.sum(axis=0), 1)
+        moved, has = np.where(there, donors - shift, 0.0), there.astype(float)
+        length = moved * moved
+        longest = length.sum(axis=1).max()
+        ids, qids = (right.column("did").to_numpy(), left.column("qid").to_numpy()) if skip_self else (None, None)
+        found = []
         for start in range(0, len(points), CHUNK):
             q = points[start : start + CHUNK]
             here = ~np.isnan(q)
-            filled = np.where(here, q, 0.0)
-            square = np.zeros((len(q), len(donors)))
-            shared = np.zeros((len(q), len(donors)))
-            for j in range(dims):
-                both = here[:, j][:, None] & there[:, j][None, :]
-                gap = filled[:, j][:, None] - zeroed[:, j][None, :]
-                square += np.where(both, gap * gap, 0.0)
-                shared += both
+            filled, near = np.where(here, q, 0.0), np.where(here, q - shift, 0.0)
+            shared = here.astype(float) @ has.T
+            estimate = (near * near) @ has.T + here.astype(float) @ length.T - 2.0 * near @ moved.T
             w = want[start : start + CHUNK]
-            usable = shared > 0
-            usable &= np.where((w >= 0)[:, None], there[:, np.maximum(w, 0)].T, True)
+            usable = (shared > 0) & np.where((w >= 0)[:, None], there[:, np.maximum(w, 0)].T, True)
             if skip_self:
                 usable &= qids[start : start + CHUNK][:, None] != ids[None, :]
-            scaled = np.where(usable, square * (dims / np.where(usable, shared, 1.0)), np.inf)
-            order = np.argsort(scaled, axis=1, kind="stable")[:, :k]
-            dist = np.take_along_axis(scaled, order, 1)
-            r, c = np.where(np.isfinite(dist))
-            chosen = order[r, c]
-            out.append(
-                pd.DataFrame(
-                    {
-                        "qid": qids[start : start + CHUNK][r],
-                        "want": w[r],
-                        "dist2": dist[r, c],
-                        "did": ids[chosen],
-                        "value": np.where(w[r] >= 0, donors[chosen, np.maximum(w[r], 0)], np.nan),
-                    }
-                )
-            )
-        return pd.concat(out)
+            scaled = np.where(usable, estimate * (dims / np.where(usable, shared, 1.0)), np.inf)
+            last = np.partition(scaled, k - 1, axis=1)[:, k - 1] if scaled.shape[1] > k else np.full(len(q), np.inf)
+            slack = ROUNDING * dims * ((near * near).sum(axis=1) + longest)
+            r, c = np.nonzero((scaled <= (last + slack)[:, None]) & usable)
+            square = np.zeros(len(r))
+            for j in range(dims):
+                gap = filled[r, j] - zeroed[c, j]
+                square += np.where(here[r, j] & there[c, j], gap * gap, 0.0)
+            dist = square * (dims / shared[r, c])
+            order = np.lexsort((c, dist, r))
+            sorted_r = r[order]
+            order = order[np.arange(len(r)) - np.searchsorted(sorted_r, sorted_r, side="left") < k]
+            found.append((r[order] + start, c[order], dist[order]))
+        row, at, dist = (np.concatenate(x) for x in zip(*found))
+        value = np.where(want[row] >= 0, donors[at, np.maximum(want[row], 0)], np.nan)
+        columns = [left.column("qid").take(row), pa.array(want[row], pa.int32()), pa.array(dist), right.column("did").take(at), pa.array(value)]
+        return pa.table(columns, names=fields)
 
     return search

@@ -4,14 +4,15 @@ import math
 from decimal import Decimal
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tamis.functions.keys import in_sample, with_row_keys
-from tamis.functions.neighbours import nearest
-from tamis.functions.quantiles import exact_quantiles, grouped_quantile
+from tamis.functions.neighbours import build_tree, candidates, match, nearest
+from tamis.functions.quantiles import _Brackets, exact_quantiles, grouped_quantile
 from tamis.functions.ranks import with_ranks_below
 from tamis.functions.stats import cardinality_over, correlations, modes, moments
 from tamis.operators.split import cv_folds, degree_sample, divide, split_sizes, stratified_holdout
@@ -59,17 +60,62 @@ def test_quantiles_of_nothing(spark):
     assert exact_quantiles(df, {"x": F.col("x")}, [0.5]) == {"x": [None]}
 
 
+def test_uneven_values_take_few_jobs(spark):
+    rng = np.random.default_rng(4)
+    values = np.exp(rng.normal(0, 8, 200_000))
+    df = spark.createDataFrame(pd.DataFrame({"x": values}))
+    tracker, probs = spark.sparkContext.statusTracker(), np.linspace(0, 1, 1000).tolist()
+    spark.sparkContext.setJobGroup("quantiles", "jobs of one call")
+    got = exact_quantiles(df, {"x": F.col("x")}, probs, list_rows=20_000)["x"]
+    jobs = len(tracker.getJobIdsForGroup("quantiles"))
+    spark.sparkContext.setJobGroup("", "")
+    np.testing.assert_allclose(got, np.quantile(values, probs), rtol=1e-12)
+    assert jobs <= 16  # with adaptive plans every shuffle is a job of its own: some three for a pass
+
+
 def test_grouped_quantile_with_hot_group(spark):
     rng = np.random.default_rng(5)
     groups = {"hot": np.round(rng.gamma(2, 3, 900), 2), "one": np.array([4.0]), "same": np.full(50, 2.5), "two": np.array([1.0, 9.0])}
-    rows = [(g, float(v)) for g, vs in groups.items() for v in vs]
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("none", None), ("one", float("nan"))]
     df = spark.createDataFrame(rows, "g string, v double").repartition(5)
-    for p in (0.5, 0.9):
-        got = {r["g"]: r["q"] for r in grouped_quantile(df, ["g"], "v", p, "q", buckets=8).collect()}
+    for p, listed in ((0.5, 100_000), (0.9, 20)):
+        got = {r["g"]: r["q"] for r in grouped_quantile(df, ["g"], "v", p, "q", list_rows=listed).collect()}
+        assert got.keys() == groups.keys()
         for g, vs in groups.items():
             assert got[g] == pytest.approx(np.quantile(vs, p), rel=1e-12)
 
 
+@pytest.mark.parametrize("shape", ["tail", "ties", "edge", "infinite"])
+def test_a_group_with_most_rows_is_narrowed_where_it_lies(spark, shape):
+    """90 % of the rows in one group: what is ordered in one task does not grow with it, and no task reads much more than others."""
+    rng = np.random.default_rng(8)
+    n = 40_000
+    hot = {
+        "tail": np.exp(rng.normal(0, 9, n)),
+        "ties": np.concatenate([np.full(n // 2, 3.0), rng.normal(3, 1, n // 2)]),
+        "edge": np.concatenate([np.full(n * 9 // 10, 7.0), rng.random(n // 10) * 7]),  # the rank is the first of many equal ones
+        "infinite": np.concatenate([np.full(500, -np.inf), rng.normal(0, 1, n - 900), np.full(400, np.inf)]),
+    }[shape]
+    groups = {None: hot, 1: rng.random(2000), 2: rng.normal(size=2000)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(8)
+    for p in (0.0, 0.1, 0.5, 0.9):
+        brackets = _Brackets(df.select("g", F.col("v").alias("__x")), ["g"], [{"g": None, "__n": n}], p)
+        rounds = 0
+        while brackets.narrow(200):
+            rounds += 1
+        # strictly between the ends few are left, and no shuffle has moved a row
+        assert rounds <= 4 and (brackets.inside().count() <= 200 or not brackets._wanted(brackets.state[(None,)]))
+        plan = brackets.inside()._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastNestedLoopJoin" not in plan and "Exchange hashpartitioning" not in plan
+        got = {r["g"]: r["q"] for r in grouped_quantile(df, ["g"], "v", p, "q", list_rows=200).collect()}
+        for g, vs in groups.items():
+            ordered, at = np.sort(vs), p * (len(vs) - 1)
+            a, c = ordered[int(at)], ordered[min(int(at) + 1, len(vs) - 1)]
+            expected = a if at == int(at) else a * (1 - (at - int(at))) + c * (at - int(at))
+            assert got[g] == pytest.approx(expected, rel=1e-12), (g, p)
+
+
 def test_ranks_take_exact_counts(spark):
     df = with_row_keys(spark.range(3000).withColumn("c", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 11 > 0, (F.col("id") % 7).cast("string"))), ["id"])
     marked = with_ranks_below(df, lambda n: [F.floor(n / 4), F.lit(0), n + 5], ["quarter", "never", "always"], "degree", F.col("c"))
@@ -187,7 +233,7 @@ def test_neighbours_match_brute_force(spark, gaps, skip_self):
     queries = [(i, p, (p.index(None) if None in p else -1) if gaps else -1) for i, p in donors if not gaps or any(v is not None for v in p)]
     q = spark.createDataFrame(queries, "qid long, qv array<double>, want int")
     d = spark.createDataFrame(donors, "did long, dv array<double>")
-    rows = nearest(q, d, 4, 3, skip_self, donor_block=16, query_block=8, max_pivots=12).collect()
+    rows = nearest(q, d, 4, 3, skip_self, donor_block=16, query_block=8).collect()
     got = {}
     for r in rows:
         got.setdefault((r["qid"], r["want"]), []).append((r["dist2"], r["did"]))
@@ -195,6 +241,24 @@ def test_neighbours_match_brute_force(spark, gaps, skip_self):
     assert {key: sorted(v) for key, v in got.items()} == expected
 
 
+def test_rows_moved_for_neighbours_grow_with_the_rows(spark):
+    """Four times the rows: each query meets about as many leaves, of about as many donors."""
+    moved = {}
+    for n in (4_000, 16_000):
+        points = spark.range(n).selectExpr("id AS did", "array(rand(1), rand(2)) AS dv")
+        tree = build_tree(points, 2, 5, block=128)
+        placed, matched = match(tree, points.selectExpr("did AS qid", "dv AS qv", "-1 AS want"), 5, 128)
+        met = candidates(tree, placed, matched, 5, 128).groupBy("qid").count()
+        leaves = tree.donors.groupBy("kind", "top", "sub").count().agg(F.count("*"), F.max("count")).first()
+        rows = matched.select("leaf", "rows", "q_parts").distinct().agg(F.sum(F.col("rows") * F.col("q_parts"))).first()[0]
+        moved[n] = met.agg(F.avg("count")).first()[0], rows / n, leaves[0], len(tree.tops)
+        assert met.count() == n and leaves[1] <= 128 * 4
+    assert moved[16_000][2] > 3 * moved[4_000][2] and moved[16_000][3] >= 2 * moved[4_000][3]
+    # the smaller table has more of its leaves at the border, with fewer neighbours
+    for small, large in zip(moved[4_000][:2], moved[16_000][:2]):
+        assert large < 1.5 * small and large < moved[16_000][2] / 10
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=40), st.floats(0, 1))
 def test_rank_arithmetic(values, p):
