@@ -11,7 +11,7 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions.keys import seeded_unit
@@ -543,8 +543,10 @@ def hybrid_rule(plans: DataFrame, space: Space, low: float = 0.2) -> DataFrame:
 
 
 def best_plan(candidates: DataFrame, space: Space, group: list[str], order: list[str]) -> DataFrame:
-    """One row per group: the preferred candidate, ties by ``order``. Limited map-side before the shuffle."""
+    """One row per group: the preferred candidate, ties by ``order``. Combined map-side, as an aggregate: a filter on a
+    rank above these long projections would have the optimizer derive constraints from all of them, for most of a minute."""
     p = space.objective.preference(F.col("u"), F.col("cost"))
-    ranked = candidates.withColumn("__p", p)
-    window = Window.partitionBy(*group).orderBy(F.desc("__p"), *order)
-    return ranked.withColumn("__rn", F.row_number().over(window)).where("__rn = 1").drop("__rn", "__p")
+    key = F.struct(-p["met"], p["a"].isNull(), -p["a"], p["b"].isNull(), -p["b"], *order)
+    others = [c for c in candidates.columns if c not in group]
+    best = candidates.groupBy(*group).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in others]), key).alias("__best"))
+    return best.select(*[F.col(f"`{c}`") if c in group else F.col(f"__best.`{c}`") for c in candidates.columns])

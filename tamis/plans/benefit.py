@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+import json
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamis.functions.boosting import SQUARE, Boosting, Ensemble, boost
 from tamis.functions.keys import seeded_unit
 from tamis.operators.score import MODELS
 from tamis.plans.cost import METHOD_PARAMS
@@ -59,38 +60,30 @@ def feature_columns(space: str = "legacy", method_params: bool = False, context:
     return out
 
 
-def _vectors(plans: DataFrame, columns: list[Column]) -> tuple[DataFrame, VectorAssembler]:
-    named = [c.alias(f"__f{i}") for i, c in enumerate(columns)]
-    wide = plans.select("*", *named)
-    return wide, VectorAssembler(inputCols=[f"__f{i}" for i in range(len(columns))], outputCol="__raw")
-
-
 def clipped(value: Column) -> Column:
     return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
 
 
 class BenefitModel:
-    """Fitted scaler and boosted trees; ``score`` adds the predicted utility ``u`` to plan rows."""
+    """Fitted trees as flat arrays; ``score`` adds the predicted utility ``u`` to plan rows, as one expression."""
 
-    def __init__(self, stages: PipelineModel, space: str, method_params: bool, context: bool, mse: float | None):
-        self.stages, self.space, self.method_params, self.context, self.mse = stages, space, method_params, context, mse
+    def __init__(self, trees: Ensemble, space: str, method_params: bool, context: bool, mse: float | None):
+        self.trees, self.space, self.method_params, self.context, self.mse = trees, space, method_params, context, mse
 
     def score(self, plans: DataFrame) -> DataFrame:
-        wide, assemble = _vectors(plans, feature_columns(self.space, self.method_params, self.context))
-        scored = self.stages.transform(assemble.transform(wide))
-        return scored.select(*[F.col(c) for c in plans.columns], clipped(F.col("__u")).alias("u"))
+        columns = feature_columns(self.space, self.method_params, self.context)
+        names = [f"__f{i}" for i in range(len(columns))]
+        wide = plans.select("*", *[c.alias(n) for c, n in zip(columns, names)])
+        return wide.select(*[F.col(c) for c in plans.columns], clipped(F.expr(self.trees.text(names))).alias("u"))
 
     def save(self, path: str) -> None:
-        self.stages.write().overwrite().save(f"{path}/stages")
-        meta = [(self.space, self.method_params, self.context, self.mse)]
-        SparkSession.getActiveSession().createDataFrame(
-            meta, "space string, method_params boolean, context boolean, mse double"
-        ).write.mode("overwrite").parquet(f"{path}/meta")
+        text = json.dumps({"trees": self.trees.state(), "space": self.space, "method_params": self.method_params, "context": self.context, "mse": self.mse})
+        SparkSession.getActiveSession().createDataFrame([(text,)], "value string").write.mode("overwrite").text(path)
 
     @staticmethod
     def load(spark, path: str) -> BenefitModel:
-        meta = spark.read.parquet(f"{path}/meta").first()
-        return BenefitModel(PipelineModel.load(f"{path}/stages"), meta["space"], meta["method_params"], meta["context"], meta["mse"])
+        s = json.loads(spark.read.text(path).first()["value"])
+        return BenefitModel(Ensemble.from_state(s["trees"]), s["space"], s["method_params"], s["context"], s["mse"])
 
 
 def holdout(records: DataFrame, keys: list[str], rate: float = 0.2, seed: int = 42) -> Column:
@@ -99,21 +92,23 @@ def holdout(records: DataFrame, keys: list[str], rate: float = 0.2, seed: int =
 
 def train_benefit(
     records: DataFrame, keys: list[str], space: str = "legacy", method_params: bool = False, context: bool = False,
-    trees: int = 100, depth: int = 3, rate: float = 0.1, seed: int = 42,
+    trees: int = 100, depth: int = 3, rate: float = 0.1, seed: int = 42, cuts: list[float] | None = None,
 ) -> BenefitModel:
-    """Boosted trees on 80 % of the records with an accuracy; squared error on the rest."""
+    """Boosted trees on 80 % of the records with an accuracy; squared error on the rest.
+
+    ``cuts``: the same cuts for every feature instead of those that sketches place.
+    """
     usable = records.where(F.col("accuracy").isNotNull())
-    wide, assemble = _vectors(usable, feature_columns(space, method_params, context))
-    rows = assemble.transform(wide).select("__raw", F.col("accuracy").cast("double").alias("__t"), holdout(usable, keys, seed=seed).alias("__held"))
-    fit_rows = rows.where(~F.col("__held"))
-    scaler = StandardScaler(inputCol="__raw", outputCol="__z", withMean=True).fit(fit_rows)
-    trees_model = GBTRegressor(
-        featuresCol="__z", labelCol="__t", predictionCol="__u", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed
-    ).fit(scaler.transform(fit_rows))
-    stages = PipelineModel(stages=[scaler, trees_model])
-    held = stages.transform(rows.where("__held"))
-    mse = held.agg(F.avg(F.pow(F.col("__t") - clipped(F.col("__u")), 2))).first()[0]
-    return BenefitModel(stages, space, method_params, context, mse)
+    columns = feature_columns(space, method_params, context)
+    vector = F.array(*[c.cast("double") for c in columns])
+    rows = usable.select("*", vector.alias("__x"), F.col("accuracy").cast("double").alias("__t"), holdout(usable, keys, seed=seed).alias("__held"))
+    settings = Boosting(rounds=trees, depth=depth, rate=rate, seed=seed)
+    given = [np.array(cuts)] * len(columns) if cuts is not None else None
+    fitted = boost(rows.where(~F.col("__held")), "__x", "__t", len(columns), SQUARE, settings, cuts=given)
+    model = BenefitModel(fitted, space, method_params, context, None)
+    held = model.score(rows.where("__held").drop("__x"))
+    model.mse = held.agg(F.avg(F.pow(F.col("__t") - F.col("u"), 2))).first()[0]
+    return model
 
 
 def pool(records: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -16,6 +15,7 @@ from tamis.operators.score import evaluate
 from tamis.operators.split import stratified_holdout
 from tamis.operators.stages import STAGE_ORDER
 from tamis.plans.space import draw_plans, method_options
+from tamis.plans.tree import Outcome, run_plans
 from tamis.sources.records import RECORD_SCHEMA
 
 ROW_REMOVING = {"duplicate_detection", "imputation", "outlier_detection"}
@@ -84,9 +84,9 @@ def benefit_records(
 ) -> tuple[DataFrame, DataFrame]:
     """Run drawn plans and score them; returns (records, failures).
 
-    The plans are numbered; start at ``first`` to continue an earlier run. Up to ``parallel`` plans are
-    submitted at once; each is a Spark job over the whole table. Failed plans are redrawn, at most five
-    attempts per wanted sample.
+    The plans are numbered; start at ``first`` to continue an earlier run. The plans of a round run as one tree:
+    equal beginnings are prepared once, and all classifiers read one table. Failed plans are redrawn, at most five
+    attempts per wanted sample; if these do not suffice, that is an error and not a shorter table.
     """
     if source == "train_holdout":
         base = training_holdout(df, label)
@@ -98,38 +98,27 @@ def benefit_records(
     spark = df.sparkSession
     options = method_options(space)
     stages = list(options)
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
     good, bad, number = [], [], first
     last = first + 5 * samples
-
-    def attempt(plan) -> tuple:
-        methods = {s: plan[f"m_{s}"] for s in stages}
-        degrees = {s: plan[f"e_{s}"] for s in stages}
-        out = []
-        for m in models:
-            try:
-                result = run_plan(base, methods, degrees, label, m, evaluation)
-            except Exception as error:  # a failing plan is a record of its own
-                return methods, degrees, None, f"{type(error).__name__}: {str(error)[:200]}"
-            if result["accuracy"] is None:
-                return methods, degrees, None, "no score"
-            out.append((m, result))
-        return methods, degrees, out, None
-
-    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        while len(good) < samples and number < last:
-            size = min(samples - len(good), last - number, max(1, parallel))
-            drawn = draw_plans(spark.range(number, number + size), "id", options, seed).collect()
-            number += size
-            for methods, degrees, scored, reason in pool.map(attempt, drawn):
-                if scored is None:
-                    bad.append((dataset, str(methods), reason))
-                else:
-                    good.append((methods, degrees, scored))
-    base.unpersist()
+    while len(good) < samples and number < last:
+        size = min(samples - len(good), last - number)
+        drawn = draw_plans(spark.range(number, number + size), "id", options, seed).collect()
+        number += size
+        plans = [(r["id"], {s: r[f"m_{s}"] for s in stages}, {s: r[f"e_{s}"] for s in stages}) for r in drawn]
+        scored: dict[int, list[Outcome]] = {}
+        for outcome in run_plans(base, plans, label, models, evaluation, parallel=parallel):
+            scored.setdefault(outcome.plan, []).append(outcome)
+        for name, methods, degrees in plans:
+            reason = next((o.reason for o in scored[name] if o.reason), None)
+            if reason:
+                bad.append((dataset, str(methods), reason))
+            else:
+                good.append((methods, degrees, scored[name]))
+    if len(good) < samples:
+        raise RuntimeError(f"{len(good)} of {samples} plans gave a record; the last reason: {bad[-1][2] if bad else 'none'}")
     rows = [
-        (dataset, m, "e", space, None, source, None, None, None, methods, degrees, float(r["accuracy"]), r["prep_seconds"] + r["model_seconds"])
+        (dataset, o.model, "e", space, None, source, None, None, None, methods, degrees, float(o.accuracy), o.prep_seconds + o.model_seconds)
         for methods, degrees, scored in good
-        for m, r in scored
+        for o in scored
     ]
     return spark.createDataFrame(rows, RECORD_SCHEMA), spark.createDataFrame(bad, "dataset string, plan string, reason string")

@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.functions.keys import seeded_unit
-from tamis.plans.allocate import Score, Space, balanced_start, best_plan, cols, hybrid_rule
-from tamis.plans.space import combo_columns, combo_count, combos_per_row
+from tamis.plans.allocate import Score, Space, balanced_start, best_plan, cols, frank_wolfe_deterministic, hybrid_rule
+from tamis.plans.benefit import BenefitModel
+from tamis.plans.space import combo_columns, combo_count, combos_per_row, per_row
+from tamis.session import cut_lineage
 
 Allocate = Callable[[DataFrame, Space], DataFrame]
 
@@ -22,7 +24,8 @@ Allocate = Callable[[DataFrame, Space], DataFrame]
 def with_lines(plans: DataFrame, options: dict[str, list], prefix: str, low: float) -> DataFrame:
     """Cost lines and bounds of the chosen methods, stage by stage; plans of a method without a line go."""
     lines = [F.col(f"{prefix}{stage}")[F.col(stage)] for stage in options]
-    named = [c for i, line in enumerate(lines) for c in (line["k"].alias(f"k_{i}"), line["b"].alias(f"b_{i}"))]
+    # the sum keeps the optimizer from repeating the lookup wherever a line is used: a bare extraction counts as free
+    named = [c for i, line in enumerate(lines) for c in ((line["k"] + 0.0).alias(f"k_{i}"), (line["b"] + 0.0).alias(f"b_{i}"))]
     bounds = [c for i in range(len(lines)) for c in (F.lit(low).alias(f"lo_{i}"), F.lit(1.0).alias(f"hi_{i}"))]
     kept = [F.col(c) for c in plans.columns if not c.startswith(prefix)]
     priced = plans.select(*kept, *named, *bounds)
@@ -53,9 +56,36 @@ def search(
     return best_plan(score(space.priced(plans)), space, keys, ["combo_id"])
 
 
+def model_score(model: BenefitModel, options: dict[str, list], digits: int = 9) -> Score:
+    """Scores plans with stage columns and degrees ``e_i`` by an accuracy model; equal up to ``digits`` is equal."""
+
+    def score(plans: DataFrame) -> DataFrame:
+        named = [c for i, s in enumerate(options) for c in (F.col(s).alias(f"m_{s}"), F.col(f"e_{i}").alias(f"e_{s}"))]
+        kept = [c for c in plans.columns if c != "u"]
+        return model.score(plans.select(*kept, *named)).select(*kept, F.round("u", digits).alias("u"))
+
+    return score
+
+
+def model_search(
+    cases: DataFrame, options: dict[str, list], prefix: str, space: Space, score: Score, keys: list[str], low: float = 0.2, **moves
+) -> DataFrame:
+    """The hybrid search with Frank-Wolfe moves: affordable combinations at full degrees, those that even the lowest
+    degrees make too dear left out, all others moved by ``moves`` (options of the deterministic allocation)."""
+    plans = with_lines(combos_per_row(cases, options), options, prefix, low)
+    marked = hybrid_rule(plans, space, low).drop("full_cost", "low_cost")
+    at = [*keys, "combo_id"]
+    full = marked.where("branch = 'direct'").select("*", *[F.lit(1.0).alias(f"e_{i}") for i in range(space.d)])
+    kept = [*at, "branch", "u", "cost", *[f"e_{i}" for i in range(space.d)]]
+    direct = score(space.priced(full)).select(*kept)
+    moved = frank_wolfe_deterministic(marked.where("branch = 'optimise'").drop("branch"), space, score, at, **moves)
+    found = direct.unionByName(moved.withColumn("branch", F.lit("optimise")).select(*kept))
+    return best_plan(found, space, keys, ["combo_id"])
+
+
 def drawn_plans(cases: DataFrame, options: dict[str, list], keys: list[str], draws: int, low: float, seed: int) -> DataFrame:
     """``draws`` random combinations with random degrees per case."""
-    many = cases.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    many = per_row(cases, draws, "draw")
     at = [F.col(k) for k in keys] + [F.col("draw")]
     number = F.least(F.floor(seeded_unit(seed, "combo", *at) * combo_count(options)), F.lit(combo_count(options) - 1))
     numbered = many.withColumn("combo_id", number.cast("long"))
@@ -93,4 +123,5 @@ def multi_start(
         names = [f"e_{i}" for i in range(space.d)]
         return space.toward(drawn, cols("lo", space.d), cols("__t", space.d), names).drop(*[f"__t_{i}" for i in range(space.d)])
 
-    return search(again, options, prefix, space, score, [*keys, "restart"], toward_draw, hybrid=False, low=low)
+    # a row per case and restart: what ranks them need not plan the whole search again
+    return cut_lineage(search(again, options, prefix, space, score, [*keys, "restart"], toward_draw, hybrid=False, low=low))

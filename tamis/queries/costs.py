@@ -23,7 +23,7 @@ from tamis.plans.cost import (
 )
 from tamis.plans.profile import dataset_meta, dataset_params
 from tamis.plans.space import LEGACY, long_plan, method_options
-from tamis.queries.registry import query, read, rounded
+from tamis.queries.registry import query, read, rounded, seeded_sql
 from tamis.queries.tables import order_plans, plan_columns_sql
 from tamis.sources.records import profile_lookup, with_record_defaults
 from tamis.sources.tables import keyed
@@ -334,6 +334,61 @@ def benefit_mse(spark, sf):
     return rounded(mean_squared_error(records(spark, sf), F.col("accuracy"), predicted), 8)
 
 
+# --- a small accuracy model that SQL fits as well -------------------------------------------------
+
+_SLOTS = [(s, m) for s, ms in LEGACY.items() for m in ms]
+MODEL_CUTS = [0.0, 0.25, 0.5, 0.75]
+MODEL_ROUNDS = 4
+MODEL_RATE = 0.5
+
+
+def slots_sql(method: str = "m_{}", degree: str = "e_{}") -> str:
+    """The feature vector of a plan: a slot per method with its degree."""
+    return "[" + ", ".join(f"CASE WHEN {method.format(s)} = '{m}' THEN {degree.format(s)} ELSE 0.0::DOUBLE END" for s, m in _SLOTS) + "]"
+
+
+def _level_sql(t: int, level: int) -> str:
+    """The best cut of every node: sums beyond each cut, gains rounded, the first of equal ones."""
+    rows = f"SELECT k{level} AS n, y - p AS r, xs FROM a{t}_{level} WHERE fits"
+    gain = "0.5::DOUBLE * ((g - gr) * (g - gr) / (h - hr + 1) + gr * gr / (hr + 1) - g * g / (h + 1))"
+    return f"""s{t}_{level} AS MATERIALIZED (SELECT n, f, c, sum(r) FILTER (xs[f] > c) AS gr, count(*) FILTER (xs[f] > c) AS hr, sum(r) AS g, count(*) AS h
+      FROM ({rows}), (SELECT unnest(range(1, {len(_SLOTS) + 1})) AS f), (SELECT unnest({MODEL_CUTS})::DOUBLE AS c) GROUP BY n, f, c),
+    b{t}_{level} AS MATERIALIZED (SELECT n, f, c FROM (SELECT n, f, c, row_number() OVER (PARTITION BY n ORDER BY round({gain}, 9) DESC, f, c) AS o, round({gain}, 9) AS gain
+      FROM s{t}_{level} WHERE hr > 0 AND hr < h) WHERE o = 1 AND gain > 0),
+    a{t}_{level + 1} AS MATERIALIZED (SELECT a.*, 2 * k{level} + CASE WHEN xs[b.f] > b.c THEN 2 ELSE 1 END AS k{level + 1} FROM a{t}_{level} a LEFT JOIN b{t}_{level} b ON b.n = k{level})"""
+
+
+def model_sql() -> str:
+    """CTEs: records ``r``, and per round t the cuts ``b{{t}}_0``, ``b{{t}}_1`` and the leaves ``v{{t}}``; ``base``: the mean."""
+    steps = [
+        _RECORDS,
+        f"q AS (SELECT o_orderkey, accuracy AS y, {slots_sql()} AS xs, accuracy IS NOT NULL AND NOT ({seeded_sql("'42'", "'benefit'", 'o_orderkey')} < 0.2) AS fits FROM r)",
+        "base AS MATERIALIZED (SELECT avg(y) AS base FROM q WHERE fits)",
+        "p0 AS MATERIALIZED (SELECT q.*, base AS p FROM q, base)",
+    ]
+    for t in range(MODEL_ROUNDS):
+        steps.append(f"a{t}_0 AS MATERIALIZED (SELECT *, 0 AS k0 FROM p{t})")
+        steps += [_level_sql(t, 0), _level_sql(t, 1)]
+        steps.append(f"v{t} AS MATERIALIZED (SELECT k2 AS n, {MODEL_RATE}::DOUBLE * sum(y - p) / (count(*) + 1) AS v FROM a{t}_2 WHERE fits GROUP BY k2)")
+        steps.append(f"p{t + 1} AS MATERIALIZED (SELECT a.o_orderkey, y, xs, fits, p + coalesce(v, 0) AS p FROM a{t}_2 a LEFT JOIN v{t} v ON v.n = k2)")
+    return ", ".join(steps)
+
+
+def small_model(spark, sf):
+    """The accuracy model of ``model_sql``."""
+    return train_benefit(records(spark, sf), ["o_orderkey"], trees=MODEL_ROUNDS, depth=2, rate=MODEL_RATE, cuts=MODEL_CUTS)
+
+
+@query(
+    "benefit_trees",
+    f"WITH {model_sql()} SELECT o_orderkey, round(y, 6) AS accuracy, round(least(greatest(p, 0), 1), 6) AS u FROM p{MODEL_ROUNDS}",
+)
+def benefit_trees(spark, sf):
+    """The accuracy model fitted on the records of four fifths of the orders scores every plan."""
+    scored = records(spark, sf)
+    return rounded(small_model(spark, sf).score(scored).select("o_orderkey", "accuracy", "u"), 6)
+
+
 @query("benefit_predict")
 def benefit_predict(spark, sf):
     """Boosted trees trained on the records score every plan."""

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tamis.functions.keys import seeded_unit
 from tamis.plans.allocate import Space
 from tamis.plans.compare import rerank
 from tamis.plans.objective import Objective
-from tamis.plans.search import multi_start, random_search, search
+from tamis.plans.search import model_score, model_search, multi_start, random_search, search
 from tamis.plans.space import LEGACY
-from tamis.queries.costs import COEFFS, coefficients
+from tamis.queries.costs import COEFFS, MODEL_ROUNDS, coefficients, model_sql, slots_sql, small_model
 from tamis.queries.planning import SIZE, STAGES, _combo_sql, line_pivot
-from tamis.queries.registry import query, rounded, seeded_sql
+from tamis.plans.tree import run_plans
+from tamis.queries.registry import FOUR, GAPS, GAPS_SQL, lines, lines_sql, query, rounded, seeded_sql
 
 BUDGETS = [0.6, 1.0, 1.5, 2.5]
 BASE = 0.5
@@ -122,3 +124,199 @@ def search_rerank(spark, sf):
     )
     best = rerank(measured, ["dataset", "budget"])
     return rounded(best.select("dataset", "budget", "restart", "combo_id", "selection_acc", "selection_time", "feasible"), 6)
+
+
+# --- a fitted accuracy model inside the search -----------------------------------------------------
+
+_D = len(STAGES)
+STEP, POINTS, TURNS = 0.25, 21, 2
+
+
+def _trees_sql() -> str:
+    """One row with all cuts and leaves of the fitted model."""
+    parts = ["(SELECT base FROM base) AS base"]
+    for t in range(MODEL_ROUNDS):
+        parts += [f"(SELECT {c} FROM b{t}_{level} WHERE n = {n}) AS {c}{t}_{n}" for level, n in ((0, 0), (1, 1), (1, 2)) for c in "fc"]
+        parts += [f"coalesce((SELECT v FROM v{t} WHERE n = {n}), 0) AS v{t}_{n}" for n in range(3, 7)]
+    return "trees AS MATERIALIZED (SELECT " + ", ".join(parts) + ")"
+
+
+def _model_u(xs: str) -> str:
+    def tree(t: int) -> str:
+        side = lambda n, low, high: f"CASE WHEN {xs}[f{t}_{n}] > c{t}_{n} THEN v{t}_{high} ELSE v{t}_{low} END"
+        return f"CASE WHEN {xs}[f{t}_0] > c{t}_0 THEN {side(2, 5, 6)} ELSE {side(1, 3, 4)} END"
+
+    return f"round(least(greatest(base + {' + '.join(tree(t) for t in range(MODEL_ROUNDS))}, 0), 1), 9)"
+
+
+def _cost_of(e: str) -> str:
+    return " + ".join(f"greatest(0, b_{i} + k_{i} * {e.format(i=i)})" for i in range(_D))
+
+
+def _each(term: str) -> str:
+    return ", ".join(term.format(i=i) for i in range(_D))
+
+
+_PLAN = f"dataset, budget, combo_id, {', '.join(STAGES)}, {_each('k_{i}')}, {_each('b_{i}')}"
+
+
+def _reach(name: str, source: str, anchor: str, target: str, kept: str) -> str:
+    """The farthest affordable points from anchor to target, with their utility and cost."""
+    share = f"CASE WHEN {_cost_of(target)} <= budget + 1e-9 THEN 1.0::DOUBLE ELSE (budget - ({_cost_of(anchor)})) / (({_cost_of(target)}) - ({_cost_of(anchor)})) END"
+    moved = ", ".join(f"{anchor.format(i=i)} + share * ({target.format(i=i)} - {anchor.format(i=i)}) AS z_{i}" for i in range(_D))
+    slots = slots_sql("{}", "{}")
+    for i, s in enumerate(STAGES):
+        slots = slots.replace(f"THEN {s} ELSE", f"THEN z_{i} ELSE")
+    return f"""{name}_s AS (SELECT *, {share} AS share FROM {source}), {name}_z AS (SELECT {kept}, {moved} FROM {name}_s),
+    {name}_x AS (SELECT *, {slots} AS xs FROM {name}_z),
+    {name} AS MATERIALIZED (SELECT {kept}, {_each('z_{i}')}, {_model_u('xs')} AS u, {_cost_of('z_{i}')} AS cost FROM {name}_x, trees)"""
+
+
+def _turn_sql(t: int) -> str:
+    """One round of moves for all plans: slopes by probes, the best point of the linear model, a search on the segment."""
+    clip = f"least(1.0::DOUBLE, greatest(0.2::DOUBLE, e_{{i}} + sg * {STEP}::DOUBLE * 0.8::DOUBLE))"
+    probes = ", ".join(f"CASE WHEN q = {i} THEN {clip.format(i=i)} ELSE e_{i} END AS t_{i}" for i in range(_D))
+    state = f"{_PLAN}, {_each('e_{i}')}, bu, bc"
+    up, down = "max(CASE WHEN q = {i} AND sg > 0 THEN {v} END)", "max(CASE WHEN q = {i} AND sg < 0 THEN {v} END)"
+    slope = []
+    for i in range(_D):
+        gain, gap = (f"({up.format(i=i, v=v)} - {down.format(i=i, v=v)})" for v in ("u", f"z_{i}"))
+        slope.append(f"CASE WHEN abs{gap} > 1e-12 THEN {gain} / {gap} ELSE 0 END AS g_{i}")
+    fall = "greatest(0, (greatest(0, b_{i} + k_{i}) - greatest(0, b_{i} + 0.2::DOUBLE * k_{i})) / 0.8::DOUBLE) AS s_{i}"
+    base = "CASE WHEN g_{i} > 0 AND s_{i} <= 1e-12 THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END AS o_{i}"
+    ratio = "CASE WHEN g_{i} > 0 AND s_{i} > 1e-12 THEN g_{i} / s_{i} END AS r_{i}"
+    target = []
+    for i in range(_D):
+        before = " + ".join(f"CASE WHEN r_{j} > r_{i}{f' OR r_{j} = r_{i}' if j < i else ''} THEN s_{j} * 0.8::DOUBLE ELSE 0 END" for j in range(_D) if j != i)
+        target.append(f"CASE WHEN r_{i} IS NOT NULL THEN 0.2::DOUBLE + least(0.8::DOUBLE, greatest(0, rest - ({before})) / s_{i}) ELSE o_{i} END AS l_{i}")
+    line = ", ".join(f"least(1.0::DOUBLE, greatest(0.2::DOUBLE, (1.0::DOUBLE - w) * e_{i} + w * x_{i})) AS t_{i}" for i in range(_D))
+    first = "any_value({c}) AS {c}"
+    keep = ", ".join(first.format(c=c) for c in [*STAGES, *[f"{n}_{i}" for n in "kb" for i in range(_D)], "bu", "bc"])
+    best = "greatest({a}, {b})"
+    return ", ".join([
+        f"q{t}_t AS (SELECT {state}, q, sg, {probes} FROM st{t}, (SELECT unnest(range({_D})) AS q), (SELECT unnest([1.0, -1.0])::DOUBLE AS sg))",
+        _reach(f"q{t}", f"q{t}_t", "e_{i}", "t_{i}", f"{state}, q, sg"),
+        f"g{t}_a AS (SELECT dataset, budget, combo_id, {keep}, {', '.join(f'any_value(e_{i}) AS e_{i}' for i in range(_D))}, {', '.join(slope)}, max({{'u': u, 'c': -cost}}) AS pb FROM q{t} GROUP BY dataset, budget, combo_id)",
+        f"g{t}_b AS (SELECT *, {_each(fall)} FROM g{t}_a)",
+        f"g{t}_c AS (SELECT *, {_each(base)}, {_each(ratio)} FROM g{t}_b)",
+        f"g{t}_d AS (SELECT *, greatest(0, budget - ({_cost_of('o_{i}')})) AS rest FROM g{t}_c)",
+        f"g{t}_e AS (SELECT *, {', '.join(target)} FROM g{t}_d)",
+        f"g{t}_f AS (SELECT *, CASE WHEN {_cost_of('l_{i}')} <= budget + 1e-9 THEN 1.0::DOUBLE ELSE (budget - ({_cost_of('0.2::DOUBLE')})) / (({_cost_of('l_{i}')}) - ({_cost_of('0.2::DOUBLE')})) END AS far FROM g{t}_e)",
+        f"g{t} AS MATERIALIZED (SELECT {state}, pb, {_each('0.2::DOUBLE + far * (l_{i} - 0.2::DOUBLE) AS x_{i}')} FROM g{t}_f)",
+        f"w{t}_t AS (SELECT {state}, pb, j, {line} FROM (SELECT *, j / {POINTS - 1}::DOUBLE AS w FROM g{t}, (SELECT unnest(range({POINTS})) AS j)))",
+        _reach(f"w{t}", f"w{t}_t", "e_{i}", "t_{i}", f"{state}, pb, j"),
+        f"""h{t} AS (SELECT dataset, budget, combo_id, {keep}, any_value(pb) AS pb, max({{'u': u, 'c': -cost}}) AS wb,
+          {', '.join(f"arg_max(z_{i}, {{'u': u, 'j': -j}}) AS e_{i}" for i in range(_D))} FROM w{t} GROUP BY dataset, budget, combo_id)""",
+        f"""st{t + 1} AS MATERIALIZED (SELECT {_PLAN}, {_each('e_{i}')}, m.u AS bu, m.c AS bc
+          FROM (SELECT *, {best.format(a="{'u': bu, 'c': bc}", b=best.format(a='pb', b='wb'))} AS m FROM h{t}))""",
+    ])
+
+
+@query(
+    "search_model",
+    f"""{CASES}, {model_sql()}, {_trees_sql()},
+    n AS (SELECT dataset, budget, i AS combo_id, {_combo_sql('i', LEGACY)} FROM d, w, range({SIZE}) z(i)),
+    j AS (SELECT n.*, {KB} FROM n {LINES}),
+    pl AS (SELECT *, {_cost_of('1.0::DOUBLE')} AS hi, {_cost_of('0.2::DOUBLE')} AS lo FROM j),
+    di_t AS (SELECT {_PLAN}, {_each('1.0::DOUBLE AS e_{i}')}, {_each('1.0::DOUBLE AS t_{i}')} FROM pl WHERE hi <= budget),
+    {_reach('di', 'di_t', 'e_{i}', 't_{i}', _PLAN)},
+    s0_t AS (SELECT {_PLAN}, {_each('0.2::DOUBLE AS e_{i}')}, {_each('1.0::DOUBLE AS t_{i}')} FROM pl WHERE hi > budget AND lo <= budget),
+    {_reach('s0', 's0_t', 'e_{i}', 't_{i}', _PLAN)},
+    st0 AS MATERIALIZED (SELECT {_PLAN}, {_each('z_{i} AS e_{i}')}, u AS bu, -cost AS bc FROM s0),
+    {', '.join(_turn_sql(t) for t in range(TURNS))},
+    a AS (SELECT dataset, budget, combo_id, 'direct' AS branch, u, cost FROM di UNION ALL SELECT dataset, budget, combo_id, 'optimise', bu, -bc FROM st{TURNS})
+    SELECT dataset, budget, cast(combo_id AS INT) AS combo_id, branch, round(u, 6) AS u, round(cost, 6) AS cost
+    FROM (SELECT *, row_number() OVER (PARTITION BY dataset, budget ORDER BY u DESC, round(cost, 9), combo_id) AS r FROM a) WHERE r = 1""",
+)
+def search_model(spark, sf):
+    """The hybrid search with a fitted accuracy model as utility and Frank-Wolfe moves over all plans together."""
+    space = Space(_D, Objective(budget=F.col("budget")), affine=True)
+    score = model_score(small_model(spark, sf), LEGACY)
+    moves = {"rounds": TURNS, "step": STEP, "points": POINTS}
+    found = model_search(cases(spark, sf), LEGACY, "__m_", space, score, ["dataset", "budget"], **moves)
+    return rounded(found.select("dataset", "budget", "combo_id", "branch", "u", "cost"), 6)
+
+
+# --- plans that are run ----------------------------------------------------------------------------
+
+RUN_OPTIONS = {"imputation": ["MEAN", "MEDIAN"], "data_normalization": ["min_max", "max_abs"]}
+RUN_STAGES = list(RUN_OPTIONS)
+RUN_MODELS = ["NB", "MNB"]
+RUN_DRAWS = 6
+RUN_BUDGETS = [0.05, 0.3, 1.0]
+
+# accuracy of every plan and classifier, from the rows themselves
+_RUNS = f"""b AS ({lines_sql(GAPS_SQL + ', l_returnflag')}),
+    fills AS (SELECT unnest([0, 1, 2, 3]) AS i, unnest([{', '.join(f'avg({c})' for c in FOUR)}]) AS mean, unnest([{', '.join(f'median({c})' for c in FOUR)}]) AS median FROM b WHERE split = 'train'),
+    raw AS (SELECT row_id, split, l_returnflag AS y, unnest([0, 1, 2, 3]) AS i, unnest([{', '.join(FOUR)}])::DOUBLE AS v FROM b),
+    imputed AS (SELECT row_id, split, y, i, m AS imputation, coalesce(v, CASE m WHEN 'MEAN' THEN mean ELSE median END) AS v
+      FROM raw JOIN fills USING (i), (SELECT unnest({RUN_OPTIONS['imputation']}) AS m)),
+    ends AS (SELECT imputation, i, min(v) AS lo, max(v) AS hi, max(abs(v)) AS top FROM imputed WHERE split = 'train' GROUP BY imputation, i),
+    x AS MATERIALIZED (SELECT row_id, split, y, i, imputation, m AS data_normalization, CASE m WHEN 'min_max' THEN (v - lo) / (hi - lo) ELSE v / top END AS v
+      FROM imputed JOIN ends USING (imputation, i), (SELECT unnest({RUN_OPTIONS['data_normalization']}) AS m)),
+    prior AS (SELECT l_returnflag AS c, ln(count(*) / sum(count(*)) OVER ()) AS prior FROM b WHERE split = 'train' GROUP BY l_returnflag),
+    eps AS (SELECT imputation, data_normalization, 1e-9 * max(s) AS eps FROM (SELECT imputation, data_normalization, i, var_pop(v) AS s FROM x WHERE split = 'train' GROUP BY ALL) GROUP BY ALL),
+    st AS (SELECT imputation, data_normalization, y AS c, i, avg(v) AS mean, var_pop(v) AS s, sum(v) AS total FROM x WHERE split = 'train' GROUP BY ALL),
+    st2 AS (SELECT st.*, s + eps AS spread, ln((total + 1) / (sum(total) OVER (PARTITION BY imputation, data_normalization, c) + 4)) AS w FROM st JOIN eps USING (imputation, data_normalization)),
+    ll AS (SELECT row_id, imputation, data_normalization, c, any_value(y) AS y, sum(-0.5 * ln(2 * pi() * spread) - (v - mean) * (v - mean) / (2 * spread)) AS g, sum(v * w) AS m
+      FROM x JOIN st2 USING (imputation, data_normalization, i) WHERE split = 'test' GROUP BY row_id, imputation, data_normalization, c),
+    said AS (SELECT row_id, imputation, data_normalization, any_value(y) AS y, arg_max(c, g + prior) AS nb, arg_max(c, m + prior) AS mnb FROM ll JOIN prior USING (c) GROUP BY ALL),
+    runs AS MATERIALIZED (SELECT imputation, data_normalization, model, avg((y = CASE model WHEN 'NB' THEN nb ELSE mnb END)::INT) AS accuracy, count(*) AS n
+      FROM said, (SELECT unnest({RUN_MODELS}) AS model) GROUP BY ALL)"""
+
+
+def _run(spark, sf, plans, models):
+    return run_plans(lines(spark, sf, *GAPS, "l_returnflag"), plans, "l_returnflag", models)
+
+
+@query("run_plans", f"WITH {_RUNS} SELECT imputation, data_normalization, model, round(accuracy, 8) AS accuracy, n FROM runs")
+def run_plans_query(spark, sf):
+    """Every plan of a small space, prepared and scored by two classifiers."""
+    plans = [((a, b), {"imputation": a, "data_normalization": b}, {}) for a in RUN_OPTIONS["imputation"] for b in RUN_OPTIONS["data_normalization"]]
+    rows = [(*o.plan, o.model, o.accuracy, o.n) for o in _run(spark, sf, plans, RUN_MODELS)]
+    return rounded(spark.createDataFrame(rows, "imputation string, data_normalization string, model string, accuracy double, n long"), 8)
+
+
+_RUN_LINES = f"SELECT unnest({RUN_BUDGETS})::DOUBLE AS budget"
+
+
+@query(
+    "run_planners",
+    f"""WITH {COEFFS}, {_RUNS}, w AS ({_RUN_LINES}), r AS (SELECT budget, unnest(range({RUN_DRAWS})) AS draw FROM w),
+    q AS (SELECT *, {', '.join(f"{RUN_OPTIONS[s]}[cast(floor({seeded_sql(repr('42'), repr('run'), repr(s), 'budget', 'draw')} * 2) AS INT) + 1] AS {s}" for s in RUN_STAGES)} FROM r),
+    all_plans AS (SELECT budget, 'random' AS planner, draw AS o, imputation, data_normalization FROM q UNION ALL
+      SELECT budget, 'all', 0, a, n FROM w, (SELECT unnest({RUN_OPTIONS['imputation']}) AS a), (SELECT unnest({RUN_OPTIONS['data_normalization']}) AS n)),
+    dear AS (SELECT DISTINCT c.dataset, p.*, greatest(0, c.b + c.k) + greatest(0, z.b + z.k) AS cost FROM all_plans p
+      JOIN c ON c.process = 'imputation' AND c.method = p.imputation JOIN c z ON z.dataset = c.dataset AND z.process = 'data_normalization' AND z.method = p.data_normalization),
+    tried AS (SELECT dear.*, accuracy, cost <= budget AS feasible FROM dear JOIN runs ON runs.imputation = dear.imputation AND runs.data_normalization = dear.data_normalization AND model = 'NB')
+    SELECT dataset, budget, planner, imputation, data_normalization, feasible, round(accuracy, 8) AS accuracy, round(cost, 6) AS cost FROM (SELECT *,
+      row_number() OVER (PARTITION BY dataset, budget, planner ORDER BY feasible DESC, CASE WHEN feasible THEN round(accuracy, 9) END DESC, round(cost, 9), imputation, data_normalization, o) AS k FROM tried) WHERE k = 1""",
+)
+def run_planners(spark, sf):
+    """The grid of datasets, budgets and planners: drawn plans and all plans, ranked by the accuracy of their runs.
+
+    All distinct plans of all cases are run once, as one tree; without an affordable one the cheapest is named.
+    """
+    priced = coefficients(spark, sf).where(F.col("process").isin(RUN_STAGES))
+    budgets = priced.select("dataset").distinct().withColumn("budget", F.explode(F.array(*map(F.lit, RUN_BUDGETS))))
+    drawn = budgets.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(RUN_DRAWS - 1)))).withColumn("planner", F.lit("random"))
+    for s in RUN_STAGES:
+        pick = F.floor(seeded_unit(42, "run", s, F.col("budget"), F.col("o")) * 2).cast("int")
+        drawn = drawn.withColumn(s, F.get(F.array(*map(F.lit, RUN_OPTIONS[s])), pick))
+    every = budgets.withColumn("o", F.lit(0)).withColumn("planner", F.lit("all"))
+    for s in RUN_STAGES:
+        every = every.withColumn(s, F.explode(F.array(*map(F.lit, RUN_OPTIONS[s]))))
+    tried = drawn.unionByName(every)
+    cost = F.lit(0.0)
+    for s in RUN_STAGES:
+        line = priced.where(F.col("process") == s).select("dataset", F.col("method").alias(s), F.greatest(F.lit(0.0), F.col("b") + F.col("k")).alias(f"cost_{s}"))
+        tried, cost = tried.join(line, ["dataset", s]), cost + F.col(f"cost_{s}")
+    # as many as there are plans in the space, at most
+    distinct = [tuple(r) for r in tried.select(*RUN_STAGES).distinct().collect()]
+    outcomes = _run(spark, sf, [(p, dict(zip(RUN_STAGES, p)), {}) for p in distinct], ["NB"])
+    scores = spark.createDataFrame([(*o.plan, o.accuracy) for o in outcomes], ", ".join(f"{s} string" for s in RUN_STAGES) + ", accuracy double")
+    rows = tried.withColumn("cost", cost).join(F.broadcast(scores), RUN_STAGES).withColumn("feasible", F.col("cost") <= F.col("budget"))
+    good = F.when(F.col("feasible"), F.round("accuracy", 9))
+    key = F.struct((~F.col("feasible")).alias("x"), good.isNull().alias("y"), (-good).alias("z"), F.round("cost", 9).alias("c"), *RUN_STAGES, F.col("o"))
+    best = rows.groupBy("dataset", "budget", "planner").agg(F.min_by(F.struct(*RUN_STAGES, "feasible", "accuracy", "cost"), key).alias("best"))
+    return rounded(best.select("dataset", "budget", "planner", "best.*"), {"accuracy": 8, "cost": 6}, ["budget"])

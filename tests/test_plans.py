@@ -197,3 +197,43 @@ def test_fitted_models_run_on_a_stream(spark, toy, tmp_path):
     running.awaitTermination(60)
     key = ["row_id", *[c for c in sorted(batch.columns) if c != "row_id"]]
     assert spark.table("prepared").select(*key).orderBy("row_id").collect() == batch.select(*key).orderBy("row_id").collect()
+
+
+def test_equal_beginnings_are_fitted_once(spark, toy):
+    from tamis.plans.tree import plan_tree, run_plans
+
+    first = {"feature_encoding": "ordinal", "imputation": "MEAN"}
+    plans = [
+        ("plain", first, {}),
+        ("scaled", {**first, "data_normalization": "min_max"}, {}),
+        ("scaled again", {**first, "data_normalization": "min_max"}, {}),
+        ("half", {**first, "data_normalization": "min_max"}, {"data_normalization": 0.5}),
+        ("median", {**first, "imputation": "MEDIAN", "data_normalization": "min_max"}, {}),
+        ("nothing", {}, {}),
+        ("broken", {**first, "feature_selection": "none such"}, {}),
+    ]
+    paths = []
+    held = len(spark.sparkContext._jsc.getPersistentRDDs())
+    outcomes = run_plans(toy, plans, "y", ["NB", "CART"], fitted=paths.append)
+    assert len(paths) == len(set(paths)) == 6  # encoding, two imputations, two degrees of a scaling, the other scaling
+    assert [len(p) for p in sorted(paths, key=len)] == [1, 2, 2, 3, 3, 3]
+    assert len(outcomes) == 2 * len(plans) and len(plan_tree(plans).below()) == len(plans)
+    by = {(o.plan, o.model): o for o in outcomes}
+    assert by["scaled", "CART"].accuracy == by["scaled again", "CART"].accuracy is not None
+    assert by["scaled", "CART"].prep_seconds > by["plain", "CART"].prep_seconds > 0
+    alone = run_plan(toy, plans[4][1], {}, "y", "CART")
+    assert by["median", "CART"].accuracy == alone["accuracy"]
+    assert by["broken", "NB"].accuracy is None and "none such" in by["broken", "NB"].reason
+    # every table of the tree has been released
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == held
+
+
+def test_too_few_records_are_an_error(spark, toy, monkeypatch):
+    import tamis.plans.run as run
+
+    def failing(df, plans, label, models, *args, **kwargs):
+        return [run.Outcome(name, m, reason="no luck") for name, _, _ in plans for m in models]
+
+    monkeypatch.setattr(run, "run_plans", failing)
+    with pytest.raises(RuntimeError, match="0 of 2 plans.*no luck"):
+        benefit_records(toy, "toy", "y", ["NB"], 2)
