@@ -2,7 +2,8 @@
 
 A table is one DataFrame with ``row_id``, ``row_hash`` and ``split`` columns. Statistics come from the
 training rows of the execution-degree sample; a fitted model is plain data (numbers and column names),
-so ``transform`` adds no job and the model can be stored as JSON.
+so ``transform`` adds no job and the model can be stored as JSON. Neighbour methods keep a table as well,
+trees a list of learners; these are stored beside it.
 """
 
 from __future__ import annotations
@@ -11,13 +12,19 @@ import json
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.param import Param
+from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.functions.keys import RESERVED, SPLIT, in_sample
 
 
+# the entry of a model's state that holds fitted learners: (column, inputs, learner)
+LEARNERS = "models"
+
+
 class Settings(dict):
     """Option values with attribute access."""
 
@@ -97,17 +104,36 @@ class StageModel(Model):
         return StageModel(self.stage, dict(self.settings), self.state)
 
     def save(self, path: str, spark: SparkSession | None = None) -> None:
+        """Numbers and names as JSON; tables as Parquet and learners in their own format beside it."""
         spark = spark or SparkSession.getActiveSession()
-        if any(isinstance(v, DataFrame) for v in self.state.values()) or "models" in self.state:
-            raise ValueError(f"{self.stage} {self.settings['method']} keeps tables or learners; store the prepared table instead")
-        text = json.dumps({"stage": self.stage, "settings": self.settings, "state": self.state})
-        spark.createDataFrame([(text,)], "value string").write.mode("overwrite").text(path)
+        plain = {}
+        for key, value in self.state.items():
+            if isinstance(value, DataFrame):
+                value.write.mode("overwrite").parquet(f"{path}/tables/{key}")
+                plain[key] = {"stored": "table"}
+            elif key == LEARNERS:
+                for i, (_, inputs, learner) in enumerate(value):
+                    inputs.write().overwrite().save(f"{path}/learners/{i}/inputs")
+                    learner.write().overwrite().save(f"{path}/learners/{i}/model")
+                plain[key] = {"stored": [at for at, _, _ in value]}
+            else:
+                plain[key] = value
+        text = json.dumps({"stage": self.stage, "settings": self.settings, "state": plain})
+        spark.createDataFrame([(text,)], "value string").write.mode("overwrite").text(f"{path}/state")
 
     @staticmethod
     def load(path: str, spark: SparkSession | None = None) -> StageModel:
+        """Tables are read when the model is applied, not here."""
         spark = spark or SparkSession.getActiveSession()
-        stored = json.loads(spark.read.text(path, wholetext=False).first()["value"])
-        return StageModel(stored["stage"], stored["settings"], stored["state"])
+        found = json.loads(spark.read.text(f"{path}/state").first()["value"])
+        state = found["state"]
+        for key, value in state.items():
+            if key == LEARNERS:
+                read = lambda i, what: (VectorAssembler if what == "inputs" else RandomForestRegressionModel).load(f"{path}/learners/{i}/{what}")
+                state[key] = [(at, read(i, "inputs"), read(i, "model")) for i, at in enumerate(value["stored"])]
+            elif isinstance(value, dict) and value.get("stored") == "table":
+                state[key] = spark.read.parquet(f"{path}/tables/{key}")
+        return StageModel(found["stage"], found["settings"], state)
 
 
 _CLASSES: dict[str, type[Stage]] = {}

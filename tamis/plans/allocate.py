@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -498,35 +497,34 @@ def swap_table(coefficients: DataFrame, group: list[str], e_min: float, grid: li
 
 
 def greedy_plan(swaps: DataFrame, group: list[str], overhead: float = 0.0) -> DataFrame:
-    """Accept swaps by ratio while the plan stays affordable, one per stage.
+    """Accept swaps by ratio while the plan stays affordable, one per stage: (group, stage, method, e, seconds, total).
 
-    ``swaps`` also has ``budget``. A group holds methods x degrees rows, at most a few hundred.
+    An ordered fold over the swaps of a group, whose state maps each stage to what it takes. ``swaps`` also has
+    ``budget``. A group holds methods x degrees swaps, at most a few hundred.
     """
-    types = {f.name: f.dataType.simpleString() for f in swaps.schema.fields}
-    schema = ", ".join(f"`{g}` {types[g]}" for g in group) + ", stage string, method string, e double, seconds double, total double"
-
-    def accept(part: pd.DataFrame) -> pd.DataFrame:
-        stages = part.groupby("stage")["base_seconds"].first()
-        seconds = stages.to_dict()
-        limit = part["budget"].iloc[0]
-        chosen: dict[str, tuple[str, float]] = {}
-        ordered = part.sort_values(["ratio", "gain_delta", "stage", "method", "e"], ascending=[False, False, True, True, True])
-        for row in ordered.itertuples():
-            if row.stage in chosen:
-                continue
-            total = overhead + sum(v for s, v in seconds.items() if s != row.stage) + row.seconds
-            if total <= limit:
-                chosen[row.stage] = (row.method, row.e)
-                seconds[row.stage] = row.seconds
-        out = pd.DataFrame({"stage": list(seconds), "seconds": list(seconds.values())})
-        out["method"] = [chosen.get(s, (None, None))[0] for s in out["stage"]]
-        out["e"] = [chosen.get(s, (None, None))[1] for s in out["stage"]]
-        out["total"] = overhead + sum(seconds.values())
-        for g in group:
-            out[g] = part[g].iloc[0]
-        return out[[*group, "stage", "method", "e", "seconds", "total"]]
-
-    return swaps.groupBy(*group).applyInPandas(accept, schema)
+    item = F.struct((-F.col("ratio")).alias("ratio"), (-F.col("gain_delta")).alias("gain"), "stage", "method", "e", "seconds")
+    gathered = swaps.groupBy(*group).agg(
+        F.array_sort(F.collect_list(item)).alias("__items"),
+        F.map_from_entries(F.collect_set(F.struct("stage", "base_seconds"))).alias("__base"),
+        F.first("budget").alias("__limit"),
+    )
+
+    def taken(method: Column, e: Column, seconds: Column) -> Column:
+        return F.struct(method.cast("string").alias("method"), e.cast("double").alias("e"), seconds.alias("seconds"))
+
+    def total(state: Column) -> Column:
+        return F.aggregate(F.map_values(state), F.lit(float(overhead)), lambda a, v: a + v["seconds"])
+
+    def accept(state: Column, swap: Column) -> Column:
+        new = taken(swap["method"], swap["e"], swap["seconds"])
+        swapped = F.transform_values(state, lambda k, v: F.when(k == swap["stage"], new).otherwise(v))
+        free = F.element_at(state, swap["stage"])["method"].isNull()
+        return F.when(free & (total(swapped) <= F.col("__limit")), swapped).otherwise(state)
+
+    start = F.transform_values("__base", lambda _, v: taken(F.lit(None), F.lit(None), v))
+    done = gathered.withColumn("__plan", F.aggregate("__items", start, accept)).withColumn("total", total(F.col("__plan")))
+    stages = done.select(*group, "total", F.explode("__plan").alias("stage", "__v"))
+    return stages.select(*group, "stage", "__v.method", "__v.e", "__v.seconds", "total")
 
 
 def hybrid_rule(plans: DataFrame, space: Space, low: float = 0.2) -> DataFrame:

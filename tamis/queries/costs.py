@@ -25,7 +25,7 @@ from tamis.plans.profile import dataset_meta, dataset_params
 from tamis.plans.space import LEGACY, long_plan, method_options
 from tamis.queries.registry import query, read, rounded, seeded_sql
 from tamis.queries.tables import order_plans, plan_columns_sql
-from tamis.sources.records import profile_lookup, with_record_defaults
+from tamis.sources.records import coefficients_as_of, profile_lookup, with_record_defaults
 from tamis.sources.tables import keyed
 
 PAIRS = [(s, m) for s, ms in method_options("sota").items() for m in ms]
@@ -231,6 +231,47 @@ def human_cost(spark, sf):
     return rounded(o.select("o_orderkey", *[v.alias(k) for k, v in parts.items()]), {"complexity": 8})
 
 
+# --- versions of cost lines -----------------------------------------------------------------------
+
+# version 1 knows the first three runs and no imputation, version 3 all of it; there is no version 2
+_VERSIONS = {1: "run <= 3 AND process <> 'imputation'", 3: "true"}
+_STATISTICS = {"mean": "avg(seconds)", "q90": "quantile_cont(seconds, 0.9)"}
+
+
+def _versions_sql() -> str:
+    parts = []
+    for version, where in _VERSIONS.items():
+        for name, seconds in _STATISTICS.items():
+            fit = _fit_sql(seconds, 15).replace(f"({MEASURED})", f"(SELECT * FROM ({MEASURED}) WHERE {where})")
+            parts.append(f"SELECT {version} AS version, '{name}' AS statistic, * FROM ({fit})")
+    return " UNION ALL ".join(parts)
+
+
+@query(
+    "coeff_as_of",
+    f"""WITH cv AS MATERIALIZED ({_versions_sql()}),
+    w AS (SELECT o_orderkey, {_list(DATASETS)}[cast(o_custkey % 6 AS INT) + 1] AS dataset, {_list(s for s, _ in PAIRS)}[cast(o_orderkey % {len(PAIRS)} AS INT) + 1] AS process,
+      {_list(m for _, m in PAIRS)}[cast(o_orderkey % {len(PAIRS)} AS INT) + 1] AS method, cast(o_orderkey % 5 AS INT) AS version, CASE WHEN o_custkey % 2 = 0 THEN 'mean' ELSE 'q90' END AS statistic FROM orders)
+    SELECT o_orderkey, w.dataset, w.process, w.method, w.version, w.statistic, cv.version AS used_version, round(k, 6) AS k, round(b, 6) AS b
+    FROM w LEFT JOIN cv ON cv.dataset = w.dataset AND cv.process = w.process AND cv.method = w.method AND cv.statistic = w.statistic AND cv.version <= w.version
+    QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY cv.version DESC NULLS LAST) = 1""",
+)
+def coeff_as_of(spark, sf):
+    """The cost line that held when an order was priced, by mean or by 90 % quantile."""
+    versions = None
+    for version, where in _VERSIONS.items():
+        profile = runtime_profile(measurements(spark, sf).where(where))
+        for name in _STATISTICS:
+            part = fit_seconds(profile, KEYS, f"{name}_seconds").withColumns({"statistic": F.lit(name), "version": F.lit(version)})
+            versions = part if versions is None else versions.unionByName(part)
+    at = f"cast(o_orderkey % {len(PAIRS)} AS int) + 1"
+    wanted = read(spark, sf, "orders").selectExpr(
+        "o_orderkey", f"element_at({_array(DATASETS)}, cast(o_custkey % 6 AS int) + 1) AS dataset", f"element_at({_array(s for s, _ in PAIRS)}, {at}) AS process",
+        f"element_at({_array(m for _, m in PAIRS)}, {at}) AS method", "cast(o_orderkey % 5 AS int) AS version", "CASE WHEN o_custkey % 2 = 0 THEN 'mean' ELSE 'q90' END AS statistic",
+    )
+    return rounded(coefficients_as_of(wanted, versions), 6)
+
+
 # --- dataset profiles -----------------------------------------------------------------------------
 
 _PARAMS = """p AS (SELECT count(*) AS dataset_rows, cast(5 AS BIGINT) AS dataset_cols, cast(3 AS BIGINT) AS numeric_cols, cast(2 AS BIGINT) AS categorical_cols,

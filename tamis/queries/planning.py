@@ -23,6 +23,7 @@ from tamis.plans.allocate import (
     swap_table,
     uniform_allocation,
 )
+from tamis.plans.chain import allocate, total
 from tamis.plans.compare import running_best
 from tamis.plans.cost import stage_seconds
 from tamis.plans.objective import Objective, within_bounds
@@ -357,6 +358,45 @@ def plan_synthetic(spark, sf):
     return rounded(frank_wolfe(plans, space, column_score(example_utility, 2), ["c_custkey"]), 6)
 
 
+# --- plans that use an operator twice --------------------------------------------------------------
+
+# (operator, weight, share of the cost drawn for it): impute, scale, impute again
+_TWICE = [("impute", 0.3, 0.5), ("scale", 0.2, 0.3), ("impute", 0.15, 0.8)]
+
+
+def _twice_sql() -> str:
+    prices = ", ".join(f"{share}::DOUBLE + {seeded_sql(repr('42'), repr('twice'), repr(str(i)), 'c_custkey')} AS k_{i}" for i, (_, _, share) in enumerate(_TWICE))
+    return f"SELECT c_custkey, {prices}, 0.1::DOUBLE + abs(c_acctbal) % 100.0::DOUBLE / 500.0::DOUBLE AS budget FROM customer"
+
+
+@query(
+    "plan_repeated",
+    f"""WITH p AS ({_twice_sql()}), f AS (SELECT *, {' + '.join(f'{w * w!r}::DOUBLE / k_{i}' for i, (_, w, _) in enumerate(_TWICE))} AS s FROM p)
+    SELECT c_custkey, '{"/".join(o for o, _, _ in _TWICE)}' AS operators, round(sqrt((budget - 0.03::DOUBLE) * s), 6) AS closed_u, true AS feasible, true AS close FROM f""",
+)
+def plan_repeated(spark, sf):
+    """An operator twice in a plan: the sum of weighted roots has its best degrees, and their utility, in closed form."""
+    unit = lambda i: seeded_unit(42, "twice", i, F.col("c_custkey"))
+    prices = [F.lit(share) + unit(i) for i, (_, _, share) in enumerate(_TWICE)]
+    ops = [
+        F.struct(F.lit(o).alias("operator"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), k.alias("k"), F.lit(0.01).alias("b"), F.lit(w).alias("weight"))
+        for (o, w, _), k in zip(_TWICE, prices)
+    ]
+    budget = F.lit(0.1) + F.pmod(F.abs("c_acctbal"), F.lit(100.0)) / 500.0
+    # the allocation is the work here: a small file would give it to one task
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plans = read(spark, sf, "customer").repartition(tasks, "c_custkey").select("c_custkey", F.array(*ops).alias("ops"), budget.alias("budget"))
+    done = allocate(plans, lambda ops, e: total(F.zip_with(ops, e, lambda o, x: o["weight"] * F.sqrt(x))))
+    best = F.sqrt((F.col("budget") - 0.03) * total(F.transform("ops", lambda o: o["weight"] * o["weight"] / o["k"])))
+    return rounded(
+        done.select(
+            "c_custkey", F.concat_ws("/", F.transform("ops", lambda o: o["operator"])).alias("operators"), best.alias("closed_u"),
+            (F.col("cost") <= F.col("budget") + 1e-9).alias("feasible"), (F.abs(F.col("u") - best) <= 1e-3).alias("close"),
+        ),
+        6,
+    )
+
+
 @query("fw_deterministic")
 def fw_deterministic(spark, sf):
     plans = two_stage(spark, sf, "customer", "c_custkey")
@@ -412,7 +452,28 @@ def greedy_ratio(spark, sf):
     return rounded(_swaps(spark, sf).select("dataset", "stage", "method", "e", "cost_delta", "gain_delta"), 6)
 
 
-@query("greedy_plan")
+def _greedy_sql() -> str:
+    """Swaps taken one by one: t_j is what stage j takes, c_j the number of its swap."""
+    d = len(STAGES)
+    columns = ", ".join(f"{n}_{j}" for n in "tc" for j in range(d))
+    start = ", ".join([f"max(CASE WHEN stage = '{s}' THEN base END) AS t_{j}" for j, s in enumerate(STAGES)] + [f"cast(0 AS BIGINT) AS c_{j}" for j in range(d)])
+    takes = [f"o.stage = '{s}' AND c_{j} = 0 AND {' + '.join('o.seconds' if i == j else f't_{i}' for i in range(d))} <= o.budget" for j, s in enumerate(STAGES)]
+    step = ", ".join([f"CASE WHEN {x} THEN o.seconds ELSE t_{j} END" for j, x in enumerate(takes)] + [f"CASE WHEN {x} THEN o.i ELSE c_{j} END" for j, x in enumerate(takes)])
+    return f"""WITH RECURSIVE {COEFFS}, l AS (SELECT dataset, process AS stage, method, k, b FROM c WHERE process IN ({', '.join(f"'{s}'" for s in STAGES)})),
+    m AS (SELECT dataset, stage, min(greatest(0, b + 0.1 * k)) AS base FROM l GROUP BY ALL),
+    s AS (SELECT l.*, e, base, greatest(0, b + k * e) AS seconds, {seeded_sql("'42'", "'gain'", "stage", "method")} * sqrt(e) * 0.2 AS gain, budget
+      FROM l JOIN m USING (dataset, stage), (SELECT unnest([0.1, 0.3, 0.5, 0.7, 1.0])::DOUBLE AS e), (SELECT unnest([0.3, 0.5, 0.7, 1.0])::DOUBLE AS budget)),
+    o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY dataset, budget ORDER BY gain / greatest(seconds - base, 1e-9) DESC, gain DESC, stage, method, e) AS i FROM s),
+    it(dataset, budget, i, {columns}) AS (
+      SELECT dataset, budget, cast(0 AS BIGINT), {columns} FROM (SELECT dataset, budget, {start} FROM s GROUP BY dataset, budget)
+      UNION ALL SELECT it.dataset, it.budget, o.i, {step} FROM it JOIN o ON o.dataset = it.dataset AND o.budget = it.budget AND o.i = it.i + 1),
+    f AS (SELECT * FROM it QUALIFY row_number() OVER (PARTITION BY dataset, budget ORDER BY i DESC) = 1),
+    u AS (SELECT dataset, budget, unnest([{', '.join(f"'{s}'" for s in STAGES)}]) AS stage, unnest([{', '.join(f't_{j}' for j in range(d))}]) AS seconds, unnest([{', '.join(f'c_{j}' for j in range(d))}]) AS i,
+      {' + '.join(f't_{j}' for j in range(d))} AS total FROM f)
+    SELECT u.dataset, u.budget, u.stage, o.method, o.e, round(u.seconds, 6) AS seconds, round(total, 6) AS total FROM u LEFT JOIN o ON o.dataset = u.dataset AND o.budget = u.budget AND o.i = u.i"""
+
+
+@query("greedy_plan", _greedy_sql())
 def greedy_plan_query(spark, sf):
     """Accepted swaps per measured dataset and budget."""
     budgets = F.explode(F.array(*[F.lit(b) for b in (0.3, 0.5, 0.7, 1.0)]))

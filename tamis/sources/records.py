@@ -80,6 +80,30 @@ def profile_lookup(
     return found.select(*keys, level.alias("specificity"), *[best[c].alias(c) for c in rest])
 
 
+def write_coefficients(coefficients: DataFrame, path: str, version: int) -> None:
+    """Append one version of cost lines (dataset, process, method, statistic, k, b)."""
+    coefficients.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(path)
+
+
+def read_coefficients(spark: SparkSession, path: str, newest: int) -> DataFrame:
+    """Versions up to ``newest``; the folders of later ones are not read."""
+    return spark.read.parquet(path).where(F.col("version") <= newest)
+
+
+def coefficients_as_of(wanted: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """Adds (used_version, k, b): per row the last version up to its ``version``, of its ``statistic`` (mean or q90).
+
+    Versions of a line are few and ride along as one sorted array, so there is no join on a range; a row before the
+    first version of its line stays, with NULLs. Of equal versions the largest line counts.
+    """
+    keys = ["dataset", "process", "method", "statistic"]
+    versions = coefficients.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("version", "k", "b"))).alias("__versions"))
+    joined = wanted.join(versions, keys, "left")
+    known = F.filter("__versions", lambda v: v["version"] <= F.col("version"))
+    found = joined.withColumn("__used", F.try_element_at(known, F.lit(-1)))
+    return found.select(*wanted.columns, F.col("__used.version").alias("used_version"), F.col("__used.k").alias("k"), F.col("__used.b").alias("b"))
+
+
 def write_results(results: DataFrame, path: str) -> None:
     results.write.mode("append").option("header", True).csv(path)
 

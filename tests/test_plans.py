@@ -237,3 +237,61 @@ def test_too_few_records_are_an_error(spark, toy, monkeypatch):
     monkeypatch.setattr(run, "run_plans", failing)
     with pytest.raises(RuntimeError, match="0 of 2 plans.*no luck"):
         benefit_records(toy, "toy", "y", ["NB"], 2)
+
+
+def test_coefficients_by_version(spark, tmp_path):
+    from tamis.sources.records import coefficients_as_of, read_coefficients, write_coefficients
+
+    def line(method, statistic, k):
+        return ("a", "imputation", method, statistic, k, 0.1)
+
+    schema = "dataset string, process string, method string, statistic string, k double, b double"
+    write_coefficients(spark.createDataFrame([line("MEAN", "mean", 1.0), line("MEAN", "q90", 2.0)], schema), f"{tmp_path}/c", 1)
+    write_coefficients(spark.createDataFrame([line("MEAN", "mean", 3.0), line("KNN", "mean", 9.0)], schema), f"{tmp_path}/c", 4)
+    known = read_coefficients(spark, f"{tmp_path}/c", 3)
+    assert {r["version"] for r in known.collect()} == {1}
+    assert "PartitionFilters: [isnotnull(version" in known._jdf.queryExecution().executedPlan().toString()
+    wanted = [("a", "imputation", m, v, s) for m, v, s in [("MEAN", 0, "mean"), ("MEAN", 1, "mean"), ("MEAN", 3, "mean"), ("MEAN", 9, "mean"), ("MEAN", 9, "q90"), ("KNN", 3, "mean"), ("none", 9, "mean")]]
+    frame = spark.createDataFrame(wanted, "dataset string, process string, method string, version int, statistic string")
+    rows = coefficients_as_of(frame, read_coefficients(spark, f"{tmp_path}/c", 9)).collect()
+    found = {(r["method"], r["version"], r["statistic"]): (r["used_version"], r["k"]) for r in rows}
+    assert found == {
+        ("MEAN", 0, "mean"): (None, None), ("MEAN", 1, "mean"): (1, 1.0), ("MEAN", 3, "mean"): (1, 1.0), ("MEAN", 9, "mean"): (4, 3.0),
+        ("MEAN", 9, "q90"): (1, 2.0), ("KNN", 3, "mean"): (None, None), ("none", 9, "mean"): (None, None),
+    }
+
+
+def test_models_with_tables_and_learners_are_stored(spark, toy, tmp_path):
+    from tamis.operators.base import StageModel
+    from tamis.operators.stages import Imputation, OutlierDetection
+
+    encoded = prepare(toy, {"feature_encoding": "ordinal"}, {}, "y")[0]
+    full = Imputation("MEAN", label="y").fit(encoded).transform(encoded)
+    for number, (stage, table) in enumerate([(Imputation("KNN", label="y"), encoded), (Imputation("DT", label="y", tree_rounds=1), encoded), (OutlierDetection("LOF", label="y", neighbours=3), full)]):
+        model = stage.fit(table)
+        model.save(f"{tmp_path}/{number}")
+        again = StageModel.load(f"{tmp_path}/{number}", spark)
+        key = sorted(table.columns)
+        assert again.transform(table).select(*key).orderBy("row_id").collect() == model.transform(table).select(*key).orderBy("row_id").collect()
+
+
+def test_chains_of_operators(spark):
+    from tamis.plans.chain import allocate, line_costs, total
+
+    schema = "id int, ops array<struct<operator:string,lo:double,hi:double,k:double,b:double>>, budget double"
+    twice = [("impute", 0.0, 1.0, 0.5, 0.1), ("scale", 0.2, 0.2, 1.0, 0.0), ("impute", 0.0, 1.0, 0.25, 0.0)]
+    plans = spark.createDataFrame([(1, twice, 0.6), (2, twice, 5.0), (3, twice, 0.25), (4, twice[:1], 0.35), (5, [], 1.0)], schema)
+    utility = lambda ops, e: total(F.zip_with(ops, e, lambda o, x: F.when(o["operator"] == "impute", F.sqrt(x)).otherwise(F.lit(0.0))))
+    rows = {r["id"]: r for r in allocate(plans, utility).collect()}
+    # 0.3 is left for two roots at 0.5 and 0.25 a unit: equal gain per cost where e_0 = 0.2 and e_2 = 0.8
+    assert rows[1]["e"] == pytest.approx([0.2, 0.2, 0.8], abs=0.02) and rows[1]["u"] == pytest.approx(0.2**0.5 + 0.8**0.5, abs=1e-4)
+    assert rows[2]["e"] == pytest.approx([1.0, 0.2, 1.0]) and rows[2]["cost"] == pytest.approx(1.05)
+    assert rows[3]["e"] is None and rows[3]["u"] is None  # the fixed stage and the offset alone cost 0.3
+    assert rows[4]["e"] == pytest.approx([0.5], abs=1e-6) and rows[5]["e"] == []
+    assert all(r["cost"] <= r["budget"] + 1e-8 for r in rows.values() if r["e"])
+    # a cost of its own: a second use of an operator is half the price of the first
+    def cheaper(ops, e):
+        return line_costs(ops, F.transform(e, lambda x, i: F.when(i > 1, x * 0.5).otherwise(x)))
+
+    own = {r["id"]: r for r in allocate(plans.where("id = 1"), utility, cheaper).collect()}
+    assert own[1]["u"] > rows[1]["u"] and own[1]["cost"] <= 0.6 + 1e-8
