@@ -5,13 +5,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark import StorageLevel
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamis.functions.hinge import sparse_machine
 from tamis.functions.schema import feature_columns, finite_or_null, no_nulls, numeric_columns, quoted
-from tamis.functions.stats import correlations, summaries
+from tamis.functions.stats import correlations, moments, summaries
 from tamis.operators.base import Settings, Stage, register, training_sample
 from tamis.operators.extract import apply_kept
 
@@ -112,14 +115,20 @@ def fit_tree(df: DataFrame, s: Settings) -> dict:
 
 
 def fit_svc(df: DataFrame, s: Settings) -> dict:
-    """Columns with a non-zero weight in a sparse linear model of the standardized columns."""
+    """Columns with a weight in a linear machine with squared hinge loss and L1 penalty, on standardized columns."""
     numeric, data = _labelled(df, s)
-    scaled = StandardScaler(inputCol="__x", outputCol="__z", withMean=True).fit(data).transform(data)
-    model = LogisticRegression(
-        featuresCol="__z", labelCol="__y", regParam=s.l1_weight, elasticNetParam=1.0, standardization=False, maxIter=100
-    ).fit(scaled)
-    weights = np.abs(model.coefficientMatrix.toArray()).max(axis=0)
-    keep = [c for c, w in zip(numeric, weights) if w > 1e-5]
+    rows = data.select(vector_to_array("__x").alias("x"), "__y").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n, mean, cov = moments(rows, [F.get("x", F.lit(i)) for i in range(len(numeric))])
+        if not n:
+            raise ValueError("SVC selection needs rows without gaps")
+        spread = np.where(np.diag(cov) > 0, np.sqrt(np.maximum(np.diag(cov), 0)), 1.0)
+        classes = rows.agg(F.max("__y")).first()[0] + 1
+        machine = sparse_machine(rows, np.asarray(mean), spread, cov / np.outer(spread, spread), int(classes), s.l1_weight)
+    finally:
+        rows.unpersist()
+    weights = np.abs(machine.weights).max(axis=0)
+    keep = [c for c, w in zip(numeric, weights) if w > 0]
     if not keep:
         raise ValueError("SVC selection keeps no column; lower l1_weight")
     return _scored(numeric, dict(zip(numeric, map(float, weights))), keep)
@@ -127,7 +136,7 @@ def fit_svc(df: DataFrame, s: Settings) -> dict:
 
 @register
 class FeatureSelection(Stage):
-    """Methods ``LC VAR Tree SVC MR WR``. ``Tree`` and ``SVC`` use the nearest Spark ML learners."""
+    """Methods ``LC VAR Tree SVC MR WR``. ``Tree`` uses the nearest Spark ML learner."""
 
     STAGE = "feature_selection"
     METHODS = {
