@@ -188,7 +188,8 @@ def calibration_features(df: DataFrame, keys: list[str]) -> DataFrame:
 def calibration_multiplier(features: DataFrame, coefficients: DataFrame, keys: list[str]) -> DataFrame:
     """exp(features . coefficients) clipped; ``coefficients`` is (feature, coefficient), one row per feature."""
     low, high = CALIBRATION_CLIP
-    joined = features.join(F.broadcast(coefficients), "feature", "left")
+    # no hint: names of datasets are features as well, so Spark measures the table and broadcasts a small one
+    joined = features.join(coefficients, "feature", "left")
     return joined.groupBy(*keys).agg(
         F.least(F.greatest(F.exp(F.sum(F.col("value") * F.coalesce("coefficient", F.lit(0.0)))), F.lit(low)), F.lit(high)).alias("calibration")
     )

@@ -134,7 +134,8 @@ def priced_plans(spark, sf) -> DataFrame:
     """A plan per order, priced with the lines of the dataset its customer points to."""
     plans = order_plans(spark, sf).withColumn("dataset", F.expr(f"element_at({_array(DATASETS)}, cast(o_custkey % 6 AS int) + 1)"))
     rows = long_plan(plans, ["o_orderkey", "dataset"], STAGES)
-    lines = F.broadcast(coefficients(spark, sf).withColumnRenamed("process", "stage"))  # at most datasets x methods rows
+    # a row per dataset and method, which grows with the datasets: Spark measures it and broadcasts it while it is small
+    lines = coefficients(spark, sf).withColumnRenamed("process", "stage")
     return plan_seconds(rows, lines, ["o_orderkey", "dataset"], ["dataset", "stage", "method"])
 
 
@@ -186,7 +187,7 @@ BONUS = "bo(stage, method, bonus) AS (VALUES " + ", ".join(f"('{s}', '{m}', {met
 )
 def cost_multiplier_query(spark, sf):
     used = measurements(spark, sf).select("dataset", F.col("process").alias("stage"), "method").distinct()
-    sized = used.join(F.broadcast(dataset_sizes(spark, sf)), "dataset").join(F.broadcast(bonus_table(spark)), ["stage", "method"])
+    sized = used.join(dataset_sizes(spark, sf), "dataset").join(F.broadcast(bonus_table(spark)), ["stage", "method"])
     value = cost_multiplier("e_dataset_method", F.col("dataset_rows"), F.col("dataset_cols"), F.col("bonus"))
     return rounded(sized.select("dataset", "stage", "method", value.alias("multiplier")), 8)
 
@@ -204,7 +205,7 @@ WEIGHTS = [("intercept", 0.1), ("log_rows", 0.02), ("numeric_ratio", -0.3), ("mi
 def cost_calibrated(spark, sf):
     keys = ["dataset", "stage", "method"]
     used = measurements(spark, sf).select("dataset", F.col("process").alias("stage"), "method").distinct()
-    sized = used.join(F.broadcast(dataset_sizes(spark, sf)), "dataset")
+    sized = used.join(dataset_sizes(spark, sf), "dataset")
     weights = spark.createDataFrame(WEIGHTS, "feature string, coefficient double")
     return rounded(calibration_multiplier(calibration_features(sized, keys), weights, keys), 8)
 
