@@ -358,6 +358,34 @@ def plan_synthetic(spark, sf):
     return rounded(frank_wolfe(plans, space, column_score(example_utility, 2), ["c_custkey"]), 6)
 
 
+# best degrees in closed form: shares of the rest by (weight / price)^2, what one stage cannot take goes to the other
+_CLOSED = """p AS ({plans}), r AS (SELECT c_custkey, budget - 0.05::DOUBLE AS rest FROM p WHERE budget >= 0.05),
+    s AS (SELECT *, 0.140625::DOUBLE * rest / (0.05625::DOUBLE + 0.04::DOUBLE / 0.6::DOUBLE) AS a, 0.04::DOUBLE / 0.36::DOUBLE * rest / (0.05625::DOUBLE + 0.04::DOUBLE / 0.6::DOUBLE) AS b FROM r),
+    e AS (SELECT c_custkey, CASE WHEN b > 1 AND a <= 1 THEN least(1, (rest - 0.6) / 0.4) ELSE least(1, a) END AS e_0,
+      CASE WHEN a > 1 THEN least(1, (rest - 0.4) / 0.6) ELSE least(1, b) END AS e_1 FROM s)"""
+
+
+@query(
+    "plan_synthetic_gap",
+    f"""WITH {_CLOSED.format(plans=_two_sql('customer', 'c_custkey'))}
+    SELECT c_custkey, round(0.6::DOUBLE + 0.15::DOUBLE * sqrt(e_0) + 0.2::DOUBLE * sqrt(e_1), 6) AS closed_u, true AS feasible, true AS close FROM e""",
+)
+def plan_synthetic_gap(spark, sf):
+    """The zeroth-order allocation of every customer against the best utility in closed form: within 0.001."""
+    plans = two_stage(spark, sf, "customer", "c_custkey")
+    found = plan_synthetic(spark, sf).join(plans.select("c_custkey", "budget"), "c_custkey")
+    rest = F.col("budget") - 0.05
+    weight = 0.05625 + 0.04 / 0.6
+    a, b = 0.140625 * rest / weight, 0.04 / 0.36 * rest / weight
+    first = F.when((b > 1) & (a <= 1), F.least(F.lit(1.0), (rest - 0.6) / 0.4)).otherwise(F.least(F.lit(1.0), a))
+    second = F.when(a > 1, F.least(F.lit(1.0), (rest - 0.4) / 0.6)).otherwise(F.least(F.lit(1.0), b))
+    best = example_utility([first, second])
+    checked = found.select(
+        "c_custkey", best.alias("closed_u"), (F.col("cost") <= F.col("budget") + 1e-6).alias("feasible"), (best - F.col("u") <= 1e-3).alias("close")
+    )
+    return rounded(checked, 6)
+
+
 # --- plans that use an operator twice --------------------------------------------------------------
 
 # (operator, weight, share of the cost drawn for it): impute, scale, impute again
