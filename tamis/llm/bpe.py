@@ -6,7 +6,8 @@ leads from a merge's rank to the positions where it applies, ranks are taken in
 merge updates only the pairs with its left and right neighbour. A match met again costs one lookup.
 
 Merging rank by rank over all words gives what merging word by word gives, as words do not touch, unless a
-merge makes a pair of a lower rank than its own; a word where that happens is finished by itself.
+merge makes a pair of a lower rank than its own; a word where that happens is replayed by itself, from a heap
+of its own pairs.
 
 Work is row-local: no shuffle, any copies or hot sources are spread as the input is. Memory is bounded by a
 block of documents and by ``REMEMBERED`` matches; after that many, the memory starts anew.
@@ -68,15 +69,34 @@ class Vocabulary:
         return rank
 
     def encode_word(self, word: bytes) -> list[int]:
-        """One word by itself: the lowest rank first, the leftmost of equals."""
-        ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
-        while True:
-            ranks = [self.pair_rank(a << 32 | b) for a, b in zip(ids, ids[1:])]
-            known = [r for r in ranks if r >= 0]
-            if not known:
-                return ids
-            at = ranks.index(min(known))
-            ids[at : at + 2] = [ranks[at]]
+        """One word by itself: the lowest rank first, the leftmost of equals.
+
+        Pairs wait in a heap by rank and position, symbols are linked to their neighbours, and a merge looks at two
+        pairs only, so time grows with n log n.
+        """
+        symbols = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+        end, pair_rank = len(symbols), self.pair_rank
+        follow, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        ranks = [pair_rank(a << 32 | b) for a, b in zip(symbols, symbols[1:])]
+        heap = [rank << 40 | at for at, rank in enumerate(ranks) if rank >= 0]
+        heapq.heapify(heap)
+        while heap:
+            rank, at = divmod(heapq.heappop(heap), 1 << 40)
+            right = follow[at]
+            if symbols[at] < 0 or right == end or pair_rank(symbols[at] << 32 | symbols[right]) != rank:
+                continue  # one of the two was merged meanwhile
+            after, left = follow[right], before[at]
+            symbols[at], symbols[right], follow[at] = rank, -1, after
+            if after < end:
+                before[after] = at
+                new = pair_rank(rank << 32 | symbols[after])
+                if new >= 0:
+                    heapq.heappush(heap, new << 40 | at)
+            if left >= 0:
+                new = pair_rank(symbols[left] << 32 | rank)
+                if new >= 0:
+                    heapq.heappush(heap, new << 40 | left)
+        return [s for s in symbols if s >= 0]
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and how many each word has.
