@@ -1,6 +1,8 @@
 """Nulls, empty and long texts, repeated rows, clashing column names and empty tables, for every operator."""
 
 import hashlib
+import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -93,6 +95,20 @@ def test_hash_collisions_are_told_apart(monkeypatch):
     assert dict(zip(distinct, masks.tolist())) == {b"a b c d": 1, b"a b c e": 1, b"x a b c": 2, b"p q r": 1}
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "etaoinshr", "ACGT", "a"])
+def test_bpe_of_very_long_words(letters):
+    words = bpe.Vocabulary(RANKS)
+    encoding = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=words.ranks, special_tokens={})
+    for seed in range(3):
+        long = "".join(random.Random(seed).choices(letters, k=200_000))
+        start = time.process_time()
+        ids, counts = words.replay([b"short", long.encode(), b""])
+        assert time.process_time() - start < 10  # quadratic work would take many minutes
+        want = encoding.encode_ordinary(long)
+        assert counts.tolist() == [1, len(want), 0] and ids[1:].tolist() == want
+        assert words.encode_word(long.encode()) == want
+
+
 def test_bpe(odd, none):
     encoding = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.vocabulary(RANKS).ranks, special_tokens={})
     encoded = bpe.encode(odd, RANKS, public_tokenizers.PATTERN, keep=("doc_id", "lang"))
@@ -354,3 +370,10 @@ def test_shards_move_only_where_weights_change(spark):
         assert r["more"] == r["one"] or r["more"] == 41
     counts = np.bincount([r["shard"] for r in rows], minlength=40)
     assert counts.min() > 90 and counts.max() < 220
+
+
+def test_lm_scores_do_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    first, *others = ({r["doc_id"]: r["score"] for r in context_mixing.score_texts(d).collect()} for d in (docs, docs.repartition(7), docs.repartition(3)))
+    for other in others:
+        assert other == pytest.approx(first, rel=1e-9)
