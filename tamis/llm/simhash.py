@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tamis.llm.components import components
 from tamis.session import cut_lineage
@@ -204,10 +205,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return printed.join(labels, "fingerprint").select(key, "fingerprint", "component_id")
 
 
+def _hashable(field: T.StructField) -> Column:
+    """A column that can be hashed: one that holds a map or a variant as its JSON."""
+    column, kind = F.col(f"`{field.name}`"), field.dataType.simpleString()
+    if "map<" in kind or "variant" in kind:
+        return F.to_json(F.struct(column.alias("x")), {"ignoreNullFields": "false"})
+    return column
+
+
 def first_of_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` without near duplicates: of each component the row with the smallest id (a null id last;
     of equal ids the smallest hash of all columns), and of equal rows one."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    row = F.xxhash64(*[_hashable(f) for f in df.schema.fields])
     narrow = df.select(F.col(key).alias("_id"), row.alias("_row"), F.col(text).alias("_text"))
     printed = cut_lineage(with_fingerprint(narrow, "_text").select("_id", "_row", "fingerprint"))
     first = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
