@@ -6,12 +6,12 @@ import math
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamis.functions.extra_trees import column_weights
 from tamis.functions.hinge import sparse_machine
 from tamis.functions.schema import feature_columns, finite_or_null, no_nulls, numeric_columns, quoted
 from tamis.functions.stats import correlations, moments, summaries
@@ -106,11 +106,14 @@ def _labelled(df: DataFrame, s: Settings) -> tuple[list[str], DataFrame]:
 
 
 def fit_tree(df: DataFrame, s: Settings) -> dict:
+    """Columns with at least the mean weight in extremely randomised trees."""
     numeric, data = _labelled(df, s)
-    forest = RandomForestClassifier(
-        featuresCol="__x", labelCol="__y", numTrees=int(s.trees), maxDepth=int(s.tree_depth), seed=int(s.seed)
-    ).fit(data)
-    weights = forest.featureImportances.toArray()
+    rows = data.select(vector_to_array("__x").alias("x"), "__y").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        classes = int(rows.agg(F.coalesce(F.max("__y"), F.lit(0.0))).first()[0]) + 1
+        weights = column_weights(rows, "x", "__y", len(numeric), classes, int(s.trees), int(s.tree_depth), seed=int(s.seed))
+    finally:
+        rows.unpersist()
     return _scored(numeric, dict(zip(numeric, map(float, weights))), [c for c, w in zip(numeric, weights) if w >= weights.mean()])
 
 
@@ -136,7 +139,7 @@ def fit_svc(df: DataFrame, s: Settings) -> dict:
 
 @register
 class FeatureSelection(Stage):
-    """Methods ``LC VAR Tree SVC MR WR``. ``Tree`` uses the nearest Spark ML learner."""
+    """Methods ``LC VAR Tree SVC MR WR``."""
 
     STAGE = "feature_selection"
     METHODS = {
