@@ -365,15 +365,13 @@ _CLOSED = """p AS ({plans}), r AS (SELECT c_custkey, budget - 0.05::DOUBLE AS re
       CASE WHEN a > 1 THEN least(1, (rest - 0.4) / 0.6) ELSE least(1, b) END AS e_1 FROM s)"""
 
 
-@query(
-    "plan_synthetic_gap",
-    f"""WITH {_CLOSED.format(plans=_two_sql('customer', 'c_custkey'))}
-    SELECT c_custkey, round(0.6::DOUBLE + 0.15::DOUBLE * sqrt(e_0) + 0.2::DOUBLE * sqrt(e_1), 6) AS closed_u, true AS feasible, true AS close FROM e""",
-)
-def plan_synthetic_gap(spark, sf):
-    """The zeroth-order allocation of every customer against the best utility in closed form: within 0.001."""
-    plans = two_stage(spark, sf, "customer", "c_custkey")
-    found = plan_synthetic(spark, sf).join(plans.select("c_custkey", "budget"), "c_custkey")
+_CLOSED_GAP = f"""WITH {_CLOSED.format(plans=_two_sql('customer', 'c_custkey'))}
+    SELECT c_custkey, round(0.6::DOUBLE + 0.15::DOUBLE * sqrt(e_0) + 0.2::DOUBLE * sqrt(e_1), 6) AS closed_u, true AS feasible, true AS close FROM e"""
+
+
+def _closed_gap(spark, sf, found):
+    """Allocations of the customers against the best utility in closed form: within the budget, and within 0.001 of it."""
+    found = found.join(two_stage(spark, sf, "customer", "c_custkey").select("c_custkey", "budget"), "c_custkey")
     rest = F.col("budget") - 0.05
     weight = 0.05625 + 0.04 / 0.6
     a, b = 0.140625 * rest / weight, 0.04 / 0.36 * rest / weight
@@ -386,6 +384,12 @@ def plan_synthetic_gap(spark, sf):
     return rounded(checked, 6)
 
 
+@query("plan_synthetic_gap", _CLOSED_GAP)
+def plan_synthetic_gap(spark, sf):
+    """The zeroth-order allocation of every customer."""
+    return _closed_gap(spark, sf, plan_synthetic(spark, sf))
+
+
 # --- plans that use an operator twice --------------------------------------------------------------
 
 # (operator, weight, share of the cost drawn for it): impute, scale, impute again
@@ -429,7 +433,13 @@ def plan_repeated(spark, sf):
 def fw_deterministic(spark, sf):
     plans = two_stage(spark, sf, "customer", "c_custkey")
     space = Space(2, Objective(budget=F.col("budget")), cost=example_cost, affine=True)
-    return rounded(frank_wolfe_deterministic(plans, space, column_score(example_utility, 2), ["c_custkey"], rounds=4, checkpoint_every=2), 6)
+    return rounded(frank_wolfe_deterministic(plans, space, column_score(example_utility, 2), ["c_custkey"]), 6)
+
+
+@query("fw_deterministic_gap", _CLOSED_GAP)
+def fw_deterministic_gap(spark, sf):
+    """The deterministic Frank-Wolfe allocation of every customer, at its default rounds."""
+    return _closed_gap(spark, sf, fw_deterministic(spark, sf))
 
 
 @query(
