@@ -20,6 +20,7 @@ from tamis.session import cut_lineage
 
 TINY = 1e-12
 BISECTIONS = 55
+PROBES = 200_000  # rows of probes or draws in one task, about
 Score = Callable[[DataFrame], DataFrame]
 Cost = Callable[[list[Column]], Column]
 
@@ -315,6 +316,7 @@ def frank_wolfe(
     for s, run in enumerate(runs[1:], 1):
         state = state.unionByName(run.withColumn("start", F.lit(s)))
     at = [*keys, "start"]
+    state = dealt(state, keys, 2 * directions)
     state = score(space.priced(state)).withColumn("best", _first_best(space)).withColumn("calm", F.lit(0)).withColumn("live", F.lit(True))
     finished = []
     for turn in range(rounds):
@@ -363,7 +365,7 @@ def frank_wolfe_deterministic(
     points: int = 21, gap_tolerance: float = 1e-4, patience: int = 2, min_rounds: int = 3, checkpoint_every: int = 4,
 ) -> DataFrame:
     """Coordinate differences and a grid search on the segment; one start."""
-    state = balanced_start(plans, space)
+    state = dealt(balanced_start(plans, space), keys, points)
     state = score(space.priced(state)).withColumn("best", _first_best(space)).withColumn("calm", F.lit(0)).withColumn("live", F.lit(True))
     finished = []
     for turn in range(rounds):
@@ -409,13 +411,23 @@ def _unpack(df: DataFrame, keys: list[str], d: int) -> DataFrame:
     return df.select(*keys, F.col("best.u").alias("u"), F.col("best.cost").alias("cost"), *[F.col(f"best.e_{i}").alias(f"e_{i}") for i in range(d)])
 
 
+def dealt(plans: DataFrame, keys: list[str], probes: int) -> DataFrame:
+    """Plans dealt by their keys over tasks whose number grows with them.
+
+    Grouping the ``probes`` of a plan by the keys then needs no shuffle, and what a task sorts does not grow with the plans.
+    """
+    spark = plans.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(plans.count() * probes / PROBES))
+    return plans.repartition(tasks, *keys)
+
+
 def monte_carlo(plans: DataFrame, space: Space, score: Score, keys: list[str], samples: int, seed: int = 42) -> DataFrame:
     """Best affordable draw per plan; without one, the cheapest draw and no utility.
 
     The budget filter runs before scoring, so only affordable draws are scored.
     """
     d = space.d
-    rows = plans.drop(*[f"e_{i}" for i in range(d)]).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    rows = dealt(plans, keys, samples).drop(*[f"e_{i}" for i in range(d)]).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(samples))))
     rows = rows.select(
         "*",
         *[
