@@ -151,10 +151,17 @@ def allocate(plans: DataFrame, utility: Measure, cost: Measure = line_costs, rou
             corner = let(affordable(ops, low, knapsack(ops, g, cost, budget), cost, budget), line)
             return F.greatest(corner, let(exchange(ops, s["e"], g, cost), line))
 
-        return let(let(slopes(ops, s["e"], utility, step), both), lambda found: F.when(found["u"] > s["u"], found).otherwise(s))
+        def kept(found: Column) -> Column:
+            better = found["u"] > s["u"]
+            return F.when(better, F.struct(found["u"].alias("u"), found["e"].alias("e"), better.alias("live"))).otherwise(
+                F.struct(s["u"].alias("u"), s["e"].alias("e"), F.lit(False).alias("live"))
+            )
+
+        # a round depends on the point alone, so after one without gain all others would find the same
+        return F.when(s["live"], let(let(slopes(ops, s["e"], utility, step), both), kept)).otherwise(s)
 
     anchored = plans.withColumn("__start", F.when(cost(ops, low) <= budget + BUDGET_SLACK, affordable(ops, low, high, cost, budget)))
-    first = F.struct(utility(ops, F.col("__start")).alias("u"), F.col("__start").alias("e"))
+    first = F.struct(utility(ops, F.col("__start")).alias("u"), F.col("__start").alias("e"), F.lit(True).alias("live"))
     done = anchored.withColumn("__best", F.when(F.col("__start").isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, advance)))
     found = done.select(*plans.columns, F.col("__best.e").alias("e"), F.col("__best.u").alias("u"))
     return found.withColumn("cost", cost(F.col("ops"), F.col("e")))
