@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.functions.keys import seeded_unit
@@ -42,8 +42,13 @@ def line_cost(d: int, overhead: float | Column = 0.0) -> Cost:
 
 
 def column_score(utility: Callable[[list[Column]], Column], d: int) -> Score:
-    """Wrap a utility given as an expression of the degrees."""
-    return lambda df: df.withColumn("u", utility(cols("e", d)))
+    """Wrap a utility given as an expression of the degrees; ``utility`` is kept, for points that stand in other columns."""
+
+    def score(df: DataFrame) -> DataFrame:
+        return df.withColumn("u", utility(cols("e", d)))
+
+    score.utility = utility
+    return score
 
 
 def clip(e: list[Column], d: int) -> list[Column]:
@@ -244,6 +249,62 @@ def smoothed_gradient(
     return done.select(*keys, *state, *[f"e_{i}" for i in range(d)], *[(F.col(f"g_{i}") / ranges[i]).alias(f"g_{i}") for i in range(d)], "probe")
 
 
+def _signed(plus: Column, minus: Column) -> Column:
+    """The sum of both outcomes of a pair with their signs, as an aggregate takes it: nulls are left out."""
+    return F.coalesce(plus - minus, plus, -minus)
+
+
+def smoothed_gradient_in_row(
+    df: DataFrame, space: Space, utility: Callable[[list[Column]], Column], directions: list[list[Column]], radius: float
+) -> DataFrame:
+    """What ``smoothed_gradient`` adds, for plans of one row each and a utility of columns: the probes are columns of the plan."""
+    d, at, spread = space.d, range(space.d), cols("__w", space.d)
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    probes = [(q, sign) for q in range(len(directions)) for sign in (1.0, -1.0)]
+    name = lambda tag, k: [f"__{tag}_{k}_{i}" for i in at]
+    several = lambda tag, k: [F.col(c) for c in name(tag, k)]
+    ranges = [F.greatest(hi - lo, F.lit(TINY)).alias(f"__w_{i}") for i, (lo, hi) in enumerate(zip(cols("lo", d), cols("hi", d)))]
+    rows = df.select(*kept, *ranges, *[x.alias(f"__n_{q}_{i}") for q, direction in enumerate(directions) for i, x in enumerate(direction)])
+    tried = []
+    for k, (q, sign) in enumerate(probes):
+        target = clip([e + sign * radius * w * x for e, w, x in zip(cols("e", d), spread, several("n", q))], d)
+        tried += [t.alias(c) for t, c in zip(target, name("t", k))]
+    rows = rows.select(*kept, *spread, *tried)
+    if space.objective.bounded:
+        far = [space.share(cols("e", d), several("t", k)).alias(f"__a_{k}") for k in range(len(probes))]
+        rows = rows.select(*kept, *spread, *[F.col(c) for k in range(len(probes)) for c in name("t", k)], *far)
+        moved = [(e + F.col(f"__a_{k}") * (t - e)).alias(c) for k in range(len(probes)) for e, t, c in zip(cols("e", d), several("t", k), name("p", k))]
+    else:
+        moved = [t.alias(c) for k in range(len(probes)) for t, c in zip(several("t", k), name("p", k))]
+    points = [F.col(c) for k in range(len(probes)) for c in name("p", k)]
+    rows = rows.select(*kept, *spread, *moved)
+    rows = rows.select(
+        *kept, *spread, *points, *[x.alias(f"__{tag}_{k}") for k in range(len(probes)) for tag, x in (("u", utility(several("p", k))), ("c", space.cost(several("p", k))))]
+    )
+    value = [space.objective.value(F.col(f"__u_{k}"), F.col(f"__c_{k}")) for k in range(len(probes))]
+    seen = []
+    for k in range(len(probes)):
+        u, cost = F.col(f"__u_{k}"), F.col(f"__c_{k}")
+        seen.append(F.struct(space.objective.preference(u, cost).alias("p"), u.alias("u"), cost.alias("cost"), *[x.alias(f"e_{i}") for i, x in enumerate(several("p", k))]))
+    pairs = [_signed(value[2 * q], value[2 * q + 1]).alias(f"__v_{q}") for q in range(len(directions))]
+    pairs += [(_signed(a, b) / w).alias(f"__d_{q}_{i}") for q in range(len(directions)) for i, (a, b, w) in enumerate(zip(several("p", 2 * q), several("p", 2 * q + 1), spread))]
+    rows = rows.select(*kept, *spread, F.greatest(*seen).alias("probe"), *pairs)
+    parts = [[] for _ in at]
+    for q in range(len(directions)):
+        delta = several("d", q)
+        square = sum((x * x for x in delta[1:]), delta[0] * delta[0])
+        for i in at:
+            parts[i].append(F.when(F.sqrt(square) > TINY, d * F.col(f"__v_{q}") * delta[i] / F.when(square > 0, square)).alias(f"__g_{q}_{i}"))
+    rows = rows.select(*kept, *spread, "probe", *[x for part in parts for x in part])
+    out = []
+    for i in at:
+        mine = [F.col(f"__g_{q}_{i}") for q in range(len(directions))]
+        counted = sum((x.isNotNull().cast("int") for x in mine), F.lit(0))
+        total = sum((F.coalesce(x, F.lit(0.0)) for x in mine), F.lit(0.0))
+        out.append((F.when(counted > 0, total / counted).otherwise(F.lit(0.0)) / spread[i]).alias(f"g_{i}"))
+    return rows.select(*kept, *out, "probe")
+
+
 def coordinate_gradient(df: DataFrame, space: Space, score: Score, keys: list[str], step: float = 0.02) -> DataFrame:
     """Add ``g_i`` by central differences per coordinate, and ``probe``: the best probe seen."""
     d = space.d
@@ -304,8 +365,12 @@ def frank_wolfe(
     seed: int = 42,
     checkpoint_every: int = 4,
 ) -> DataFrame:
-    """Zeroth-order Frank-Wolfe over all plans together; one row per plan with its best candidate."""
-    d = space.d
+    """Zeroth-order Frank-Wolfe over all plans together; one row per plan with its best candidate.
+
+    Rows of equal keys become one plan in the first round. From then on a plan and start is one row, and the probes
+    of a utility of columns need no grouping.
+    """
+    d, utility = space.d, getattr(score, "utility", None)
     runs = [balanced_start(plans, space)]
     for s in range(1, starts):
         if s == 1 and not space.objective.bounded:
@@ -321,7 +386,13 @@ def frank_wolfe(
     finished = []
     for turn in range(rounds):
         width = max(1e-5, radius / (turn + 1.0) ** radius_decay)
-        state = smoothed_gradient(state.drop("u", "cost"), space, score, at, gaussian_directions(at, d, directions, seed, turn), width)
+        drawn = gaussian_directions(at, d, directions, seed, turn)
+        if utility is None:
+            state = smoothed_gradient(state.drop("u", "cost"), space, score, at, drawn, width)
+        elif turn:
+            state = smoothed_gradient_in_row(state.drop("u", "cost"), space, utility, drawn, width)
+        else:
+            state = _first_gradient(state.drop("u", "cost"), space, score, at, drawn, width)
         state = _advance(state, space, score, turn, min(1.0, step_numerator / (turn + step_offset)), gap_tolerance, patience, min_rounds)
         if (turn + 1) % checkpoint_every == 0 and turn + 1 < rounds:
             state = cut_lineage(state)
@@ -332,6 +403,13 @@ def frank_wolfe(
     return _unpack(_together(state, finished).groupBy(*keys).agg(F.max("best").alias("best")), keys, d)
 
 
+def _first_gradient(state: DataFrame, space: Space, score: Score, at: list[str], directions: list[list[Column]], radius: float) -> DataFrame:
+    """The gradient of the first round: only rows that share their keys with others are grouped."""
+    counted = state.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*at)))
+    alone = smoothed_gradient_in_row(counted.where("__n = 1").drop("__n"), space, score.utility, directions, radius)
+    return alone.unionByName(smoothed_gradient(counted.where("__n > 1").drop("__n"), space, score, at, directions, radius))
+
+
 def _together(state: DataFrame, finished: list[DataFrame]) -> DataFrame:
     out = state.select(*[c for c in state.columns if c not in ("u", "cost")])
     for part in finished:
