@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ from tamis.operators.base import Settings, Stage, register, training_sample
 
 EXPRESSION_TERMS = 600
 MI_BINS = 32
+LIFTED_ROWS = 4_096
 
 
 def _inputs(df: DataFrame, s: Settings) -> tuple[list[str], DataFrame]:
@@ -262,8 +264,7 @@ def fit_kernel(df: DataFrame, s: Settings) -> dict:
     frequencies = rng.normal(scale=math.sqrt(2.0 / len(columns)), size=(wanted, len(columns)))
     phases = rng.uniform(0, 2 * math.pi, wanted)
     state = {"columns": columns, "centre": mean.tolist(), "scale": std.tolist(), "frequencies": frequencies.tolist(), "phases": phases.tolist()}
-    lifted = sample.select(_waves(state)(F.array(*[quoted(c).cast("double") for c in columns])).alias("w"))
-    _, centre, cov = moments(lifted, [F.get("w", F.lit(i)) for i in range(wanted)])
+    centre, cov = _lifted_moments(sample.select(F.array(*[quoted(c).cast("double") for c in columns]).alias("x")), state)
     _, axes = principal_axes(cov)
     k = wanted_components(s.n_components, len(columns), min(wanted, n))
     return state | {
@@ -273,38 +274,72 @@ def fit_kernel(df: DataFrame, s: Settings) -> dict:
     }
 
 
+def _blocks_of(vectors: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """The vectors of a list column in blocks that stay in the cache; missing numbers are NaN."""
+    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(-1, width)
+    for at in range(0, len(values), LIFTED_ROWS):
+        yield values[at : at + LIFTED_ROWS]
+
+
 def _waves(state: dict):
-    """Random Fourier features of a vector of columns, in Arrow batches."""
+    """Random Fourier features of rows of numbers."""
     centre, scale = np.array(state["centre"]), np.array(state["scale"])
     frequencies, phases = np.array(state["frequencies"]), np.array(state["phases"])
+    return lambda values: math.sqrt(2.0 / len(phases)) * np.cos((values - centre) / scale @ frequencies.T + phases)
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def waves(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for vectors in batches:
-            if not len(vectors):
-                yield pd.Series([], dtype=object)
-                continue
-            x = (np.stack(vectors.to_numpy()) - centre) / scale
-            yield pd.Series(list(math.sqrt(2.0 / len(phases)) * np.cos(x @ frequencies.T + phases)))
 
-    return waves
+def _pooled(a: tuple, b: tuple) -> tuple:
+    """Rows, mean and centred products of two sets of rows together (Chan, Golub & LeVeque 1979)."""
+    n, apart = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
+
+
+def _lifted_moments(vectors: DataFrame, state: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population covariance of the features of all rows without gaps, in one pass.
+
+    A task sends the sums of its rows, whose size does not depend on them; a tree of tasks adds them up.
+    """
+    waves, width = _waves(state), len(state["columns"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for values in _blocks_of(batch.column(0), width):
+                values = values[~np.isnan(values).any(axis=1)]
+                if len(values):
+                    lifted = waves(values)
+                    mean = lifted.mean(axis=0)
+                    lifted -= mean
+                    part = len(lifted), mean, lifted.T @ lifted
+                    total = part if total is None else _pooled(total, part)
+        if total is not None:
+            columns = [pa.array([total[0]], pa.int64()), pa.array([total[1].tobytes()], pa.binary()), pa.array([total[2].tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["n", "mean", "products"])
+
+    def unpacked(row) -> tuple:
+        mean = np.frombuffer(row["mean"])
+        return row["n"], mean, np.frombuffer(row["products"]).reshape(len(mean), -1)
+
+    n, mean, products = vectors.mapInArrow(run, "n long, mean binary, products binary").rdd.map(unpacked).treeReduce(_pooled)
+    return mean, products / n
 
 
 def apply_kernel(df: DataFrame, s: Settings, state: dict) -> DataFrame:
     if "frequencies" not in state:
         return apply_linear(df, s, state)
     weights, offset, waves = np.array(state["weights"]), np.array(state["offset"]), _waves(state)
+    width = len(state["columns"])
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def components(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def components(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for vectors in batches:
-            if not len(vectors):
-                yield pd.Series([], dtype=object)
-                continue
-            yield pd.Series(list((np.stack(vectors.to_numpy()) - offset) @ weights.T))
+            parts = [(waves(values) - offset) @ weights.T for values in _blocks_of(vectors, width)]
+            found = np.concatenate(parts) if parts else np.zeros((0, len(weights)))
+            ends = np.arange(0, found.size + 1, len(weights), dtype=np.int32)
+            yield pa.ListArray.from_arrays(ends, pa.array(found.ravel(), from_pandas=True))
 
     def make(full: DataFrame) -> list[Column]:
-        found = components(waves(F.array(*[quoted(c).cast("double") for c in state["columns"]])))
+        found = components(F.array(*[quoted(c).cast("double") for c in state["columns"]]))
         return [found[i].alias(name) for i, name in enumerate(state["names"])]
 
     return _output(df, s, state["columns"], make)
