@@ -286,7 +286,9 @@ class Contexts:
         np.add.at(self.gated, run.gates * CODES + code, np.int32(1))
         for at in range(0, len(code), WORDS):
             part = code[at : at + WORDS]
-            cells = 2 * code_slots(run.keys[:, at : at + WORDS], part) + np.take(BITS, part, axis=1)
+            cells = code_slots(run.keys[:, at : at + WORDS], part)
+            cells <<= 1
+            cells += np.take(BITS, part, axis=1, mode="clip")
             np.add.at(self.table, cells.ravel(), np.int32(1))
 
     def slices(self) -> list[tuple[int, bytes]]:
@@ -514,6 +516,13 @@ class Mixer:
         self.gate = np.ascontiguousarray(self._nodes(smoothed)[:, PATHS].transpose(1, 0, 2).reshape(CODE_BITS, -1))
         self.plain = self._nodes(self.codes[None])[0, PATHS]
 
+    @classmethod
+    def of(cls, arrays: dict[str, np.ndarray]) -> Mixer:
+        """From the arrays of another: a broadcast holds these, as its readers need not find this class."""
+        out = cls.__new__(cls)
+        vars(out).update(arrays)
+        return out
+
     @staticmethod
     def _nodes(codes: np.ndarray) -> np.ndarray:
         """What the counts of the codes predict at each node of the code, heap order."""
@@ -546,15 +555,23 @@ class Mixer:
                 # a nibble's bits share the weights that its first node chooses
                 near, far = (np.take(self.context, s[::4] - 1, mode="clip") for s in slots)
                 at = owner * SETS + np.minimum(near / 2, NEAR - 1).astype(np.int64) * FAR + np.minimum(far, FAR - 1).astype(np.int64)
-                total = sum(np.take(w, at, mode="clip")[:, None] * x for w, x in zip(weights, inputs))
+                # in place, as most of the time goes here; ``likely`` is the probability of the bit that came
+                total = np.take(weights[0], at, mode="clip")[:, None] * inputs[0]
+                for w, x in zip(weights[1:], inputs[1:]):
+                    total += np.take(w, at, mode="clip")[:, None] * x
                 sign = np.take(SIGNS, code, axis=1, mode="clip").reshape(total.shape)
-                likely = 1 / (1 + np.exp(np.clip(sign * total, -30, 30)))
+                total *= sign
+                np.exp(np.clip(total, -30, 30, out=total), out=total)
+                total += 1
+                likely = np.divide(1, total, out=total)
                 out[part] = np.log(np.multiply.reduce(likely.reshape(CODE_BITS, -1), axis=0, dtype=np.float64))
-                error, first = sign * (likely - 1), owner[0] * SETS
+                error, first = np.subtract(likely, 1, out=likely), owner[0] * SETS
+                error *= sign
                 flat, size = (at - first).ravel(), (owner[-1] + 1) * SETS - first
                 reached = slice(first, first + size)
                 for w, q, x in zip(weights, squares, inputs):
-                    slope = np.bincount(flat, (error * x).sum(axis=1).ravel(), size).astype(np.float32)
+                    x *= error
+                    slope = np.bincount(flat, x.sum(axis=1).ravel(), size).astype(np.float32)
                     q[reached] += slope**2
                     w[reached] += STEP * slope / np.sqrt(q[reached])
         return out
@@ -591,12 +608,15 @@ def text_scores(texts: list[np.ndarray], dictionary: Dictionary, mixer: Mixer) -
     earlier = np.empty(len(ids), np.int64)
     earlier[order] = np.arange(len(ids)) - np.repeat(head, np.diff(np.append(head, len(ids))))
     share = earlier / np.maximum(run.place, 1)
-    again, likely, started = earlier > 0, np.exp(base), run.place > 0
+    again, started = np.flatnonzero(earlier), run.place > 0
+    likely, share = np.exp(base[again]), share[again]
     totals = []
     for cache in CACHES:
-        new = base + math.log1p(-cache) * started
-        new[again] = np.log((1 - cache) * likely[again] + cache * share[again] + 1e-300)
-        totals.append(np.bincount(run.owner, new if cache else base, len(texts)))
+        new = base
+        if cache:
+            new = base + math.log1p(-cache) * started
+            new[again] = np.log((1 - cache) * likely + cache * share + 1e-300)
+        totals.append(np.bincount(run.owner, new, len(texts)))
     return np.logaddexp.reduce(totals) - math.log(len(totals))
 
 
@@ -622,7 +642,8 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", remainde
     tree = huffman(_byte_counts(learnt))
     table = df.sparkSession.sparkContext.broadcast(_slot_counts(learnt, tree))
     weights = _mixing_weights(learnt, parts, tree, table)
-    met = df.sparkSession.sparkContext.broadcast(contexts)
+    # made once, not for every block
+    met = df.sparkSession.sparkContext.broadcast(vars(Mixer(contexts[: 2 * SLOTS].reshape(SLOTS, 2), contexts[2 * SLOTS :])))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(tree, table.value, weights)
@@ -648,7 +669,7 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", remainde
             return listed.column(name).to_numpy()[order]
 
         dictionary = Dictionary(column("mark").view(np.uint32), column("times"), column("spelled").astype(np.float64), escape)
-        mixer = Mixer(met.value[: 2 * SLOTS].reshape(SLOTS, 2), met.value[2 * SLOTS :])
+        mixer = Mixer.of(met.value)
         base = np.log10((dictionary.times + 0.5) / (n + 0.5 * (v + 1)))
         texts, rows = list(map(_unpacked, docs.column("tokens").to_pylist())), []
         groups = np.cumsum([0, *map(len, texts)])[:-1] // TOGETHER
