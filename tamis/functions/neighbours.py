@@ -7,8 +7,9 @@ into the same balls. Then, before any row moves, balls are matched with balls: t
 radii bound the distance of all their rows, the sizes of the donors' balls bound the k-th distance from above, and a
 pair of balls that cannot hold one of the k is dropped; first at the top, then among the leaves of what is left. At
 last every query looks at the leaves its own leaf was matched with, drops those too far for it alone, and meets the
-others in blocks. So the rows shuffled are the queries times the leaves they need, and each donor once per block of
-queries of its leaf.
+others in bundles: in many dimensions leaves of one top ball travel together, and a query moves once for all leaves of
+a bundle, with their numbers, and brings one list of neighbours back. So the rows shuffled are the queries times the bundles they
+need, and each donor once per block of queries of its bundle.
 
 Missing coordinates follow the usual rule: the squared distance over shared coordinates is scaled by (all coordinates /
 shared coordinates). Rows with other coordinates missing lie in balls of their own; the bounds hold on what both sides
@@ -31,6 +32,8 @@ from tamis.session import cut_lineage
 
 DONOR_BLOCK = 4_096
 QUERY_BLOCK = 4_096
+BUNDLE = 8  # blocks of donors that meet at once, at most
+BUNDLE_VALUES = 1 << 22  # coordinates of a bundle's donors, where a block has fewer
 TOP_BALLS = 1 << 16  # rows of the table of top balls at most: fewer centers where there are many patterns
 PATTERNS = 256
 CHUNK = 512
@@ -83,18 +86,23 @@ def nearest(
         return donors.sparkSession.createDataFrame([], out_schema + ", rank int")
     placed, matched = match(tree, queries, need, query_block)
     left = candidates(tree, placed, matched, need, query_block)
-    layout = matched.groupBy("leaf").agg(F.first("d_parts").alias("d_parts"), F.first("q_parts").alias("q_parts"))
+    layout = matched.groupBy("leaf").agg(*[F.first(c).alias(c) for c in ("bundle", "number", "d_parts", "q_parts")])
     right = (
         small(tree.donors.withColumn("leaf", leaf_name("kind", "top", "sub")), layout, "leaf")
         .withColumn("dpart", F.pmod(F.xxhash64("did"), F.col("d_parts")).cast("int"))
-        .select("did", "dv", "leaf", "dpart", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("qpart"))
+        .select("did", "dv", "number", "bundle", "dpart", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("qpart"))
     )
-    keys = ["leaf", "qpart", "dpart"]
-    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block_search(k, dims, skip_self), out_schema)
+    keys = ["bundle", "qpart", "dpart"]
+    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_bundle_search(k, dims, skip_self, donor_block), out_schema)
     best = Window.partitionBy("qid", "want").orderBy("dist2", "did")
     return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def bundled(dims: int, block: int) -> int:
+    """Blocks in a bundle. In few dimensions bounds drop most leaves and small bundles move least; in many nearly all leaves meet."""
+    return max(1, min(BUNDLE, dims // 4, BUNDLE_VALUES // max(dims * block, 1)))
+
+
 def small(rows: DataFrame, table: DataFrame, *on: str) -> DataFrame:
     """Join with a table of balls: broadcast where it has few rows, else by shuffle."""
     few = table.limit(FEW_ROWS + 1).count() <= FEW_ROWS
@@ -273,7 +281,8 @@ def _needed(low: np.ndarray, high: np.ndarray, sizes: np.ndarray, need: int) ->
 def match(tree: Tree, queries: DataFrame, need: int, query_block: int = QUERY_BLOCK) -> tuple[DataFrame, DataFrame]:
     """The queries in their leaves, and the pairs of leaves that can hold a neighbour.
 
-    Pairs: (pattern, want, q_top, q_sub, q_rows, leaf, kind, center, radius, rows, d_parts, q_parts), a row for each.
+    Pairs: (pattern, want, q_top, q_sub, q_rows, home, leaf, kind, center, radius, rows, bundle, number, d_parts, q_parts), a
+    row for each. ``bundle``: the leaves that travel with this one; ``number``: the leaf's among those of its top ball, ``home``.
     """
     dims = tree.dims
     wanted = queries.select("qid", "qv", F.col("want").cast("int").alias("want"))
@@ -300,11 +309,11 @@ def match(tree: Tree, queries: DataFrame, need: int, query_block: int = QUERY_BL
 
     # leaves with leaves, inside the top balls that met
     leaves = tree.donors.groupBy("kind", "top", "sub").agg(F.count("*").alias("rows"), F.max("far").alias("radius"))
-    theirs = leaves.join(tree.subs, ["top", "sub"]).join(met, ["kind", "top"]).withColumn("leaf", leaf_name("kind", "top", "sub"))
+    theirs = leaves.join(tree.subs, ["top", "sub"]).join(met, ["kind", "top"]).withColumn("leaf", leaf_name("kind", "top", "sub")).withColumnRenamed("top", "home")
     mine = placed.groupBy("pattern", "want", F.col("top").alias("q_top"), F.col("sub").alias("q_sub")).agg(F.count("*").alias("q_rows"), F.max("far").alias("q_radius"))
     centers = tree.subs.select(F.col("top").alias("q_top"), F.col("sub").alias("q_sub"), F.col("center").alias("q_center"))
     keys = ["pattern", "want", "q_top"]
-    fields = "pattern string, want int, q_top int, q_sub int, q_rows long, leaf string, kind string, center array<double>, radius double, rows long"
+    fields = "pattern string, want int, q_top int, q_sub int, q_rows long, home int, leaf string, kind string, center array<double>, radius double, rows long"
 
     def match_leaves(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         pattern, want = key[0].as_py(), key[1].as_py()
@@ -317,20 +326,35 @@ def match(tree: Tree, queries: DataFrame, need: int, query_block: int = QUERY_BL
                 rows, at = _needed(*_bounds(a[start : start + CHUNK], r[start : start + CHUNK], pattern, want, b, s, column, dims), n, need)
                 found.append(np.stack([rows + start, at]))
         row, at = np.concatenate(found, axis=1)
-        one, other = left.select(["pattern", "want", "q_top", "q_sub", "q_rows"]).take(row), right.select(["leaf", "kind", "center", "radius", "rows"]).take(at)
+        one, other = left.select(["pattern", "want", "q_top", "q_sub", "q_rows"]).take(row), right.select(["home", "leaf", "kind", "center", "radius", "rows"]).take(at)
         return pa.table([*one.columns, *other.columns], names=[*one.column_names, *other.column_names])
 
     pairs = cut_lineage(mine.join(centers, ["q_top", "q_sub"]).groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInArrow(match_leaves, fields))
-    # how many blocks of donors and of queries a leaf makes is known before any row moves
-    layout = pairs.groupBy("leaf").agg(
-        F.greatest(F.ceil(F.first("rows") / tree.block), F.lit(1)).cast("int").alias("d_parts"),
-        F.greatest(F.ceil(F.sum("q_rows") / query_block), F.lit(1)).cast("int").alias("q_parts"),
+    # what a bundle holds, and how many blocks of donors and of queries it makes, is known before any row moves
+    blocks = bundled(dims, tree.block)
+    rows, asking = blocks * tree.block, max(1, blocks // 2) * query_block
+    axis = int(tops.var(axis=0).argmax()) if dims else 0
+    along = Window.partitionBy("kind", "home").orderBy(F.get("center", F.lit(axis)), "leaf")
+    before = F.coalesce(F.sum("rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.floor(before / rows) if blocks > 1 else F.row_number().over(along)
+    bundles = (
+        pairs.groupBy("leaf")
+        .agg(*[F.first(c).alias(c) for c in ("kind", "home", "center", "rows")])
+        .select(
+            "leaf",
+            F.concat_ws(":", "kind", F.col("home").cast("string"), place.cast("string")).alias("bundle"),
+            F.row_number().over(along).alias("number"),
+            F.greatest(F.ceil(F.col("rows") / rows), F.lit(1)).cast("int").alias("d_parts"),
+        )
     )
-    return placed, cut_lineage(pairs.join(layout, "leaf"))
+    laid = pairs.join(bundles, "leaf")
+    asked = laid.select("bundle", *keys, "q_sub", "q_rows").distinct().groupBy("bundle")
+    q_parts = asked.agg(F.greatest(F.ceil(F.sum("q_rows") / asking), F.lit(1)).cast("int").alias("q_parts"))
+    return placed, cut_lineage(laid.join(q_parts, "bundle"))
 
 
 def candidates(tree: Tree, placed: DataFrame, matched: DataFrame, need: int, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """(qid, qv, want, leaf, qpart, dpart): every query next to the blocks of the leaves that it needs itself."""
+    """(qid, qv, want, bundle, qpart, dpart, numbers): every query once for a bundle, with the leaves that it needs itself."""
     dims = tree.dims
     keys = ["pattern", "want", "q_top", "q_sub"]
     parts = matched.groupBy(*keys).agg(F.ceil(F.first("q_rows") / query_block).cast("int").alias("parts"))
@@ -344,6 +368,7 @@ def candidates(tree: Tree, placed: DataFrame, matched: DataFrame, need: int, que
         centers, radii = _points(theirs.column("center"), dims), theirs.column("radius").to_numpy()
         kinds, sizes = theirs.column("kind").to_numpy(), theirs.column("rows").to_numpy()
         d_parts, q_parts = theirs.column("d_parts").to_numpy(), theirs.column("q_parts").to_numpy()
+        numbers, bundles = theirs.column("number").to_numpy(), np.unique(theirs.column("bundle").to_numpy().astype(str), return_inverse=True)[1]
         found = [np.zeros((2, 0), int)]
         for start in range(0, len(points), CHUNK):
             some = points[start : start + CHUNK]
@@ -353,63 +378,126 @@ def candidates(tree: Tree, placed: DataFrame, matched: DataFrame, need: int, que
         times = d_parts[at]
         row, at = np.repeat(row, times), np.repeat(at, times)
         dpart = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-        out = mine.select(["qid", "qv", "want"]).take(row)
-        out = out.append_column("leaf", theirs.column("leaf").take(at))
-        return out.append_column("qpart", pa.array(np.mod(h[row], q_parts[at]), pa.int32())).append_column("dpart", pa.array(dpart, pa.int32()))
+        order = np.lexsort((dpart, bundles[at], row))
+        row, at, dpart = row[order], at[order], dpart[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (bundles[at[1:]] != bundles[at[:-1]]) | (dpart[1:] != dpart[:-1])
+        head = np.flatnonzero(new)
+        listed = pa.ListArray.from_arrays(pa.array(np.append(head, len(row)), pa.int32()), pa.array(numbers[at], pa.int32()))
+        row, at, dpart = row[head], at[head], dpart[head]
+        out = mine.select(["qid", "qv", "want"]).take(row).append_column("bundle", theirs.column("bundle").take(at))
+        out = out.append_column("qpart", pa.array(np.mod(h[row], q_parts[at]), pa.int32())).append_column("dpart", pa.array(dpart, pa.int32()))
+        return out.append_column("numbers", listed)
 
     grouped = left.groupBy(*keys, "part").cogroup(right.groupBy(*keys, "part"))
-    return grouped.applyInArrow(choose, f"qid {id_type}, qv array<double>, want int, leaf string, qpart int, dpart int")
+    return grouped.applyInArrow(choose, f"qid {id_type}, qv array<double>, want int, bundle string, qpart int, dpart int, numbers array<int>")
 
 
 # --- searching --------------------------------------------------------------------------------------
 
 
-def _block_search(k: int, dims: int, skip_self: bool):
-    """The k nearest of a block of donors, for a block of queries.
+@dataclass
+class Block:
+    """Donors of one leaf, made ready for products of matrices."""
+
+    at: np.ndarray  # places among the bundle's donors
+    zeroed: np.ndarray
+    there: np.ndarray
+    whole: bool  # no coordinate is missing
+    shift: np.ndarray
+    moved: np.ndarray
+    length: np.ndarray
+    longest: float
+
+    @classmethod
+    def of(cls, donors: np.ndarray, at: np.ndarray) -> Block:
+        donors = donors[at]
+        there = ~np.isnan(donors)
+        zeroed = np.where(there, donors, 0.0)
+        # the estimate loses least where the values lie around zero
+        shift = zeroed.sum(axis=0) / np.maximum(there.sum(axis=0), 1)
+        moved = np.where(there, donors - shift, 0.0)
+        length = moved * moved
+        return cls(at, zeroed, there, bool(there.all()), shift, moved, length, float(length.sum(axis=1).max()))
+
+
+def _bundle_search(k: int, dims: int, skip_self: bool, block: int):
+    """The k nearest of a bundle of leaves, for a block of queries, each of which names the leaves it needs.
 
-    Products of matrices estimate all distances of both blocks; those that may be among the k are computed anew,
-    coordinate by coordinate, so results do not depend on the blocks.
+    Products of matrices estimate all distances of a leaf and its queries; those that may be among the k are computed
+    anew, coordinate by coordinate, so results do not depend on the blocks. After its first k a query's k-th distance
+    bounds what it takes from the leaves that follow.
     """
     fields = ["qid", "want", "dist2", "did", "value"]
 
+    def near_in(b: Block, q: np.ndarray, want: np.ndarray, bound: np.ndarray, other: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, donor of the block, distance) of all that may be among the k; ``bound``: the k-th distance so far."""
+        here = ~np.isnan(q)
+        filled, near = np.where(here, q, 0.0), np.where(here, q - b.shift, 0.0)
+        whole = b.whole and bool(here.all())
+        shared = None
+        if whole:
+            scaled = near @ (-2.0 * b.moved.T)
+            scaled += b.length.sum(axis=1)
+            scaled += (near * near).sum(axis=1)[:, None]
+            if other is not None:
+                scaled[~other] = np.inf
+        else:
+            has = b.there.astype(float)
+            shared = here.astype(float) @ has.T
+            estimate = (near * near) @ has.T + here.astype(float) @ b.length.T - 2.0 * near @ b.moved.T
+            usable = (shared > 0) & np.where((want >= 0)[:, None], b.there[:, np.maximum(want, 0)].T, True)
+            if other is not None:
+                usable &= other
+            scaled = np.where(usable, estimate * (dims / np.where(usable, shared, 1.0)), np.inf)
+        last = bound
+        if scaled.shape[1] > k and not np.isfinite(bound).all():
+            last = np.minimum(bound, np.partition(scaled, k - 1, axis=1)[:, k - 1])
+        slack = ROUNDING * dims * ((near * near).sum(axis=1) + b.longest)
+        r, c = np.nonzero(scaled <= (last + slack)[:, None])
+        finite = np.isfinite(scaled[r, c])
+        r, c = r[finite], c[finite]
+        square = np.zeros(len(r))
+        for j in range(dims):
+            gap = filled[r, j] - b.zeroed[c, j]
+            square += gap * gap if whole else np.where(here[r, j] & b.there[c, j], gap * gap, 0.0)
+        return r, c, square * (dims / (float(dims) if whole else shared[r, c]))
+
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table([left.column("qid").slice(0, 0), pa.array([], pa.int32()), pa.array([], pa.float64()), right.column("did").slice(0, 0), pa.array([], pa.float64())], names=fields)
         right = right.sort_by("did")
         points, donors = _points(left.column("qv"), dims), _points(right.column("dv"), dims)
         want = left.column("want").to_numpy()
-        there = ~np.isnan(donors)
-        zeroed = np.where(there, donors, 0.0)
-        # the estimate loses least where the values lie around zero
-        shift = zeroed.sum(axis=0) / np.maximum(there.sum(axis=0), 1)
-        moved, has = np.where(there, donors - shift, 0.0), there.astype(float)
-        length = moved * moved
-        longest = length.sum(axis=1).max()
         ids, qids = (right.column("did").to_numpy(), left.column("qid").to_numpy()) if skip_self else (None, None)
+        number = right.column("number").to_numpy()
+        lists = left.column("numbers").combine_chunks()
+        asking, asked = np.repeat(np.arange(len(points)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
         found = []
+        by_leaf = np.argsort(number, kind="stable")
+        leaves = np.split(by_leaf, np.flatnonzero(np.diff(number[by_leaf])) + 1)
+        blocks = [Block.of(donors, leaf[at : at + block]) for leaf in leaves for at in range(0, len(leaf), block)]
+        askers = {int(number[leaf[0]]): np.sort(asking[asked == number[leaf[0]]]) for leaf in leaves}
         for start in range(0, len(points), CHUNK):
-            q = points[start : start + CHUNK]
-            here = ~np.isnan(q)
-            filled, near = np.where(here, q, 0.0), np.where(here, q - shift, 0.0)
-            shared = here.astype(float) @ has.T
-            estimate = (near * near) @ has.T + here.astype(float) @ length.T - 2.0 * near @ moved.T
-            w = want[start : start + CHUNK]
-            usable = (shared > 0) & np.where((w >= 0)[:, None], there[:, np.maximum(w, 0)].T, True)
-            if skip_self:
-                usable &= qids[start : start + CHUNK][:, None] != ids[None, :]
-            scaled = np.where(usable, estimate * (dims / np.where(usable, shared, 1.0)), np.inf)
-            last = np.partition(scaled, k - 1, axis=1)[:, k - 1] if scaled.shape[1] > k else np.full(len(q), np.inf)
-            slack = ROUNDING * dims * ((near * near).sum(axis=1) + longest)
-            r, c = np.nonzero((scaled <= (last + slack)[:, None]) & usable)
-            square = np.zeros(len(r))
-            for j in range(dims):
-                gap = filled[r, j] - zeroed[c, j]
-                square += np.where(here[r, j] & there[c, j], gap * gap, 0.0)
-            dist = square * (dims / shared[r, c])
-            order = np.lexsort((c, dist, r))
-            sorted_r = r[order]
-            order = order[np.arange(len(r)) - np.searchsorted(sorted_r, sorted_r, side="left") < k]
-            found.append((r[order] + start, c[order], dist[order]))
+            size = min(CHUNK, len(points) - start)
+            bound = np.full(size, np.inf)
+            row, at, dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for b in blocks:
+                mine = askers[int(number[b.at[0]])]
+                mine = mine[np.searchsorted(mine, start) : np.searchsorted(mine, start + size)]
+                if not len(mine):
+                    continue
+                other = qids[mine][:, None] != ids[b.at][None, :] if skip_self else None
+                r, c, d = near_in(b, points[mine], want[mine], bound[mine - start], other)
+                row, at, dist = np.append(row, mine[r] - start), np.append(at, b.at[c]), np.append(dist, d)
+                order = np.lexsort((at, dist, row))
+                ranked = row[order]
+                place = np.arange(len(ranked)) - np.searchsorted(ranked, ranked, side="left")
+                order, place = order[place < k], place[place < k]
+                row, at, dist = row[order], at[order], dist[order]
+                full = place == k - 1
+                bound[row[full]] = dist[full]
+            found.append((row + start, at, dist))
         row, at, dist = (np.concatenate(x) for x in zip(*found))
         value = np.where(want[row] >= 0, donors[at, np.maximum(want[row], 0)], np.nan)
         columns = [left.column("qid").take(row), pa.array(want[row], pa.int32()), pa.array(dist), right.column("did").take(at), pa.array(value)]
