@@ -45,6 +45,8 @@ class Stage(Estimator):
     LEARNS_NOTHING: frozenset = frozenset()
     EVERY_SPLIT: frozenset = frozenset()
     KEEPS_ROWS: frozenset = frozenset()
+    # whether a fit holds its rows; not where the caller holds the table they come from
+    hold = True
 
     def __init__(self, method: str | None = None, **options):
         super().__init__()
@@ -79,7 +81,7 @@ class Stage(Estimator):
             return StageModel(self.STAGE, dict(settings), fit(df, settings) or {})
         # fits read their rows several times: hold them, once keyed and split, for as long as the fit runs
         rows = df if settings.method in self.EVERY_SPLIT else df.where(F.col(SPLIT) == "train")
-        hold = settings.method not in self.KEEPS_ROWS and not df.storageLevel.useMemory
+        hold = self.hold and settings.method not in self.KEEPS_ROWS and not df.storageLevel.useMemory
         if hold:
             rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:

@@ -1,8 +1,10 @@
 """Many plans run as one tree: what they have in common is prepared once.
 
 Plans that begin with the same stages, methods and degrees share a path from the root. A stage is fitted once per
-path, its table is held while the plans below it run, and released when the last of them is done; all classifiers of a
-plan read one prepared table. Branches below the root run side by side.
+path; all classifiers of a plan read one prepared table. The table of a stage is held while the plans below it run, and
+released when the last of them is done, unless the stage is a ``LIGHT`` one: a projection of numbers costs its readers
+less than a copy of the table, so these read it from the table held last, and its seconds count as theirs. Branches below
+the root run side by side.
 """
 
 from __future__ import annotations
@@ -21,6 +23,13 @@ from tamis.operators.stages import STAGE_ORDER
 
 Step = tuple[str, str, float]
 
+# methods whose transform is a plain projection or filter, no heavier than reading its rows
+LIGHT = {
+    "imputation": {"DROP", "MEAN", "MEDIAN", "MF", "DUMMY"},
+    "data_normalization": {"z_score", "robust", "min_max", "max_abs", "sigmoid"},
+    "feature_selection": {"LC", "VAR", "Tree", "SVC", "MR", "WR"},
+}
+
 
 @dataclass
 class Node:
@@ -92,18 +101,23 @@ def run_plans(
         started = time.perf_counter()
         held = None
         try:
-            fit = stages[stage](method, degree=degree, label=label, **(options or {}).get(stage, {})).fit(table)
+            estimator = stages[stage](method, degree=degree, label=label, **(options or {}).get(stage, {}))
+            estimator.hold = False  # the rows come from a table that is held
+            fit = estimator.fit(table)
             fitted(node.path)
-            held = fit.transform(table).persist(StorageLevel.MEMORY_AND_DISK)
-            held.count()
+            done = fit.transform(table)
+            if method not in LIGHT.get(stage, ()):
+                held = done.persist(StorageLevel.MEMORY_AND_DISK)
+                held.count()
         except Exception as error:
             if held is not None:
                 held.unpersist()
             return failed(node.below(), error, seconds + time.perf_counter() - started)
         try:
-            return visit(held, node, seconds + time.perf_counter() - started)
+            return visit(done, node, seconds + time.perf_counter() - started)
         finally:
-            held.unpersist()
+            if held is not None:
+                held.unpersist()
 
     def visit(table: DataFrame, node: Node, seconds: float) -> list[Outcome]:
         out = [score(table, name, m, seconds) for name in node.plans for m in models]
