@@ -9,7 +9,9 @@ pair of balls that cannot hold one of the k is dropped; first at the top, then a
 last every query looks at the leaves its own leaf was matched with, drops those too far for it alone, and meets the
 others in bundles: in many dimensions leaves of one top ball travel together, and a query moves once for all leaves of
 a bundle, with their numbers, and brings one list of neighbours back. So the rows shuffled are the queries times the bundles they
-need, and each donor once per block of queries of its bundle.
+need, and each donor once per block of queries of its bundle. Where leaves travel alone and many meet, balls bound the k-th
+distance too loosely: the leaves closest to a query are searched first, and the distance found there drops the others.
+The rows that will move are counted before they do, and tasks grow with them.
 
 Missing coordinates follow the usual rule: the squared distance over shared coordinates is scaled by (all coordinates /
 shared coordinates). Rows with other coordinates missing lie in balls of their own; the bounds hold on what both sides
@@ -37,6 +39,9 @@ BUNDLE_VALUES = 1 << 22  # coordinates of a bundle's donors, where a block has f
 TOP_BALLS = 1 << 16  # rows of the table of top balls at most: fewer centers where there are many patterns
 PATTERNS = 256
 CHUNK = 512
+TASK_BYTES = 1 << 27  # rows that a task of the search takes and gives, as estimated before they move
+FEW_TASKS = 8  # up to so many, one pass is taken
+CLOSEST = 2  # leaves searched first
 FEW_ROWS = 100_000  # rows of a table of balls that is broadcast; larger ones are joined by shuffle
 RARE = "*"
 NO_WANT = -1
@@ -85,17 +90,49 @@ def nearest(
     if tree is None:
         return donors.sparkSession.createDataFrame([], out_schema + ", rank int")
     placed, matched = match(tree, queries, need, query_block)
-    left = candidates(tree, placed, matched, need, query_block)
-    layout = matched.groupBy("leaf").agg(*[F.first(c).alias(c) for c in ("bundle", "number", "d_parts", "q_parts")])
-    right = (
-        small(tree.donors.withColumn("leaf", leaf_name("kind", "top", "sub")), layout, "leaf")
-        .withColumn("dpart", F.pmod(F.xxhash64("did"), F.col("d_parts")).cast("int"))
-        .select("did", "dv", "number", "bundle", "dpart", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("qpart"))
-    )
-    keys = ["bundle", "qpart", "dpart"]
-    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_bundle_search(k, dims, skip_self, donor_block), out_schema)
-    best = Window.partitionBy("qid", "want").orderBy("dist2", "did")
-    return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    layout = matched.groupBy("leaf").agg(*[F.first(c).alias(c) for c in ("bundle", "number", "rows", "d_parts", "q_parts")])
+    # no query moves for more bundles than its leaf was matched with
+    asking = matched.select("bundle", "pattern", "want", "q_top", "q_sub", F.expr("q_rows * d_parts AS moved")).distinct()
+    copies = F.sum(F.col("rows") * F.col("q_parts"))
+    moved = (asking.agg(F.sum("moved")).first()[0] or 0) + (layout.agg(copies).first()[0] or 0)
+    row_bytes = 100 + 8 * dims + 80 * k
+
+    partitions = int(donors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def search(left: DataFrame, layout: DataFrame, tasks: int) -> DataFrame:
+        right = (
+            small(tree.donors.withColumn("leaf", leaf_name("kind", "top", "sub")), layout, "leaf")
+            .withColumn("dpart", F.pmod(F.xxhash64("did"), F.col("d_parts")).cast("int"))
+            .select("did", "dv", "number", "bundle", "dpart", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("qpart"))
+        )
+        keys = ["bundle", "qpart", "dpart"]
+        if tasks:
+            left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
+        local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_bundle_search(k, dims, skip_self, donor_block), out_schema)
+        best = Window.partitionBy("qid", "want").orderBy("dist2", "did")
+        local = local.repartition(tasks, "qid", "want") if tasks else local
+        return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    tasks = -(-moved * row_bytes // TASK_BYTES)
+    if bundled(dims, tree.block) > 1 or tasks <= FEW_TASKS:
+        # no more than those of any shuffle: Spark deals as it sees fit
+        return search(candidates(tree, placed, matched, need, query_block), layout, tasks if tasks > partitions else 0)
+
+    def counted(left: DataFrame) -> DataFrame:
+        """The search of candidates that are held, in as many blocks of queries as they are."""
+        left = cut_lineage(left.drop("qpart"))
+        met = left.groupBy("bundle").agg(F.count("*").alias("n"), F.ceil(F.count("*") / query_block).cast("int").alias("q_parts"))
+        laid = cut_lineage(layout.drop("q_parts").join(met, "bundle"))
+        parts = laid.select("bundle", "q_parts").distinct()
+        left = small(left, parts, "bundle").withColumn("qpart", F.pmod(F.xxhash64("qid", "want"), F.col("q_parts")).cast("int"))
+        moved = parts.join(met, ["bundle", "q_parts"]).agg(F.sum("n")).first()[0] or 0
+        moved += laid.agg(copies).first()[0] or 0
+        return search(left.drop("q_parts"), laid.drop("n"), max(partitions, -(-moved * row_bytes // TASK_BYTES)))
+
+    first = counted(candidates(tree, placed, matched, need, query_block, closest=CLOSEST))
+    bound = first.where(F.col("rank") == k).select("qid", "want", F.sqrt("dist2").alias("bound"))
+    bounded = placed.join(bound, ["qid", "want"], "left").fillna(math.inf, ["bound"])
+    return counted(candidates(tree, bounded, matched, need, query_block))
 
 
 def bundled(dims: int, block: int) -> int:
@@ -353,12 +390,17 @@ def match(tree: Tree, queries: DataFrame, need: int, query_block: int = QUERY_BL
     return placed, cut_lineage(laid.join(q_parts, "bundle"))
 
 
-def candidates(tree: Tree, placed: DataFrame, matched: DataFrame, need: int, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """(qid, qv, want, bundle, qpart, dpart, numbers): every query once for a bundle, with the leaves that it needs itself."""
+def candidates(tree: Tree, placed: DataFrame, matched: DataFrame, need: int, query_block: int = QUERY_BLOCK, closest: int = 0) -> DataFrame:
+    """(qid, qv, want, bundle, qpart, dpart, numbers): every query once for a bundle, with the leaves that it needs itself.
+
+    ``closest``: only so many of them, those with the nearest farthest row. ``bound``, a column that the queries may have: the
+    k-th distance found so far, which drops leaves that begin beyond it.
+    """
     dims = tree.dims
+    limits = ["bound"] if "bound" in placed.columns else []
     keys = ["pattern", "want", "q_top", "q_sub"]
     parts = matched.groupBy(*keys).agg(F.ceil(F.first("q_rows") / query_block).cast("int").alias("parts"))
-    rows = placed.select("qid", "qv", "pattern", "want", F.col("top").alias("q_top"), F.col("sub").alias("q_sub"), F.xxhash64("qid", "want").alias("h"))
+    rows = placed.select("qid", "qv", "pattern", "want", F.col("top").alias("q_top"), F.col("sub").alias("q_sub"), F.xxhash64("qid", "want").alias("h"), *limits)
     left = small(rows, parts, *keys).withColumn("part", F.pmod("h", F.col("parts")).cast("int")).drop("parts")
     right = matched.join(parts, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     id_type = placed.schema["qid"].dataType.simpleString()
@@ -372,7 +414,14 @@ def candidates(tree: Tree, placed: DataFrame, matched: DataFrame, need: int, que
         found = [np.zeros((2, 0), int)]
         for start in range(0, len(points), CHUNK):
             some = points[start : start + CHUNK]
-            row, at = _needed(*_bounds(some, np.zeros(len(some)), key[0].as_py(), key[1].as_py(), centers, radii, kinds, dims), sizes, need)
+            low, high = _bounds(some, np.zeros(len(some)), key[0].as_py(), key[1].as_py(), centers, radii, kinds, dims)
+            if limits:
+                low[low > mine.column("bound").to_numpy()[start : start + CHUNK, None]] = np.inf
+            row, at = _needed(low, high, sizes, need)
+            if closest:
+                head = np.zeros(low.shape, bool)
+                np.put_along_axis(head, np.argsort(high, axis=1)[:, :closest], True, axis=1)
+                row, at = row[head[row, at]], at[head[row, at]]
             found.append(np.stack([row + start, at]))
         row, at = np.concatenate(found, axis=1)
         times = d_parts[at]
