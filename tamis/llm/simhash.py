@@ -39,6 +39,7 @@ from tamis.session import cut_lineage
 SEED = 42
 FLIPS = 3
 BLOCK = 1024  # fingerprints compared with as many in one task
+MARKED = 1 << 18  # crowded keys sent to all tasks; there is one for more than BLOCK rows of keys
 GENERATOR = 0b101011100011  # of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 CHUNK = 1 << 16
 ROWS = 256  # texts or fingerprints handled together
@@ -168,10 +169,12 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = _keys_of(prints.repartition(tasks, "fingerprint"))
     crowded = cut_lineage(keys.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > block))
-    plain = keys.join(crowded, "key", "left_anti")
+    # Spark sizes the keys by the fingerprints they are made of, and would send them to all tasks: joins name their kind
+    marked = crowded.hint("broadcast" if crowded.count() <= MARKED else "merge")
+    plain = keys.join(marked, "key", "left_anti")
     mine = plain.where("side < 2").select("key", F.col("fingerprint").alias("node"), "side")
     yours = plain.where("side != 1").select("key", F.col("fingerprint").alias("other"), F.col("side").alias("to"))
-    met = mine.join(yours, "key").where(
+    met = mine.join(yours.hint("merge"), "key").where(
         (F.col("node") != F.col("other"))
         & (F.bit_count(F.col("node").bitwiseXOR(F.col("other"))) <= FLIPS)
         & F.when(F.col("side") == 0, (F.col("to") == 0) & (F.col("node") < F.col("other"))).otherwise(F.col("to") == 2)
@@ -179,7 +182,7 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     blocks = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64("fingerprint"), blocks).cast("int")
     dealt = (
-        keys.join(crowded, "key")
+        keys.join(marked, "key")
         .select("key", "fingerprint", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
         .select("key", "fingerprint", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"))
     )

@@ -50,6 +50,24 @@ def test_crowded_keys_lose_no_link(spark):
     assert split == whole and len(split) >= len(set(near))
 
 
+@pytest.mark.parametrize("marked", [0, simhash.MARKED])
+def test_keys_of_fingerprints_are_not_broadcast(spark, monkeypatch, marked):
+    """A fingerprint becomes some 75 rows of keys, which Spark doesn't know when it sizes them."""
+    monkeypatch.setattr(simhash, "MARKED", marked)
+    rng = np.random.default_rng(7)
+    near = {0x123456789ABCDEF0 ^ sum(1 << int(b) for b in rng.choice(62, 2, replace=False)) for _ in range(100)}
+    prints = spark.createDataFrame([(int(x),) for x in {*near, *rng.integers(-(2**62), 2**62, 200).tolist()}], "fingerprint long")
+    found = simhash.links(prints, block=16)
+    assert found.count() == len(found.collect()) >= len(near) - 1  # the rows of the plan below were taken
+    lines = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    assert any("SortMergeJoin" in line for line in lines) and any("MapInArrow" in line for line in lines)
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            assert not any("MapInArrow" in inner for inner in lines[i:below])
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 200), (300, 300)]
     rows = components(spark.createDataFrame(chain, "node int, other int")).collect()
